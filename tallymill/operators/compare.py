@@ -2,67 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-def _checks(df: DataFrame) -> list:
-    """(check, aggregate) pairs, all exact and free of row order."""
-    checks = [("rows", F.count(F.lit(1)))]
-    for field in df.schema.fields:
-        col = F.col(field.name)
-        checks.append((f"non_null:{field.name}", F.count(col)))
-        if isinstance(field.dataType, T.StringType):
-            size = F.sum(F.length(col))
-            checks.append((f"chars:{field.name}", size))
-        elif isinstance(field.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            checks.append((f"sum:{field.name}", F.sum(col.cast("decimal(20,4)"))))
-        elif isinstance(field.dataType, T.IntegralType):
-            checks.append((f"sum:{field.name}", F.sum(col.cast("decimal(20,0)"))))
-        elif isinstance(field.dataType, (T.DateType, T.TimestampNTZType, T.TimestampType)):
-            days = F.datediff(col, F.lit("1970-01-01"))
-            checks.append((f"days:{field.name}", F.sum(days.cast("bigint"))))
-    return checks
-
-
-def _profile(df: DataFrame, side: str) -> DataFrame:
-    checks = _checks(df)
-    row = df.agg(*[F.coalesce(agg.cast("double"), F.lit(0.0)).alias(f"c{i}")
-                   for i, (_, agg) in enumerate(checks)])
-    pairs = F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"c{i}").alias(side))
-                      for i, (name, _) in enumerate(checks)])
-    return row.select(F.inline(pairs))
+LEFT, RIGHT = "_left", "_right"
 
 
-def row_differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows whose number of copies differs, with the surplus of the left side.
+def row_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each distinct row with its number of copies on either side.
 
-    Both sides meet in one shuffle: copies on the left count +1, on the right -1.
+    Both sides are read once and meet in one shuffle; copies are counted in each
+    task before it, so a row repeated very often costs little.
     """
-    signed = left.withColumn("_surplus", F.lit(1)).unionByName(
-        right.withColumn("_surplus", F.lit(-1))
+    both = left.withColumns({LEFT: F.lit(1), RIGHT: F.lit(0)}).unionByName(
+        right.withColumns({LEFT: F.lit(0), RIGHT: F.lit(1)})
+    )
+    return both.groupBy(*left.columns).agg(
+        F.sum(LEFT).alias(LEFT), F.sum(RIGHT).alias(RIGHT)
     )
+
+
+def row_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows whose number of copies differs, with the surplus of the left side."""
+    surplus = F.col(LEFT) - F.col(RIGHT)
     return (
-        signed.groupBy(*left.columns)
-        .agg(F.sum("_surplus").alias("_surplus"))
-        .where("_surplus <> 0")
+        row_counts(left, right)
+        .where(surplus != 0)
+        .select(*left.columns, surplus.alias("surplus"))
     )
 
 
+def _measures(df: DataFrame) -> list[tuple[str, Column]]:
+    """(check, value of one row); the check's total is exact in any row order."""
+    measures = [("rows", F.lit(1))]
+    for field in df.schema.fields:
+        col, kind = F.col(field.name), field.dataType
+        measures.append((f"non_null:{field.name}", col.isNotNull().cast("int")))
+        if isinstance(kind, T.StringType):
+            measures.append((f"chars:{field.name}", F.length(col)))
+        elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+            measures.append((f"sum:{field.name}", col.cast("decimal(18,4)")))
+        elif isinstance(kind, T.IntegralType):
+            measures.append((f"sum:{field.name}", col.cast("decimal(20,0)")))
+        elif isinstance(kind, (T.DateType, T.TimestampNTZType, T.TimestampType)):
+            measures.append((f"days:{field.name}", F.datediff(col, F.lit("1970-01-01"))))
+    return measures
+
+
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     """(check, left_value, right_value, same): one row per check.
 
     ``only_here`` counts the row copies that the other side lacks; the other
     checks are totals of each column.
     """
-    surplus = F.col("_surplus")
-    extra = row_differences(left, right).agg(
-        F.coalesce(F.sum(F.when(surplus > 0, surplus)), F.lit(0)).cast("double").alias("left_value"),
-        F.coalesce(F.sum(F.when(surplus < 0, -surplus)), F.lit(0)).cast("double").alias("right_value"),
-    ).select(F.lit("only_here").alias("check"), "left_value", "right_value")
-    totals = _profile(left, "left_value").join(_profile(right, "right_value"), "check")
-    return totals.unionByName(extra).withColumn(
-        "same",
-        F.when(F.col("check") == "only_here",
-               (F.col("left_value") == 0) & (F.col("right_value") == 0))
-        .otherwise(F.col("left_value") == F.col("right_value")),
+    counted = row_counts(left, right)
+    measures = _measures(left)
+    zero = F.lit(0)
+    sides = {}
+    for here, there in ((LEFT, RIGHT), (RIGHT, LEFT)):
+        copies = F.col(here).cast("decimal(18,0)")
+        totals = [F.sum(value * copies) for _, value in measures]
+        totals.append(F.sum(F.greatest(F.col(here) - F.col(there), zero)))
+        sides[here] = [F.coalesce(t.cast("double"), F.lit(0.0)) for t in totals]
+    names = [name for name, _ in measures] + ["only_here"]
+    row = counted.agg(
+        *[
+            F.struct(
+                F.lit(name).alias("check"),
+                a.alias("left_value"),
+                b.alias("right_value"),
+                ((a == b) & (F.lit(name != "only_here") | (a + b == 0))).alias("same"),
+            ).alias(f"c{i}")
+            for i, (name, a, b) in enumerate(zip(names, sides[LEFT], sides[RIGHT]))
+        ]
     )
+    return row.select(F.inline(F.array(*[f"c{i}" for i in range(len(names))])))

@@ -18,7 +18,7 @@ from tallymill.operators.report import report
 from tallymill.plans import views
 from tallymill.sources import generate
 from tallymill.sources.logs import parse_log_path, read_log_lines
-from tallymill.sources.scratch import scratch_path
+from tallymill.sources.scratch import materialize, scratch_path
 from tallymill.sources.tables import (
     append_rows,
     convert,
@@ -53,6 +53,7 @@ SUITE_UID = "suite1_1704067200"
 BENCH = "click"
 EXEMPT = "system3"
 STREAM_SECONDS = 1800
+TEXTS_PER_FILE = 50_000
 
 QUERIES: dict[str, Query] = {}
 
@@ -72,16 +73,22 @@ def query(fn: Query) -> Query:
 # --- generators, sources and sinks ---------------------------------------
 
 
+def _dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """The words of the documents, stored once like a dictionary file."""
+    return materialize(views.vocabulary(spark, d), "dictionary")
+
+
 def _word_lines(spark: SparkSession, d: str) -> DataFrame:
     """One generated line per document."""
-    n = views.documents(spark, d).count()
-    return generate.gen_word_lines(spark, views.vocabulary(spark, d), num_lines=n)
+    n = read_table(spark, d, "documents").count()
+    return generate.gen_word_lines(spark, _dictionary(spark, d), num_lines=n)
 
 
 @query
 def gen_text(spark, d):
-    size = views.documents(spark, d).agg(F.sum(F.octet_length("text"))).first()[0]
-    made = generate.gen_text(spark, views.vocabulary(spark, d), size)
+    texts = read_table(spark, d, "documents")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
+    made = generate.gen_text(spark, _dictionary(spark, d), size)
     return read_text(spark, write_text(made, "value", scratch_path(spark, "text")))
 
 
@@ -118,8 +125,10 @@ def text_source(spark, d):
 @query
 def text_stream_source(spark, d):
     path = scratch_path(spark, "text-in")
-    texts = views.documents(spark, d).select("doc_id", "text")
-    per_batch = stage_slices(texts, "doc_id", path, fmt="text", columns=["text"])
+    texts = read_table(spark, d, "documents")
+    per_batch = stage_slices(
+        texts, "doc_id", path, fmt="text", columns=["text"], rows_per_file=TEXTS_PER_FILE
+    )
     return stream_copy(
         stream_text(spark, path, per_batch),
         scratch_path(spark, "text-out"),
@@ -129,7 +138,7 @@ def text_stream_source(spark, d):
 
 
 def _lineitem_csv(spark: SparkSession, d: str) -> str:
-    return write_delimited(read_table(spark, d, "lineitem"), scratch_path(spark, "lineitem-csv"))
+    return write_delimited(views.lineitem(spark, d), scratch_path(spark, "lineitem-csv"))
 
 
 @query
@@ -210,8 +219,10 @@ def wordcount_explicit_combine(spark, d):
 @query
 def wordcount_streaming(spark, d):
     path = scratch_path(spark, "lines-in")
-    texts = views.documents(spark, d).select("doc_id", "text")
-    per_batch = stage_slices(texts, "doc_id", path, fmt="text", columns=["text"])
+    texts = read_table(spark, d, "documents")
+    per_batch = stage_slices(
+        texts, "doc_id", path, fmt="text", columns=["text"], rows_per_file=TEXTS_PER_FILE
+    )
     return stream_word_count(
         stream_text(spark, path, per_batch),
         "value",
@@ -278,8 +289,8 @@ def grep_restart(spark, d):
     """The first attempt dies in the third of four batches; the second goes on."""
     path = scratch_path(spark, "grep-in")
     lines = views.lines(spark, d)
-    per_batch = stage_slices(lines, "doc_id", path)
-    last = views.documents(spark, d).agg(F.max("doc_id")).first()[0] or 0
+    per_batch = stage_slices(lines, "doc_id", path, columns=schemas.LINES.fieldNames())
+    last = read_table(spark, d, "documents").agg(F.max("doc_id")).first()[0] or 0
     stream = stream_files(spark, path, schemas.LINES, per_batch)
     dying = stream.where(
         F.when(F.col("doc_id") == last * 5 // 8, F.raise_error("worker lost"))

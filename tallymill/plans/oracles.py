@@ -59,7 +59,7 @@ P = "2147483647"
 def _mixed(row: str, item: str, salt: str) -> str:
     return (
         f"((({row} & {P}) * 48271 + ({row} >> 31) * 69621 + {item} * 16807"
-        f" + ({salt} * 271828183) % {P}) % {P})"
+        f" + (cast({salt} as bigint) * 271828183) % {P}) % {P})"
     )
 
 
@@ -82,11 +82,11 @@ VOCABULARY = f"""vocabulary as (
   from (select distinct word from ({WORDS}) where word <> ''))"""
 
 
-def _word_lines(lines: str, words: int) -> str:
+def _gen_lines(lines: str, words: int) -> str:
     """(id, line); ``lines`` is an SQL expression for their number."""
     return f"""{VOCABULARY},
 picks as (
-  select id, j, {_draw('id', 'j', 'j')} % (select count(*) from vocabulary) as idx
+  select id, j, {_draw('id', 'j', '0')} % (select count(*) from vocabulary) as idx
   from (select id, unnest(range({words})) as j
         from (select unnest(range(cast({lines} as bigint))) as id))),
 word_lines as (
@@ -94,11 +94,6 @@ word_lines as (
   from picks join vocabulary using (idx) group by id)"""
 
 
-# the seed of a pick is its place in the line, not an item number
-def _gen_lines(lines: str, words: int) -> str:
-    return _word_lines(lines, words).replace(_draw("id", "j", "j"), _draw("id", "j", "0"))
-
-
 DOC_LINES = _gen_lines("(select count(*) from documents)", 15)
 
 TEXT_LINES = _gen_lines(

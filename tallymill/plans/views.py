@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymill.functions.ranking import number_within
 from tallymill.operators.wordcount import normalize_words, tokenize
-from tallymill.sources.tables import read_table
+from tallymill.sources.tables import read_table, spread
 
 LOG_COLUMNS = ["run_id", "suite_uid", "system", "line"]
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents")
+    return spread(read_table(spark, d, "documents").select("doc_id", "text"))
+
+
+def lineitem(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read_table(spark, d, "lineitem"))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:

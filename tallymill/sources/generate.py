@@ -36,7 +36,7 @@ def gen_word_lines(
     if size == 0:
         raise ValueError("the dictionary is empty")
     ids = spark.range(0, num_lines, 1, parts) if parts else spark.range(num_lines)
-    picks = [scatter(F.col("id"), j, seed) % size for j in range(words)]
+    picks = [scatter("id", j, seed) % size for j in range(words)]
     if chars <= array_bytes:
         listed = vocab.agg(F.sort_array(F.collect_list("word"))).scalar()
         chosen = [F.element_at(listed, (p + 1).cast("int")) for p in picks]
@@ -101,15 +101,14 @@ def gen_ratings(
     a step, coprime to ``cols``, of the row's own.
     """
     steps = _coprimes(cols)
-    row = F.col("id")
     ids = spark.range(0, rows, 1, parts) if parts else spark.range(rows)
     entries = F.floor(
-        F.lit(float(row_mean)) + F.lit(math.sqrt(row_variance)) * near_normal(row, 0, seed) + 0.5
+        F.lit(float(row_mean)) + F.lit(math.sqrt(row_variance)) * near_normal("id", 0, seed) + 0.5
     )
-    start = scatter(row, 0, seed + 12) % cols
+    start = scatter("id", 0, seed + 12) % cols
     step = F.element_at(
         F.array(*[F.lit(s).cast("bigint") for s in steps]),
-        (scatter(row, 0, seed + 13) % len(steps) + 1).cast("int"),
+        (scatter("id", 0, seed + 13) % len(steps) + 1).cast("int"),
     )
     sized = ids.select(
         "id",
@@ -120,7 +119,7 @@ def gen_ratings(
     cells = sized.select(
         "id", "start", "step", F.explode(F.expr("sequence(0L, entries - 1)")).alias("j")
     )
-    value = F.lit(float(mean)) + F.lit(math.sqrt(variance)) * near_normal(row, F.col("j"), seed + 14)
+    value = F.lit(float(mean)) + F.lit(math.sqrt(variance)) * near_normal("id", "j", seed + 14)
     return cells.select(
         F.col("id").cast("int").alias("user"),
         ((F.col("start") + F.col("step") * F.col("j")) % cols).cast("int").alias("item"),
@@ -160,7 +159,7 @@ def gen_lineitem(
     row = F.col("id")
 
     def draw(salt: int, choices: int) -> Column:
-        return scatter(row, 0, seed + salt) % choices
+        return scatter("id", 0, seed + salt) % choices
 
     part = F.col("l_partkey")
     keyed = ids.select(
@@ -169,7 +168,7 @@ def gen_lineitem(
         (draw(1, n_parts) + 1).alias("l_partkey"),
         (row % 4 + 1).cast("int").alias("l_linenumber"),
         (draw(2, 50) + 1).alias("quantity"),
-        (scatter(F.shiftright(row, 2), 0, seed) % ORDER_DAYS).cast("int").alias("order_day"),
+        (scatter("shiftright(id, 2)", 0, seed) % ORDER_DAYS).cast("int").alias("order_day"),
         (draw(3, 121) + 1).cast("int").alias("to_ship"),
         (draw(4, 61) + 30).cast("int").alias("to_commit"),
         (draw(5, 30) + 1).cast("int").alias("to_receipt"),
@@ -206,6 +205,6 @@ def gen_lineitem(
         _pick(SHIP_INSTRUCTIONS, draw(10, 4)).alias("l_shipinstruct"),
         _pick(SHIP_MODES, draw(11, 7)).alias("l_shipmode"),
         F.concat_ws(
-            " ", *[_pick(w, scatter(row, 0, seed + 12 + i)) for i, w in enumerate(COMMENT_WORDS)]
+            " ", *[_pick(w, scatter("id", 0, seed + 12 + i)) for i, w in enumerate(COMMENT_WORDS)]
         ).alias("l_comment"),
     )

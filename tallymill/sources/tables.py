@@ -12,6 +12,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table with fewer splits than the cluster has cores, dealt out evenly.
+
+    A table with enough splits is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_delimited(
     spark: SparkSession, path: str, schema: T.StructType, sep: str = "|"
 ) -> DataFrame:
