@@ -7,22 +7,12 @@ of a piece, and add the sizes of the pieces before it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallymill.sources.scratch import materialize
 
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys that may be null, keeping the left key columns."""
-    renamed = right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    joined = left.join(renamed, reduce(lambda a, b: a & b, same))
-    return joined.drop(*[f"_r_{k}" for k in keys])
+# Group columns travel as one struct, "_group". Structs compare equal where the
+# same fields are null, so rows with a null group are numbered like any others.
 
 
 def number_within(
@@ -39,22 +29,29 @@ def number_within(
     share ``order >> bits``, so it holds at most ``2**bits`` rows whatever the
     skew. ``total`` names an optional column with the group's row count.
     """
-    keys = [*group, "_piece"]
-    cut = df.withColumn("_piece", F.shiftright(F.col(order).cast("bigint"), bits))
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select(
-        *keys,
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-        *([F.sum("_size").over(whole).alias(total)] if total else []),
+    others = [c for c in df.columns if c not in group]
+    cut = df.select(
+        F.struct(F.struct(*group).alias("g"), F.shiftright(order, bits).alias("p")).alias("_piece"),
+        *others,
     )
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    whole = Window.partitionBy("_group")
+    before = whole.orderBy("_piece.p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        cut.groupBy("_piece")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .withColumn("_group", F.col("_piece.g"))
+        .select(
+            "_piece",
+            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+            F.sum("_size").over(whole).alias("_total"),
+        )
+    )
+    inside = F.row_number().over(Window.partitionBy("_piece").orderBy(order))
     numbered = cut.withColumn("_inside", inside - 1)
-    return (
-        _null_safe_join(numbered, offsets, keys)
-        .withColumn(number, F.col("_before") + F.col("_inside"))
-        .drop("_piece", "_inside", "_before")
+    return numbered.join(offsets, "_piece").select(
+        *[F.col(f"_piece.g.{c}").alias(c) if c in group else c for c in df.columns],
+        (F.col("_before") + F.col("_inside")).alias(number),
+        *([F.col("_total").alias(total)] if total else []),
     )
 
 
@@ -75,28 +72,28 @@ def range_positions(
     group = group or []
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*group, "_part"]
+    key = F.struct(F.struct(*group).alias("g") if group else F.lit(0).alias("g"), "_part")
     ranged = materialize(
         df.repartitionByRange(parts, *group, *order)
         .sortWithinPartitions(*group, *order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id()),
         "ranged",
-    )
-    sizes = ranged.groupBy(*keys).agg(
-        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_size")
-    )
+    ).withColumn("_share", key)
     before = (
-        Window.partitionBy(*(group or [F.lit(0)]))
-        .orderBy("_part")
+        Window.partitionBy("_group")
+        .orderBy("_share._part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sizes.select(
-        *keys,
-        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+    shifts = (
+        ranged.groupBy("_share")
+        .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_size"))
+        .withColumn("_group", F.col("_share.g"))
+        .select(
+            "_share",
+            (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        )
     )
-    return (
-        _null_safe_join(ranged, offsets, keys)
-        .withColumn(number, F.col("_row") + F.col("_shift"))
-        .drop("_part", "_row", "_shift")
+    return ranged.join(shifts, "_share").select(
+        *df.columns, (F.col("_row") + F.col("_shift")).alias(number)
     )

@@ -47,7 +47,11 @@ def count_violations(df: DataFrame, expected: DataFrame) -> DataFrame:
 
 def benchmarks_of(df: DataFrame, suite_id: str) -> DataFrame:
     """Distinct benchmarks of a suite, in ascending order."""
-    return df.where(F.col("suite_id") == suite_id).select("bench_id").distinct().orderBy("bench_id")
+    return _benchmarks(df, suite_id).orderBy("bench_id")
+
+
+def _benchmarks(df: DataFrame, suite_id: str) -> DataFrame:
+    return df.where(F.col("suite_id") == suite_id).select("bench_id").distinct()
 
 
 def _newest(df: DataFrame, suite_id: str, n: int) -> DataFrame:
@@ -89,7 +93,7 @@ def suite_grid(df: DataFrame, suite_id: str, n: int = LATEST, shown: DataFrame |
     newest = _newest(df, suite_id, n)
     uids = newest.agg(F.collect_list("suite_uid")).scalar()  # n values at most
     recent = shown.where((F.col("suite_id") == suite_id) & F.array_contains(uids, F.col("suite_uid")))
-    grid = benchmarks_of(df, suite_id).select("bench_id", F.explode(uids).alias("suite_uid"))
+    grid = _benchmarks(df, suite_id).select("bench_id", F.explode(uids).alias("suite_uid"))
     taken = recent.select("bench_id", "suite_uid").distinct()
     gaps = grid.join(taken, ["bench_id", "suite_uid"], "left_anti")
     return recent.select(

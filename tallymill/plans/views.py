@@ -8,7 +8,7 @@ from tallymill.functions.ranking import number_within
 from tallymill.operators.wordcount import normalize_words, tokenize
 from tallymill.sources.tables import read_table, spread
 
-LOG_COLUMNS = ["run_id", "suite_uid", "system", "line"]
+LINE_COLUMNS = ["doc_id", "posexplode(split(text, '\\n')) as (pos, line)"]
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -21,9 +21,7 @@ def lineitem(spark: SparkSession, d: str) -> DataFrame:
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, pos, line)"""
-    return documents(spark, d).select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    )
+    return documents(spark, d).selectExpr(*LINE_COLUMNS)
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:

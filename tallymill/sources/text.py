@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+MIN_ROWS_PER_FILE = 100
 TEXT = T.StructType([T.StructField("value", T.StringType())])
 
 
@@ -51,20 +52,23 @@ def stage_slices(
 ) -> int:
     """Write ``df`` as ``slices`` ranges of the integer column ``order``.
 
-    The ranges are written one after the other, so file times rise with
-    ``order``; each has the same number of files. That number is returned: as
-    ``files_per_batch`` it makes every micro-batch exactly one range, and a
-    watermark drops nothing.
+    The ranges are cut at quantiles and written one after the other, so file
+    times rise with ``order``; each has the same number of files. That number is
+    returned: as ``files_per_batch`` it makes every micro-batch exactly one
+    range, and a watermark drops nothing.
     """
-    low, high, rows = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    if low is None:
-        low, high = 0, 0
-    files = max(1, math.ceil(rows / slices / rows_per_file))
-    bounds = [low + (high + 1 - low) * i // slices for i in range(slices + 1)]
-    for start, end in zip(bounds, bounds[1:]):
-        part = df.where((F.col(order) >= start) & (F.col(order) < end))
+    shares = [i / slices for i in range(1, slices)]
+    cuts = df.agg(F.percentile_approx(order, shares)).first()[0] or [0] * len(shares)
+    number = sum(((F.col(order) > cut).cast("int") for cut in cuts), F.lit(0))
+    sizes = [r["count"] for r in df.groupBy(number.alias("slice")).count().collect()]
+    # as many files as there are cores, if every one of them gets some rows
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = max(cores, math.ceil(max(sizes, default=0) / rows_per_file))
+    files = max(1, min(wanted, min(sizes, default=0) // MIN_ROWS_PER_FILE))
+    for i in range(slices):
         (
-            part.select(*(columns or df.columns))
+            df.where(number == i)
+            .select(*(columns or df.columns))
             .repartition(files)
             .write.mode("append")
             .format(fmt)
