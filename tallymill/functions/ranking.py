@@ -21,7 +21,7 @@ def number_within(
     order: str,
     number: str = "row_no",
     total: str | None = None,
-    bits: int = 20,
+    bits: int = 22,
 ) -> DataFrame:
     """0-based row number within ``group`` by the integer column ``order``.
 

@@ -6,6 +6,7 @@ unset, as in local tests, a temporary folder of this machine is used.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -29,6 +30,8 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path, never handed out before; nothing is created there yet."""
+    if not _handed_out:
+        atexit.register(_release_quietly, spark)
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     _handed_out.append(path)
     return path
@@ -48,3 +51,10 @@ def release(spark: SparkSession) -> None:
     while _handed_out:
         path = jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+def _release_quietly(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # the session may be gone at interpreter exit
+        pass

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 BUILT_IN_FORMATS = ("orc", "parquet", "csv", "json", "text")
+FEW_PARTITIONS = 1000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,19 +55,39 @@ def convert(df: DataFrame, path: str, fmt: str = "orc") -> DataFrame:
     try:
         return write_result(df, path, fmt=fmt)
     except AnalysisException as e:
-        if fmt not in BUILT_IN_FORMATS and "DATA_SOURCE" in (e.getCondition() or ""):
-            raise ValueError(
-                f"format {fmt!r} needs its Spark module on the class path; "
-                f"built in are {', '.join(BUILT_IN_FORMATS)}"
-            ) from e
-        if fmt not in BUILT_IN_FORMATS and "find data source" in str(e):
-            raise ValueError(
-                f"format {fmt!r} needs its Spark module on the class path; "
-                f"built in are {', '.join(BUILT_IN_FORMATS)}"
-            ) from e
+        if fmt in BUILT_IN_FORMATS or "data source" not in str(e).lower():
+            raise
+        raise ValueError(
+            f"format {fmt!r} needs its Spark module on the class path; "
+            f"built in are {', '.join(BUILT_IN_FORMATS)}"
+        ) from e
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
         raise
 
 
+def _touched(stored: DataFrame, fresh: DataFrame, partition_by: list[str]) -> DataFrame:
+    """The stored rows in the partitions that the fresh rows go to.
+
+    A few partitions are named in the filter, so that the others are not even
+    listed; beyond that a join picks them.
+    """
+    wanted = fresh.select(*partition_by).distinct()
+    few = wanted.limit(FEW_PARTITIONS + 1).collect()
+    if len(few) > FEW_PARTITIONS or any(None in row for row in few):
+        same = [stored[c].eqNullSafe(wanted[c]) for c in partition_by]
+        return stored.join(wanted, same, "left_semi")
+    for i, col in enumerate(partition_by):
+        stored = stored.where(F.col(col).isin(list({row[i] for row in few})))
+    return stored
+
+
 def append_rows(
     df: DataFrame, path: str, key_cols: list[str], partition_by: list[str] | None = None
 ) -> DataFrame:
@@ -77,21 +98,13 @@ def append_rows(
     partitions that the new rows touch. One writer at a time.
     """
     spark = df.sparkSession
-    fresh = df.dropDuplicates(key_cols)
     partition_by = partition_by or []
-    try:
-        stored = spark.read.schema(df.schema).parquet(path)
-        stored.limit(0).count()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = None
+    fresh = df.dropDuplicates(key_cols)
+    stored = _stored(spark, path, df.schema)
     if stored is not None:
-        keys = stored.select(*dict.fromkeys([*key_cols, *partition_by]))
         if partition_by:
-            touched = df.select(*partition_by).distinct()
-            keys = keys.join(touched, partition_by, "left_semi")
-        fresh = fresh.join(keys.select(*key_cols), key_cols, "left_anti")
+            stored = _touched(stored, df, partition_by)
+        fresh = fresh.join(stored.select(*key_cols), key_cols, "left_anti")
     writer = fresh.select(*df.columns).write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

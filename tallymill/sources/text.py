@@ -65,10 +65,14 @@ def stage_slices(
     cores = df.sparkSession.sparkContext.defaultParallelism
     wanted = max(cores, math.ceil(max(sizes, default=0) / rows_per_file))
     files = max(1, min(wanted, min(sizes, default=0) // MIN_ROWS_PER_FILE))
-    for i in range(slices):
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df
+        if low is not None:
+            part = part.where(F.col(order) > low)
+        if high is not None:
+            part = part.where(F.col(order) <= high)
         (
-            df.where(number == i)
-            .select(*(columns or df.columns))
+            part.select(*(columns or df.columns))
             .repartition(files)
             .write.mode("append")
             .format(fmt)
