@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymill.functions.timefmt import duration_text, start_text
 
-HEADER = ""  # section name of the suite's own phases; sorts before any benchmark
+SUITE = ""  # section of the suite run itself; sorts before any benchmark
 
 
-def _timing(description) -> F.Column:
+def _timing(description: Column) -> Column:
     """Description, start and duration of one phase, and an empty line."""
     return F.concat_ws(
         "\n",
@@ -20,7 +22,7 @@ def _timing(description) -> F.Column:
     )
 
 
-def _joined(entries: str) -> F.Column:
+def _joined(entries: str) -> Column:
     """The texts of (order, text) entries, in order."""
     texts = F.transform(F.array_sort(entries), lambda e: e["text"])
     return F.array_join(texts, "")
@@ -31,37 +33,40 @@ def report(
 ) -> DataFrame:
     """(suite_uid, section, part, report).
 
-    A suite run's report is its texts in order of section and part: first its own
-    phases, then each benchmark with its runs by run id. ``phases`` is (run,
-    phase, start_time, duration) with the suite run as ``run``. A part covers at
-    most ``2**bits`` run ids, so no benchmark's text is gathered as a whole.
+    A suite run's report is its texts in order of section and part: a heading and
+    its own phases, then for each benchmark a heading (part -1) and its runs by
+    run id. ``phases`` is (run, phase, start_time, duration) with the suite run
+    as ``run`` and one row per phase. A part covers at most ``2**bits`` run ids,
+    so no benchmark's text is gathered as a whole.
     """
+
+    def heading(section, text, *keys) -> DataFrame:
+        named = runs.select("suite_uid", *keys).distinct()
+        part = F.lit(-1).cast("bigint").alias("part")
+        return named.select("suite_uid", section.alias("section"), part, text.alias("report"))
+
     entry = F.struct(F.col("run_id").alias("order"), _timing(F.lit(phase)).alias("text"))
-    sections = (
+    texts = [
+        heading(F.lit(SUITE), F.concat(F.lit("Suite "), "suite_uid", F.lit("\n\n"))),
+        heading(F.col("bench_id"), F.concat("bench_id", F.lit(":\n\n")), "bench_id"),
         runs.groupBy(
             "suite_uid",
             F.col("bench_id").alias("section"),
             F.shiftright("run_id", bits).alias("part"),
         )
         .agg(F.collect_list(entry).alias("entries"))
-        .select(
-            "suite_uid",
-            "section",
-            "part",
-            F.concat(F.concat("section", F.lit(":\n\n")), _joined("entries")).alias("report"),
+        .select("suite_uid", "section", "part", _joined("entries").alias("report")),
+    ]
+    if phases is not None:
+        entry = F.struct(F.col("phase").alias("order"), _timing(F.col("phase")).alias("text"))
+        texts.append(
+            phases.groupBy(F.col("run").alias("suite_uid"))
+            .agg(F.collect_list(entry).alias("entries"))
+            .select(
+                "suite_uid",
+                F.lit(SUITE).alias("section"),
+                F.lit(0).cast("bigint").alias("part"),
+                _joined("entries").alias("report"),
+            )
         )
-    )
-    if phases is None:
-        return sections
-    entry = F.struct(F.col("phase").alias("order"), _timing(F.col("phase")).alias("text"))
-    header = (
-        phases.groupBy(F.col("run").alias("suite_uid"))
-        .agg(F.collect_list(entry).alias("entries"))
-        .select(
-            "suite_uid",
-            F.lit(HEADER).alias("section"),
-            F.lit(0).cast("bigint").alias("part"),
-            F.concat(F.lit("Suite "), "suite_uid", F.lit("\n\n"), _joined("entries")).alias("report"),
-        )
-    )
-    return header.unionByName(sections)
+    return reduce(DataFrame.unionByName, texts)

@@ -457,7 +457,7 @@ def log_file_scan(spark, d):
 @query
 def run_failed_flag(spark, d):
     text = views.log_text(spark, d)
-    exempt = spark.range(1).select(F.lit(EXEMPT).alias("system"))
+    exempt = spark.createDataFrame([(EXEMPT,)], "system string")
     runs = views.results(spark, d).select("run_id", "failed")
     return log_ops.failed_flag(runs, log_ops.scan_logs(text), exempt)
 

@@ -315,12 +315,16 @@ ORACLES: dict[str, str] = {
         phases as (select suite_uid, bench_id,
             concat(bench_id, chr(10), {STARTED}, chr(10), {TOOK}, chr(10), chr(10)) as entry
           from last)
-        select suite_uid, section, part, concat(section, ':', chr(10), chr(10),
-            string_agg(entry, '' order by seq)) as report
-        from entries group by suite_uid, section, part
+        select distinct suite_uid, '' as section, -1 as part,
+            concat('Suite ', suite_uid, chr(10), chr(10)) as report from runs
         union all
-        select suite_uid, '', 0, concat('Suite ', suite_uid, chr(10), chr(10),
-            string_agg(entry, '' order by bench_id)) from phases group by suite_uid""",
+        select distinct suite_uid, bench_id, -1, concat(bench_id, ':', chr(10), chr(10)) from runs
+        union all
+        select suite_uid, '', 0, string_agg(entry, '' order by bench_id)
+        from phases group by suite_uid
+        union all
+        select suite_uid, section, part, string_agg(entry, '' order by seq)
+        from entries group by suite_uid, section, part""",
     "systems_union": """select k, row_number() over (order by pr, k) - 1 as idx from (
           select c_nationkey as k, n_regionkey as pr from customer
             join nation on c_nationkey = n_nationkey
