@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
 LEFT, RIGHT = "_left", "_right"
@@ -32,48 +32,44 @@ def row_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def _measures(df: DataFrame) -> list[tuple[str, Column]]:
-    """(check, value of one row); the check's total is exact in any row order."""
-    measures = [("rows", F.lit(1))]
+def _totals(df: DataFrame, side: str) -> dict[str, str]:
+    """Check to SQL aggregate over counted rows, for the copies on one side.
+
+    Sums are whole numbers, so that row order does not matter.
+    """
+    totals = {"rows": f"sum({side})"}
     for field in df.schema.fields:
-        col, kind = F.col(field.name), field.dataType
-        measures.append((f"non_null:{field.name}", col.isNotNull().cast("int")))
+        name, col, kind = field.name, f"`{field.name}`", field.dataType
+        totals[f"non_null:{name}"] = f"sum(if({col} is null, 0, {side}))"
         if isinstance(kind, T.StringType):
-            measures.append((f"chars:{field.name}", F.length(col)))
-        elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-            measures.append((f"sum:{field.name}", col.cast("decimal(18,4)")))
-        elif isinstance(kind, T.IntegralType):
-            measures.append((f"sum:{field.name}", col.cast("decimal(20,0)")))
+            totals[f"chars:{name}"] = f"sum(length({col}) * {side})"
+        elif isinstance(kind, T.NumericType):
+            totals[f"min:{name}"] = f"min(if({side} > 0, {col}, null))"
+            totals[f"max:{name}"] = f"max(if({side} > 0, {col}, null))"
         elif isinstance(kind, (T.DateType, T.TimestampNTZType, T.TimestampType)):
-            measures.append((f"days:{field.name}", F.datediff(col, F.lit("1970-01-01"))))
-    return measures
+            totals[f"days:{name}"] = f"sum(datediff({col}, '1970-01-01') * {side})"
+    return totals
 
 
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     """(check, left_value, right_value, same): one row per check.
 
     ``only_here`` counts the row copies that the other side lacks; the other
-    checks are totals of each column.
+    checks are totals and ranges of each column, null where it has no value.
     """
-    counted = row_counts(left, right)
-    measures = _measures(left)
-    zero = F.lit(0)
-    sides = {}
-    for here, there in ((LEFT, RIGHT), (RIGHT, LEFT)):
-        copies = F.col(here).cast("decimal(18,0)")
-        totals = [F.sum(value * copies) for _, value in measures]
-        totals.append(F.sum(F.greatest(F.col(here) - F.col(there), zero)))
-        sides[here] = [F.coalesce(t.cast("double"), F.lit(0.0)) for t in totals]
-    names = [name for name, _ in measures] + ["only_here"]
-    row = counted.agg(
-        *[
-            F.struct(
-                F.lit(name).alias("check"),
-                a.alias("left_value"),
-                b.alias("right_value"),
-                ((a == b) & (F.lit(name != "only_here") | (a + b == 0))).alias("same"),
-            ).alias(f"c{i}")
-            for i, (name, a, b) in enumerate(zip(names, sides[LEFT], sides[RIGHT]))
-        ]
+    here, there = _totals(left, LEFT), _totals(left, RIGHT)
+    checks = [
+        f"""struct('{name}' as check, double({here[name]}) as left_value,
+            double({there[name]}) as right_value, {here[name]} <=> {there[name]} as same)"""
+        for name in here
+    ]
+    checks.append(
+        f"""struct('only_here' as check, double(sum(greatest({LEFT} - {RIGHT}, 0))) as left_value,
+            double(sum(greatest({RIGHT} - {LEFT}, 0))) as right_value,
+            coalesce(sum(abs({LEFT} - {RIGHT})), 0) = 0 as same)"""
+    )
+    return (
+        row_counts(left, right)
+        .selectExpr(f"array({', '.join(checks)}) as checks")
+        .selectExpr("inline(checks)")
     )
-    return row.select(F.inline(F.array(*[f"c{i}" for i in range(len(names))])))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 LOG_PATH = r"logs/([^/]+)/([^/]+)/(\d+)/([^/]+)(?:/([^/]+))?$"
 # <system>_<role>[_<worker>].<log or out>
 LOG_FILE = r"^([^_.]+)_([^_.]+)(?:_([^_.]+))?\.(log|out)$"
+MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
 
 
 def parse_log_path(df: DataFrame, path_col: str) -> DataFrame:
@@ -27,14 +28,15 @@ def parse_log_path(df: DataFrame, path_col: str) -> DataFrame:
     )
 
 
-def read_log_lines(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, line_no, line) of every log file, lines numbered from 0.
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line) of every log file below ``path``, numbered from 0.
 
     A large file is read by many tasks. Each task's share of it (one file block)
     is numbered locally; the blocks' line counts, one row per block, then say
     where each share starts. No file passes through one task.
     """
-    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", recursive).text(path)
+    _pin_splits(spark)
+    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
     lines = raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -54,6 +56,19 @@ def read_log_lines(spark: SparkSession, path: str, recursive: bool = True) -> Da
         "block",
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"),
     )
-    return lines.join(starts, ["path", "block"]).select(
-        "path", (F.col("seq") + F.col("shift")).alias("line_no"), "line"
+    number = F.coalesce(
+        F.col("seq") + F.col("shift"), F.raise_error("log blocks changed").cast("bigint")
     )
+    return lines.join(starts, ["path", "block"], "left").select(
+        "path", number.alias("line_no"), "line"
+    )
+
+
+def _pin_splits(spark: SparkSession) -> None:
+    """Keep file splits the same in every scan of this session.
+
+    They depend on the number of cores, which may change while a query runs,
+    unless a minimum number of partitions is set.
+    """
+    if spark.conf.get(MIN_PARTITIONS, None) is None:
+        spark.conf.set(MIN_PARTITIONS, str(spark.sparkContext.defaultParallelism))

@@ -112,9 +112,11 @@ def test_compare_finds_differences(spark):
     checks = {r.check: (r.left_value, r.right_value, r.same) for r in compare(left, right).collect()}
     assert checks["only_here"] == (1, 1, False)
     assert checks["rows"] == (4, 4, True)
-    assert checks["sum:k"] == (5, 7, False)
+    assert checks["min:k"] == (1, 1, True) and checks["max:k"] == (2, 3, False)
+    assert checks["min:x"] == (1.5, 0.1, False)
+    assert checks["chars:s"] == (3, 3, True)
     assert checks["non_null:s"] == (3, 3, True)
-    assert checks["days:d"][2]
+    assert checks["days:d"] == (19723 * 3, 19723 * 3, True)
 
 
 def test_compare_empty_tables(spark):
