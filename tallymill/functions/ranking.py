@@ -7,12 +7,18 @@ of a piece, and add the sizes of the pieces before it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallymill.sources.scratch import materialize
 
-# Group columns travel as one struct, "_group". Structs compare equal where the
-# same fields are null, so rows with a null group are numbered like any others.
+
+def _blank(kind: T.DataType) -> Column:
+    """Any value of the type, to stand in for null beside a flag."""
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(kind)
+    if isinstance(kind, (T.StringType, T.NumericType, T.BooleanType)):
+        return F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind)
+    raise TypeError(f"cannot group by {kind.simpleString()}")
 
 
 def number_within(
@@ -22,37 +28,59 @@ def number_within(
     number: str = "row_no",
     total: str | None = None,
     bits: int = 22,
+    attach: DataFrame | None = None,
 ) -> DataFrame:
     """0-based row number within ``group`` by the integer column ``order``.
 
     ``order`` must be unique within a group. A piece is the rows of a group that
     share ``order >> bits``, so it holds at most ``2**bits`` rows whatever the
-    skew. ``total`` names an optional column with the group's row count.
+    skew. ``total`` names an optional column with the group's row count. The
+    columns of ``attach``, keyed by columns of ``group``, come with the pieces'
+    sizes, so that the rows need no second join.
     """
-    others = [c for c in df.columns if c not in group]
-    cut = df.select(
-        F.struct(F.struct(*group).alias("g"), F.shiftright(order, bits).alias("p")).alias("_piece"),
-        *others,
+    # keys without nulls, so that the window and the join share one shuffle
+    kinds = {c: df.schema[c].dataType for c in group}
+    null_bits = sum(
+        (F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(group)), F.lit(0)
+    )
+    cut = df.withColumns(
+        {
+            "_nulls": null_bits,
+            "_piece": F.shiftright(order, bits),
+            **{c: F.coalesce(c, _blank(kind)) for c, kind in kinds.items()},
+        }
+    )
+    whole = ["_nulls", *group]
+    keys = [*whole, "_piece"]
+    before = (
+        Window.partitionBy(*whole)
+        .orderBy("_piece")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select(
+        *keys,
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+        *([F.sum("_size").over(Window.partitionBy(*whole)).alias(total)] if total else []),
     )
-    whole = Window.partitionBy("_group")
-    before = whole.orderBy("_piece.p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy("_piece")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_group", F.col("_piece.g"))
+    added = [total] if total else []
+    if attach is not None:
+        on = [c for c in group if c in attach.columns]
+        offsets = offsets.join(attach, on, "left")
+        added += [c for c in attach.columns if c not in on]
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    restored = {
+        c: F.when(F.col("_nulls").bitwiseAND(1 << i) == 0, F.col(c)) for i, c in enumerate(group)
+    }
+    return (
+        cut.withColumn("_inside", inside - 1)
+        .join(offsets, keys)
         .select(
-            "_piece",
-            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-            F.sum("_size").over(whole).alias("_total"),
+            *[restored[c].alias(c) if c in restored else c for c in df.columns],
+            (F.col("_before") + F.col("_inside")).alias(number),
+            *added,
         )
     )
-    inside = F.row_number().over(Window.partitionBy("_piece").orderBy(order))
-    numbered = cut.withColumn("_inside", inside - 1)
-    return numbered.join(offsets, "_piece").select(
-        *[F.col(f"_piece.g.{c}").alias(c) if c in group else c for c in df.columns],
-        (F.col("_before") + F.col("_inside")).alias(number),
-        *([F.col("_total").alias(total)] if total else []),
-    )
 
 
 def range_positions(
@@ -64,6 +92,9 @@ def range_positions(
 ) -> DataFrame:
     """0-based row number within ``group`` (or overall) by any sortable columns.
 
+    The group travels as a struct: structs are equal where the same fields are
+    null, so rows without a group are numbered like any others.
+
     Rows are range-partitioned, so a large group spreads over several tasks and
     only one row per task and group is needed to line them up. The ranged rows
     are written out first: range bounds are sampled, and a second evaluation

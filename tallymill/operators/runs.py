@@ -131,9 +131,9 @@ def with_slots(df: DataFrame, step: float = 2.0, space: float = 1.5) -> DataFram
     bar = float(min(space, step))
     uids = df.select("suite_id", "suite_uid").distinct()
     ticks = range_positions(uids, ["suite_uid"], ["suite_id"], "_tick")
-    cells = number_within(df, ["suite_uid", "bench_id"], "run_id", "_slot", "_slots")
+    cell = ["suite_id", "suite_uid", "bench_id"]
     return (
-        cells.join(ticks, ["suite_id", "suite_uid"])
+        number_within(df, cell, "run_id", "_slot", "_slots", attach=ticks)
         .withColumn("x", F.col("_tick") * F.lit(step))
         .withColumn("width", F.lit(bar) / F.col("_slots"))
         .withColumn("pos", F.col("x") + F.lit((step - bar) / 2) + F.col("_slot") * F.col("width"))

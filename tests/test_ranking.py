@@ -45,6 +45,15 @@ def test_number_within_leaves_out_total(spark, rows):
     assert number_within(df, ["g"], "i").columns == ["g", "h", "i", "row_no"]
 
 
+def test_number_within_attaches_columns_by_group(spark, rows):
+    df = spark.createDataFrame(rows, "g string, h int, i bigint")
+    names = spark.createDataFrame([("hot", 1), ("a", 2)], "g string, tag int")
+    out = number_within(df, ["g", "h"], "i", "n", attach=names, bits=5)
+    assert out.columns == ["g", "h", "i", "n", "tag"]
+    tags = {"hot": 1, "a": 2}
+    assert {(r.i, r.tag) for r in out.collect()} == {(i, tags.get(g)) for g, _, i in rows}
+
+
 def test_number_within_when_rows_are_shuffled(spark, rows):
     """Without broadcasts, facts are shuffled once for numbering and join."""
     df = spark.createDataFrame(rows, "g string, h int, i bigint")
