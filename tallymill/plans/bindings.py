@@ -13,7 +13,7 @@ from tallymill.operators import logs as log_ops
 from tallymill.operators import runs as run_ops
 from tallymill.operators import wordcount as wc
 from tallymill.operators.factorize import factorize, with_sides
-from tallymill.operators.grep import grep
+from tallymill.operators.grep import grep as find_words
 from tallymill.operators.report import report
 from tallymill.plans import views
 from tallymill.sources import generate
@@ -36,7 +36,8 @@ from tallymill.sources.text import (
     write_text,
 )
 from tallymill.streaming.drive import drain_with_restarts
-from tallymill.streaming.grep import stream_copy, stream_grep
+from tallymill.streaming.files import stream_copy
+from tallymill.streaming.grep import stream_grep
 from tallymill.streaming.wordcount import (
     stream_count_windows,
     stream_time_windows,
@@ -280,8 +281,8 @@ def wordcount_time_window_batch(spark, d):
 
 
 @query
-def grep_words(spark, d):
-    return grep(views.lines(spark, d), "line", GREP_WORDS)
+def grep(spark, d):
+    return find_words(views.lines(spark, d), "line", GREP_WORDS)
 
 
 @query
@@ -481,6 +482,3 @@ def systems_union(spark, d):
         for name, col in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))
     ]
     return run_ops.ordered_union([*listed, nations], "k", "pr")
-
-
-QUERIES["grep"] = QUERIES.pop("grep_words")

@@ -15,6 +15,12 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path)
 
 
+def read_words(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """(entry): one dictionary entry per line, from ``encoding`` to UTF-8."""
+    raw = F.col("value").cast("binary")
+    return read_text(spark, path).select(F.decode(raw, encoding).alias("entry"))
+
+
 def write_text(df: DataFrame, col: str, path: str) -> str:
     df.select(F.col(col).alias("value")).write.option("lineSep", "\n").text(path)
     return path

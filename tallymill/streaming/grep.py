@@ -1,4 +1,4 @@
-"""Word search and plain copies of streams."""
+"""Word search over streams."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from tallymill.operators.grep import grep
-from tallymill.streaming.drive import drain
+from tallymill.streaming.files import to_files
 
 
 def stream_grep(
@@ -17,26 +17,6 @@ def stream_grep(
     checkpoint: str,
     partition_by_word: bool = False,
 ) -> DataStreamWriter:
-    """A writer of the matching lines; the file sink takes each batch once."""
-    return _files(grep(stream, col, words), sink_path, checkpoint,
-                  ["word"] if partition_by_word else [])
-
-
-def stream_copy(
-    stream: DataFrame, sink_path: str, checkpoint: str, timeout: int | None = None
-) -> DataFrame:
-    """Everything the stream holds, stored as a table."""
-    drain(_files(stream, sink_path, checkpoint, []), timeout)
-    return stream.sparkSession.read.schema(stream.schema).parquet(sink_path)
-
-
-def _files(
-    stream: DataFrame, sink_path: str, checkpoint: str, partition_by: list[str]
-) -> DataStreamWriter:
-    writer = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", sink_path)
-        .option("checkpointLocation", checkpoint)
-    )
-    return writer.partitionBy(*partition_by) if partition_by else writer
+    """A writer of the matching lines, as files, by word if wanted."""
+    partition_by = ["word"] if partition_by_word else None
+    return to_files(grep(stream, col, words), sink_path, checkpoint, partition_by)

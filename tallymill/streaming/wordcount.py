@@ -16,6 +16,7 @@ from tallymill.operators.wordcount import (
 )
 from tallymill.session import ROCKSDB_PROVIDER
 from tallymill.streaming.drive import drain
+from tallymill.streaming.files import to_files
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -95,12 +96,7 @@ def stream_count_windows(
         outputMode="append",
         timeMode="None",
     )
-    writer = (
-        windows.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", sink_path)
-        .option("checkpointLocation", checkpoint)
-    )
+    writer = to_files(windows, sink_path, checkpoint)
     provider = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKSDB_PROVIDER)  # needed for value state
     try:
@@ -122,11 +118,5 @@ def stream_time_windows(
 ) -> DataFrame:
     """(window_start, word, n) of the windows that closed before the stream ended."""
     counts = time_window_count(stream, ts, key, width, delay)
-    writer = (
-        counts.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", sink_path)
-        .option("checkpointLocation", checkpoint)
-    )
-    drain(writer, timeout)
+    drain(to_files(counts, sink_path, checkpoint), timeout)
     return stream.sparkSession.read.schema(counts.schema).parquet(sink_path)

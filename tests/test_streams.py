@@ -8,7 +8,8 @@ from tallymill.operators.wordcount import count_windows, time_window_count, word
 from tallymill.plans import views
 from tallymill.sources.text import stage_slices, stream_files, stream_text
 from tallymill.streaming.drive import drain, drain_with_restarts
-from tallymill.streaming.grep import stream_copy, stream_grep
+from tallymill.streaming.files import stream_copy
+from tallymill.streaming.grep import stream_grep
 from tallymill.streaming.wordcount import (
     last_totals,
     stream_count_windows,
