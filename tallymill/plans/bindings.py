@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -71,6 +72,21 @@ def query(fn: Query) -> Query:
     return bound
 
 
+@contextmanager
+def _local_state(spark: SparkSession) -> Iterator[None]:
+    """On a single machine, at most twice as many state partitions as cores; a
+    cluster's own setting is left alone."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        spark.conf.set(key, str(min(int(before), 2 * context.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # --- generators, sources and sinks ---------------------------------------
 
 
@@ -224,13 +240,14 @@ def wordcount_streaming(spark, d):
     per_batch = stage_slices(
         texts, "doc_id", path, fmt="text", columns=["text"], rows_per_file=TEXTS_PER_FILE
     )
-    return stream_word_count(
-        stream_text(spark, path, per_batch),
-        "value",
-        scratch_path(spark, "totals"),
-        scratch_path(spark, "totals-checkpoint"),
-        STREAM_SECONDS,
-    )
+    with _local_state(spark):
+        return stream_word_count(
+            stream_text(spark, path, per_batch),
+            "value",
+            scratch_path(spark, "totals"),
+            scratch_path(spark, "totals-checkpoint"),
+            STREAM_SECONDS,
+        )
 
 
 @query
@@ -247,14 +264,15 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def wordcount_count_window_stream(spark, d):
-    return stream_count_windows(
-        _event_stream(spark, d),
-        "event_type",
-        scratch_path(spark, "windows"),
-        scratch_path(spark, "windows-checkpoint"),
-        WINDOW_SIZE,
-        timeout=STREAM_SECONDS,
-    )
+    with _local_state(spark):
+        return stream_count_windows(
+            _event_stream(spark, d),
+            "event_type",
+            scratch_path(spark, "windows"),
+            scratch_path(spark, "windows-checkpoint"),
+            WINDOW_SIZE,
+            timeout=STREAM_SECONDS,
+        )
 
 
 def _naive_start(df: DataFrame) -> DataFrame:
@@ -263,8 +281,8 @@ def _naive_start(df: DataFrame) -> DataFrame:
 
 @query
 def wordcount_time_window_stream(spark, d):
-    return _naive_start(
-        stream_time_windows(
+    with _local_state(spark):
+        closed = stream_time_windows(
             _event_stream(spark, d),
             "ts",
             "event_type",
@@ -272,7 +290,7 @@ def wordcount_time_window_stream(spark, d):
             scratch_path(spark, "hours-checkpoint"),
             timeout=STREAM_SECONDS,
         )
-    )
+    return _naive_start(closed)
 
 
 @query
