@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as spark_entry
 import oracle
-
-QUERIES, SQL = spark_entry.queries(), spark_entry.oracle_sql()
+from tallymill.plans.bindings import QUERIES
+from tallymill.plans.oracles import ORACLES as SQL
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +15,8 @@ def con(medium):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(spark_entry.queries())
+    assert set(SQL) <= set(spark_entry.oracle_sql())
 
 
 @pytest.mark.parametrize("key", list(QUERIES))
