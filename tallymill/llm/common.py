@@ -74,9 +74,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     a join, so no group is gathered; rounds grow with the logarithm of the
     longest path. Each round's edges are written, so lost executors cost a round.
     """
-    e = edges.select(F.least(a, b).alias("hi"), F.greatest(a, b).alias("lo"))
-    e = e.where("hi <> lo").select(F.col("lo").alias("hi"), F.col("hi").alias("lo")).distinct()
-    e = materialize(e, "edges")
+    e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
+    e = materialize(e.where("hi <> lo").distinct(), "edges")
     seen = _print(e, "hi", "lo")
     while seen[0]:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm import quality
+from tallymill.llm import neardup, quality
 from tallymill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,9 @@ def op1_quality_rules(spark, d):
         F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed", "kept",
     )
+
+
+@query
+def op10_minhash_dedup(spark, d):
+    found = neardup.near_duplicates(read_table(spark, d, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
