@@ -2,4 +2,77 @@
 
 from __future__ import annotations
 
+from tallymill.llm.quality import STOP_WORDS, stop_forms
+
 ORACLES: dict[str, str] = {}
+
+ORACLES["op2_decontamination"] = r"""
+with doc_words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+item_words as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+item_starts as (
+  select item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) as s from item_words where len(w) > 0),
+windows as (
+  select distinct item_id, least(len(w), 13) as n, array_to_string(w[s : s + 12], ' ') as phrase from item_starts),
+lengths as (select distinct n from windows),
+places as (
+  select doc_id, w, lengths.n as n, unnest(range(1, len(w) - lengths.n + 2)) as s
+  from doc_words, lengths where len(w) >= lengths.n),
+hits as (
+  select p.doc_id, p.s, p.n, windows.item_id
+  from (select doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') as phrase from places) p
+  join windows on windows.phrase = p.phrase and windows.n = p.n),
+hit_words as (
+  select doc_id, count(distinct pos) as n_hit
+  from (select doc_id, unnest(range(s, s + n)) as pos from hits) group by doc_id),
+hit_items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words,
+  cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from doc_words d left join hit_words using (doc_id) left join hit_items using (doc_id)
+"""
+
+ORACLES["op1_quality_rules"] = r"""
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+parts as (
+  select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from texts),
+windows as (
+  select doc_id, s, array_to_string(w[s : s + 4], ' ') as g
+  from (select doc_id, w, unnest(range(1, len(w) - 3)) as s from parts where len(w) >= 5)),
+again as (select doc_id, g from windows group by doc_id, g having count(*) > 1),
+repeated as (
+  select doc_id, count(distinct pos) as n
+  from (select doc_id, unnest(range(s, s + 5)) as pos from windows join again using (doc_id, g))
+  group by doc_id),
+counts as (
+  select p.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols,
+    len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    coalesce(r.n, 0) as n_repeat_words,
+    length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) as n_upper,
+    len(list_filter(w, lambda x: list_contains({stops}, x))) as n_stop
+  from parts p left join repeated r using (doc_id)),
+verdict as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counts)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
+  cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+  cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+  case when base_failed then false else
+    n_words <= 1000000 and word_chars / n_words between 2 and 12 and n_symbols / n_words <= 0.3
+    and n_upper / word_chars <= 0.5 and n_stop / n_words >= 0.04 and n_dup_lines / n_lines <= 0.5 end as kept
+from verdict
+"""
+
+ORACLES["op1_quality_rules"] = ORACLES["op1_quality_rules"].replace(
+    "{stops}", "[" + ", ".join(f"'{w}'" for w in stop_forms(STOP_WORDS)) + "]"
+)

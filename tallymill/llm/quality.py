@@ -47,6 +47,11 @@ THRESHOLDS = (
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
 
+def stop_forms(stop_words: dict[str, str]) -> list[str]:
+    """The words as listed and with a capital."""
+    return sorted({f for w in " ".join(stop_words.values()).split() for f in (w, w.title())})
+
+
 def compiled(rule: Rule) -> Column:
     """True where the rule holds; a measure without a value holds."""
     value = F.expr(rule.measure)
@@ -95,7 +100,7 @@ def quality_table(
     names; an empty table gives an empty one.
     """
     t = F.coalesce(column(text), F.lit(""))
-    stops = sorted({form for w in " ".join(stop_words.values()).split() for form in (w, w.title())})
+    stops = stop_forms(stop_words)
     step = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), t.alias("t"))
     step = step.select(
         "row", "t", spaced_words(F.col("t")).alias("w"),

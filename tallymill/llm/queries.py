@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm import neardup, quality
+from tallymill.llm import decontaminate, linededup, neardup, quality
 from tallymill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,23 @@ def op1_quality_rules(spark, d):
 def op10_minhash_dedup(spark, d):
     found = neardup.near_duplicates(read_table(spark, d, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op2_decontamination(spark, d):
+    found = decontaminate.contamination(
+        read_table(spark, d, "documents"), read_table(spark, d, "benchmark")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@query
+def op6_line_dedup(spark, d):
+    found = linededup.line_classes(read_table(spark, d, "documents"))
+    return found.select(
+        "doc_id", "n_lines", "n_links", F.size("repeats").cast("bigint").alias("n_repeats"),
+        "lines", "class_docs", "repeats",
+    )

@@ -48,3 +48,47 @@ def near_components(docs):
     ]
     named = roots(docs, edges)
     return {i: (len(sets[i]), named[i]) for i in docs}
+
+
+def one_edit(a, b):
+    """At most one insertion, deletion or substitution apart."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    i = next((i for i, c in enumerate(a) if c != b[i]), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
+def line_classes(docs):
+    """docs: id -> text. Id -> (lines, links, matched lines, class documents, repeats)."""
+    at = defaultdict(list)
+    for d, text in sorted(docs.items()):
+        for i, line in enumerate((text or "").split("\n")):
+            if len(line) >= 20 and re.search(r"[^\x20\x09-\x0D]", line):
+                at[line].append((d, i))
+    by_length = defaultdict(list)
+    for line in at:
+        by_length[len(line)].append(line)
+    links = set()
+    for n, group in by_length.items():
+        rest = by_length.get(n + 1, [])
+        for x, a in enumerate(group):
+            links |= {(a, b) for b in group[x + 1 :] + rest if one_edit(a, b)}
+    named = roots(at, links)
+    first, degree = {}, defaultdict(int)
+    for line, places in at.items():
+        first[named[line]] = min(first.get(named[line], places[0]), places[0])
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    out = {}
+    for d, text in docs.items():
+        lines = (text or "").split("\n")
+        match = [i for i, x in enumerate(lines) if x in at and (len(at[x]) > 1 or degree[x])]
+        begins = [first[named[lines[i]]] for i in match]
+        out[d] = (
+            len(lines), sum(degree[lines[i]] for i in match), match, [b[0] for b in begins],
+            [i for i, b in zip(match, begins) if b != (d, i)],
+        )
+    return out
