@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm import decontaminate, linededup, neardup, quality
+from tallymill.llm import decontaminate, linededup, neardup, packing, quality
 from tallymill.sources.tables import read_table
 
+VOCABULARY = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -17,6 +19,13 @@ def query(fn):
     return fn
 
 
+def vocabulary_file(name: str = VOCABULARY) -> str:
+    """The path of a public vocabulary, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op1_quality_rules(spark, d):
     docs = read_table(spark, d, "documents")
@@ -50,3 +59,12 @@ def op6_line_dedup(spark, d):
         "doc_id", "n_lines", "n_links", F.size("repeats").cast("bigint").alias("n_repeats"),
         "lines", "class_docs", "repeats",
     )
+
+
+@query
+def op4_packing(spark, d):
+    pieces = packing.packed_pieces(read_table(spark, d, "documents"), vocabulary_file())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )
