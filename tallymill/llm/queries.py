@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm import decontaminate, linededup, neardup, packing, quality
+from tallymill.llm import decontaminate, linededup, neardup, packing, quality, secrets
 from tallymill.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -68,3 +68,12 @@ def op4_packing(spark, d):
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset",
     )
+
+
+@query
+def op7_secret_scans(spark, d):
+    docs = read_table(spark, d, "documents")
+    return secrets.secret_spans(docs, secrets.train(docs)).select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2("base_spans", 256).alias("base_sha256"), "spans",
+    )
