@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallymill.llm.chat import CONTROL, END, SAYS, START
 from tallymill.llm.quality import STOP_WORDS, stop_forms
 
 ORACLES: dict[str, str] = {}
@@ -76,3 +77,29 @@ from verdict
 ORACLES["op1_quality_rules"] = ORACLES["op1_quality_rules"].replace(
     "{stops}", "[" + ", ".join(f"'{w}'" for w in stop_forms(STOP_WORDS)) + "]"
 )
+
+ORACLES["op5_chat_formatting"] = r"""
+with every as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized as (select *, length(text) + length(role) + {marks} + {extra:text} + {extra:role} as chars from every)
+select conv_id, cast(count(*) as bigint) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars
+from sized group by conv_id
+"""
+
+
+def _added(col: str) -> str:
+    """Characters that escaping adds: one per backslash and control string."""
+    return " + ".join(
+        f"(length({col}) - length(replace({col}, '{c}', ''))) // {len(c)}" for c in ("\\", *CONTROL)
+    )
+
+
+for _part, _sql in (
+    ("{marks}", str(len(START + SAYS + END))), ("{extra:text}", _added("text")), ("{extra:role}", _added("role")),
+):
+    ORACLES["op5_chat_formatting"] = ORACLES["op5_chat_formatting"].replace(_part, _sql)
