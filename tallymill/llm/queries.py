@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm import chat, decontaminate, linededup, neardup, packing, quality, secrets
+from tallymill.llm import (
+    chat, compression, decontaminate, langid, linededup, neardup, packing, quality, secrets,
+)
 from tallymill.sources.tables import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -128,3 +130,17 @@ def op5_chat_formatting(spark, d):
         F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query
+def op3_language_id(spark, d):
+    docs = read_table(spark, d, "documents")
+    profiles = langid.learn(docs.where(~langid.fold(F.col("doc_id"))))
+    return langid.identify(docs, profiles)
+
+
+@query
+def op9_quality_classifier(spark, d):
+    docs = read_table(spark, d, "documents")
+    model = compression.learn(docs, read_table(spark, d, "labels"))
+    return compression.quality_scores(docs, model)
