@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymill.llm import (
-    chat, compression, decontaminate, langid, linededup, neardup, packing, quality, secrets,
+    chat, compression, decontaminate, htmltext, langid, linededup, neardup, packing, quality, secrets,
 )
 from tallymill.sources.tables import read_table
 
@@ -144,3 +144,8 @@ def op9_quality_classifier(spark, d):
     docs = read_table(spark, d, "documents")
     model = compression.learn(docs, read_table(spark, d, "labels"))
     return compression.quality_scores(docs, model)
+
+
+@query
+def op8_html_extraction(spark, d):
+    return htmltext.extract(read_table(spark, d, "pages"))

@@ -1,0 +1,57 @@
+import html
+import re
+
+from tallymill.llm.htmltext import extract, main_text
+from tallymill.llm.queries import QUERIES
+from tallymill.sources.tables import read_table
+
+
+def _article(page):
+    """The blocks between the article's tags, cut at every block tag."""
+    body = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1)>", body)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " , b)).split()) for b in blocks]
+    return "\n".join(t for t in texts if t)
+
+
+def test_whole_table(spark, medium):
+    pages = {r.page_id: r for r in read_table(spark, medium, "pages").collect()}
+    found = QUERIES["op8_html_extraction"](spark, medium).collect()
+    assert len(found) == len(pages)
+    for r in found:
+        assert r.text == _article(pages[r.page_id].html) and r.url == pages[r.page_id].url
+        assert r.n_chars == len(r.text)
+
+
+PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="widget">
+<header><h1>Site</h1></header><nav><ul><li><a href=/a>Home<li><a>News</a></ul></nav>
+<div class="cookie-notice">We use <b>cookies</b><div>OK</div></div>%s
+<aside>More</aside><div id=comments><p>First!</div><form><input value="x>y">Send</form>
+<footer>&copy; us</footer><script>document.write("</p><p>no</p>")</script></body></html>"""
+
+
+def test_marked_main_part():
+    body = """<article class="post"><header><h2>A &amp; B</h2></header><p>One   two
+    <i>three</i>four.<p>Five<br>six &lt;b&gt;&nbsp;x<div class="ad">Buy</div><ul><li>i<li>j</ul>
+    <!-- <p>gone</p> --><blockquote>Said 5 < 6</blockquote><footer>by me</footer><p>Last.</article>"""
+    assert main_text(PAGE % body) == "A & B\nOne two threefour.\nFive six <b> x\ni\nj\nSaid 5 < 6\nLast."
+
+
+def test_unmarked_page():
+    long = "A sentence of the text that is long enough to make a surge of the distribution. " * 2
+    body = f"<div><a>one</a> <a>two</a></div><table><tr><td>{long}<td>and a short cell</table><p>{long}</p><p>End.</p>"
+    assert main_text(PAGE % body) == f"{long.strip()}\nand a short cell\n{long.strip()}\nEnd."
+    assert main_text("<p>too short</p>") == ""
+
+
+def test_odd_pages(spark):
+    pages = [None, "", "<", "<p", "plain", "<main>x", "<main>" + "<b>" * 3000 + "y", "<!-- " * 5000, "<main>" + "a <p>" * 50000,
+             "<div class='" * 3000, "<main>é 😀 &#x41;&unknown;  z</main>"]
+    rows = [(i or None, None, p, "x") for i, p in enumerate(pages)] + [(5, "u", "<main>x", "x")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    found = extract(df).collect()
+    assert len(found) == len(rows)
+    texts = {r.page_id: r.text for r in found}
+    assert [texts[i] for i in (None, 1, 2, 3, 4, 5, 6, 7, 9)] == ["", "", "", "", "", "x", "y", "", ""]
+    assert texts[8] == "\n".join(["a"] * 50000) and texts[10] == "é 😀 A&unknown; z"
+    assert extract(df.limit(0)).count() == 0
