@@ -1,121 +1,49 @@
 """Row numbers and totals within groups that one task could not hold.
 
 A plain ``row_number() over (partition by g)`` sends a whole group to one task.
-Both functions here first cut each group into bounded pieces, number the rows
-of a piece, and add the sizes of the pieces before it.
+Here rows are first cut into ranges of the group and the order, numbered within a
+range, and the sizes of the ranges before are added.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallymill.sources.scratch import materialize
 
 
-def _blank(kind: T.DataType) -> Column:
-    """Any value of the type, to stand in for null beside a flag."""
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.lit("1970-01-01").cast(kind)
-    if isinstance(kind, (T.StringType, T.NumericType, T.BooleanType)):
-        return F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind)
-    raise TypeError(f"cannot group by {kind.simpleString()}")
-
-
-def number_within(
-    df: DataFrame,
-    group: list[str],
-    order: str,
-    number: str = "row_no",
-    total: str | None = None,
-    bits: int = 22,
-    attach: DataFrame | None = None,
-) -> DataFrame:
-    """0-based row number within ``group`` by the integer column ``order``.
-
-    ``order`` must be unique within a group. A piece is the rows of a group that
-    share ``order >> bits``, so it holds at most ``2**bits`` rows whatever the
-    skew. ``total`` names an optional column with the group's row count. The
-    columns of ``attach``, keyed by columns of ``group``, come with the pieces'
-    sizes, so that the rows need no second join.
-    """
-    # keys without nulls, so that the window and the join share one shuffle
-    kinds = {c: df.schema[c].dataType for c in group}
-    null_bits = sum(
-        (F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(group)), F.lit(0)
-    )
-    cut = df.withColumns(
-        {
-            "_nulls": null_bits,
-            "_piece": F.shiftright(order, bits),
-            **{c: F.coalesce(c, _blank(kind)) for c, kind in kinds.items()},
-        }
-    )
-    whole = ["_nulls", *group]
-    keys = [*whole, "_piece"]
-    before = (
-        Window.partitionBy(*whole)
-        .orderBy("_piece")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select(
-        *keys,
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-        *([F.sum("_size").over(Window.partitionBy(*whole)).alias(total)] if total else []),
-    )
-    added = [total] if total else []
-    if attach is not None:
-        on = [c for c in group if c in attach.columns]
-        offsets = offsets.join(attach, on, "left")
-        added += [c for c in attach.columns if c not in on]
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    restored = {
-        c: F.when(F.col("_nulls").bitwiseAND(1 << i) == 0, F.col(c)) for i, c in enumerate(group)
-    }
-    return (
-        cut.withColumn("_inside", inside - 1)
-        .join(offsets, keys)
-        .select(
-            *[restored[c].alias(c) if c in restored else c for c in df.columns],
-            (F.col("_before") + F.col("_inside")).alias(number),
-            *added,
-        )
-    )
-
-
 def range_positions(
     df: DataFrame,
     order: list[str],
     group: list[str] | None = None,
     number: str = "row_no",
-    parts: int | None = None,
+    total: str | None = None,
+    attach: DataFrame | None = None,
 ) -> DataFrame:
     """0-based row number within ``group`` (or overall) by any sortable columns.
 
-    The group travels as a struct: structs are equal where the same fields are
-    null, so rows without a group are numbered like any others.
+    Nulls in ``order`` come first. ``total`` names an optional column with the
+    group's row count. The columns of ``attach``, keyed by columns of ``group``,
+    come with the ranges' sizes, so that the rows need no second join. Groups
+    travel as structs: structs are equal where the same fields are null, so rows
+    without a group are numbered like any others.
 
-    Rows are range-partitioned, so a large group spreads over several tasks and
-    only one row per task and group is needed to line them up. The ranged rows
-    are written out first: range bounds are sampled, and a second evaluation
-    might cut elsewhere.
+    Ranges are cut by samples of the rows, so a large group spreads over several
+    tasks whatever its ids look like, and only one row per task and group is
+    needed to line them up. The ranged rows are written out first: a second
+    evaluation might cut elsewhere.
     """
     group = group or []
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(F.struct(*group).alias("g") if group else F.lit(0).alias("g"), "_part")
     ranged = materialize(
-        df.repartitionByRange(parts, *group, *order)
+        df.repartitionByRange(*group, *order)
         .sortWithinPartitions(*group, *order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id()),
         "ranged",
     ).withColumn("_share", key)
-    before = (
-        Window.partitionBy("_group")
-        .orderBy("_share._part")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    whole = Window.partitionBy("_group")
+    before = whole.orderBy("_share._part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         ranged.groupBy("_share")
         .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_size"))
@@ -123,8 +51,29 @@ def range_positions(
         .select(
             "_share",
             (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+            *([F.sum("_size").over(whole).alias(total)] if total else []),
         )
     )
+    added = [total] if total else []
+    if attach is not None:
+        on = [c for c in group if c in attach.columns]
+        kept = [c for c in attach.columns if c not in on]
+        named = attach.select(F.struct(*on).alias("_on"), *kept)
+        shifts = shifts.withColumn("_on", F.struct(*[F.col(f"_share.g.{c}").alias(c) for c in on]))
+        shifts = shifts.join(named, "_on", "left").drop("_on")
+        added += kept
     return ranged.join(shifts, "_share").select(
-        *df.columns, (F.col("_row") + F.col("_shift")).alias(number)
+        *df.columns, (F.col("_row") + F.col("_shift")).alias(number), *added
     )
+
+
+def number_within(
+    df: DataFrame,
+    group: list[str],
+    order: str,
+    number: str = "row_no",
+    total: str | None = None,
+    attach: DataFrame | None = None,
+) -> DataFrame:
+    """0-based row number within ``group`` by ``order``, unique within a group."""
+    return range_positions(df, [order], group, number, total, attach)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-START_FORMAT = "dd.MM.yyyy HH:mm:ss"
-DAY_FORMAT = "dd.MM.yyyy"
+DAY = 86_400
 
 
 def duration_text(seconds: Column) -> Column:
@@ -21,12 +20,23 @@ def duration_text(seconds: Column) -> Column:
     )
 
 
-def start_text(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), START_FORMAT)
+def _two(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 2, "0")
 
 
 def day_text(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), DAY_FORMAT)
+    """``dd.mm.yyyy`` in UTC, whatever the session's time zone."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(epoch / DAY).cast("int"))
+    parts = [_two(F.dayofmonth(day)), _two(F.month(day)), F.lpad(F.year(day).cast("string"), 4, "0")]
+    return F.when(epoch.isNotNull(), F.concat_ws(".", *parts))
+
+
+def start_text(epoch: Column) -> Column:
+    """``dd.mm.yyyy hh:mm:ss`` in UTC."""
+    second = F.pmod(epoch, F.lit(DAY))
+    clock = [F.floor(second / 3600), F.floor(second / 60) % 60, second % 60]
+    text = F.concat(day_text(epoch), F.lit(" "), F.concat_ws(":", *map(_two, clock)))
+    return F.when(epoch.isNotNull(), text)
 
 
 def suite_epoch(suite_uid: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallymill.sources.scratch import scratch_path
 
+LEAST_BLOCKS = 100
+
 
 def factorize(
     df: DataFrame,
@@ -16,13 +18,15 @@ def factorize(
     rank: int = 15,
     reg: float = 1.0,
     iters: int = 10,
-    blocks: int = 100,
+    blocks: int | None = None,
     seed: int | None = None,
     checkpoint_interval: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
     """(user factors, item factors), each (id, features).
 
-    The two factor matrices are kept in ``blocks`` blocks a side. Every few
+    The two factor matrices are kept in ``blocks`` blocks a side, by default as
+    many as the cluster has cores or the input has partitions, and 100 at least.
+    Every few
     iterations they are checkpointed, so a lost executor costs those iterations
     and not the whole run. Ids must fit an ``int``; a larger one is an error.
     """
@@ -34,6 +38,8 @@ def factorize(
         F.col(item).cast("int").alias("item"),
         F.col(rating).cast("float").alias("rating"),
     )
+    if blocks is None:
+        blocks = max(LEAST_BLOCKS, spark.sparkContext.defaultParallelism, ratings.rdd.getNumPartitions())
     als = ALS(
         rank=rank,
         regParam=reg,
@@ -56,3 +62,12 @@ def with_sides(users: DataFrame, items: DataFrame) -> DataFrame:
     return users.select(F.lit("user").alias("side"), "id", "features").unionByName(
         items.select(F.lit("item").alias("side"), "id", "features")
     )
+
+
+def fit_error(ratings: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """(rmse): how far the factors' products are from the ratings."""
+    u = users.select(F.col("id").alias("user"), F.col("features").alias("u"))
+    v = items.select(F.col("id").alias("item"), F.col("features").alias("v"))
+    dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    off = ratings.join(u, "user").join(v, "item").select((dot - F.col("rating")).alias("d"))
+    return off.agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallymill.functions.ranking import number_within, range_positions
 from tallymill.functions.timefmt import day_text, duration_text, start_text, suite_epoch
+from tallymill.sources.scratch import materialize
 
 LATEST = 15  # suite runs shown in a chart
 
@@ -81,21 +82,21 @@ def latest_runs_per_suite(df: DataFrame, n: int = LATEST) -> DataFrame:
     )
 
 
-def suite_grid(df: DataFrame, suite_id: str, n: int = LATEST, shown: DataFrame | None = None) -> DataFrame:
+def suite_grid(df: DataFrame, suite_id: str, n: int = LATEST) -> DataFrame:
     """Every run of the newest ``n`` suite runs, and one row (0, -1) for each
-    suite run and benchmark that has none.
+    suite run and benchmark of the suite that has none.
 
-    ``shown`` holds the runs that may fill the cells, ``df`` itself by default.
     Runs are only filtered, never joined: a cell with most of the rows stays
-    spread out. Only the distinct cells meet the grid.
+    spread out. Newest runs, benchmarks and taken cells all come from the distinct
+    cells, which are found once.
     """
-    shown = df if shown is None else shown
-    newest = _newest(df, suite_id, n)
+    runs = df.where(F.col("suite_id") == suite_id)
+    cells = materialize(runs.select("suite_uid", "bench_id").distinct(), "cells")
+    newest = cells.select("suite_uid").distinct().orderBy(F.desc("suite_uid")).limit(n)
     uids = newest.agg(F.collect_list("suite_uid")).scalar()  # n values at most
-    recent = shown.where((F.col("suite_id") == suite_id) & F.array_contains(uids, F.col("suite_uid")))
-    grid = _benchmarks(df, suite_id).select("bench_id", F.explode(uids).alias("suite_uid"))
-    taken = recent.select("bench_id", "suite_uid").distinct()
-    gaps = grid.join(taken, ["bench_id", "suite_uid"], "left_anti")
+    recent = runs.where(F.array_contains(uids, F.col("suite_uid")))
+    grid = cells.select("bench_id").distinct().select("bench_id", F.explode(uids).alias("suite_uid"))
+    gaps = grid.join(cells, ["bench_id", "suite_uid"], "left_anti")
     return recent.select(
         "suite_uid",
         "bench_id",
@@ -162,11 +163,9 @@ def last_phase(
     df: DataFrame, run: str, phase: str, start: str, duration: str, seq: str
 ) -> DataFrame:
     """(run, phase, start_time, duration): the last timing of each phase."""
-    kept = F.max_by(F.struct(F.col(start).alias("s"), F.col(duration).alias("d")), F.col(seq))
-    return (
-        df.groupBy(F.col(run).alias("run"), F.col(phase).alias("phase"))
-        .agg(kept.alias("last"))
-        .select("run", "phase", F.col("last.s").alias("start_time"), F.col("last.d").alias("duration"))
+    last = lambda c: F.max_by(F.col(c), F.col(seq))
+    return df.groupBy(F.col(run).alias("run"), F.col(phase).alias("phase")).agg(
+        last(start).alias("start_time"), last(duration).alias("duration")
     )
 
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tallymill.functions.text import words_of
 
+# The worker function of this module travels with the task, so workers need not
+# have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Transform = Callable[[DataFrame], DataFrame]
 
 
@@ -45,7 +52,7 @@ def combine_words(
         part = (
             pa.Table.from_batches([batch])
             .group_by("word")
-            .aggregate([("word", "count")])
+            .aggregate([("word", "count", pa.compute.CountOptions(mode="all"))])
             .select(["word", "word_count"])
             .rename_columns(["word", "n"])
         )
@@ -75,6 +82,31 @@ def word_count_combined(df: DataFrame, col: str, max_entries: int = 50_000) -> D
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+# Windows whose rows one task makes at a time.
+WINDOWS_PER_BLOCK = 100_000
+
+
+def window_rows(spans: DataFrame, size: int) -> DataFrame:
+    """(word, w, n): windows ``first`` to ``end`` - 1 of each row of ``spans``.
+
+    Spans are cut into blocks and the blocks dealt out, so the windows of one
+    frequent word are made by many tasks.
+    """
+    per_block = WINDOWS_PER_BLOCK
+    low = F.greatest(F.col("first"), F.col("block") * per_block)
+    high = F.least(F.col("end"), (F.col("block") + 1) * per_block)
+    return (
+        spans.where(F.col("end") > F.col("first"))
+        .select(
+            "word", "first", "end",
+            F.explode(F.expr(f"sequence(first div {per_block}, (end - 1) div {per_block})")).alias("block"),
+        )
+        .repartition("word", "block")
+        .select("word", F.explode(F.sequence(low, high - 1)).alias("w"))
+        .select("word", "w", F.lit(size).cast("bigint").alias("n"))
+    )
+
+
 def count_windows(df: DataFrame, key: str, size: int = 10_000) -> DataFrame:
     """(word, w, n): tumbling windows of ``size`` occurrences of each key.
 
@@ -82,24 +114,9 @@ def count_windows(df: DataFrame, key: str, size: int = 10_000) -> DataFrame:
     incomplete last window is left out. Only the total per key decides this, so
     no rows are ordered or gathered per key.
     """
-    per_block = 1_000_000  # windows made from one array
-    last = F.expr(f"n div {size} - 1")
-    block = F.col("block")
-    return (
-        df.groupBy(F.col(key).alias("word"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= size)
-        .select("word", last.alias("last"))
-        .select("word", "last", F.explode(F.expr(f"sequence(0L, last div {per_block})")).alias("block"))
-        .select(
-            "word",
-            F.explode(
-                F.sequence(
-                    block * per_block, F.least("last", block * per_block + (per_block - 1))
-                )
-            ).alias("w"),
-        )
-        .select("word", "w", F.lit(size).cast("bigint").alias("n"))
+    totals = df.groupBy(F.col(key).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return window_rows(
+        totals.select("word", F.lit(0).cast("bigint").alias("first"), F.expr(f"n div {size}").alias("end")), size
     )
 
 

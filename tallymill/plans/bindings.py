@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +12,7 @@ from tallymill.operators import compare as cmp
 from tallymill.operators import logs as log_ops
 from tallymill.operators import runs as run_ops
 from tallymill.operators import wordcount as wc
-from tallymill.operators.factorize import factorize, with_sides
+from tallymill.operators.factorize import factorize, fit_error, with_sides
 from tallymill.operators.grep import grep as find_words
 from tallymill.operators.report import report
 from tallymill.plans import views
@@ -31,10 +30,11 @@ from tallymill.sources.tables import (
 )
 from tallymill.sources.text import (
     read_text,
-    stage_slices,
-    stream_files,
+    read_words,
+    stream_table,
     stream_text,
     write_text,
+    write_words,
 )
 from tallymill.streaming.drive import drain_with_restarts
 from tallymill.streaming.files import stream_copy
@@ -54,8 +54,13 @@ SUITE = "suite1"
 SUITE_UID = "suite1_1704067200"
 BENCH = "click"
 EXEMPT = "system3"
-STREAM_SECONDS = 1800
-TEXTS_PER_FILE = 50_000
+RUNS_WANTED = 13
+MAIN_PHASE = "click-3"
+# Root mean square error that ten iterations must stay below, for ratings with a
+# variance of 4.
+FIT_BOUND = 2.5
+# What one batch of a stream reads at most, about.
+BATCH_BYTES = 8 << 30
 
 QUERIES: dict[str, Query] = {}
 
@@ -72,21 +77,6 @@ def query(fn: Query) -> Query:
     return bound
 
 
-@contextmanager
-def _local_state(spark: SparkSession) -> Iterator[None]:
-    """On a single machine, at most twice as many state partitions as cores; a
-    cluster's own setting is left alone."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        spark.conf.set(key, str(min(int(before), 2 * context.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 # --- generators, sources and sinks ---------------------------------------
 
 
@@ -116,7 +106,9 @@ def gen_wc_lines(spark, d):
 
 @query
 def dictionary_normalize(spark, d):
-    return wc.normalize_words(views.dictionary_entries(spark, d), "entry")
+    entries = views.dictionary_entries(spark, d)
+    path = write_words(entries, "entry", scratch_path(spark, "dictionary-latin1"))
+    return wc.normalize_words(read_words(spark, path), "entry")
 
 
 @query
@@ -141,16 +133,11 @@ def text_source(spark, d):
 
 @query
 def text_stream_source(spark, d):
-    path = scratch_path(spark, "text-in")
-    texts = read_table(spark, d, "documents")
-    per_batch = stage_slices(
-        texts, "doc_id", path, fmt="text", columns=["text"], rows_per_file=TEXTS_PER_FILE
-    )
+    path = write_text(views.lines(spark, d), "line", scratch_path(spark, "text-in"))
     return stream_copy(
-        stream_text(spark, path, per_batch),
+        stream_text(spark, path, BATCH_BYTES),
         scratch_path(spark, "text-out"),
         scratch_path(spark, "text-checkpoint"),
-        STREAM_SECONDS,
     )
 
 
@@ -189,7 +176,9 @@ def logs_append(spark, d):
         ).alias("log_paths"),
     )
     path = scratch_path(spark, "logs")
-    return append_rows(explode_paths(per_run), path, ["run_id", "system"])
+    suites = views.runs(spark, d).select("run_id", "suite_uid")
+    logs = explode_paths(per_run).join(suites, "run_id")
+    return append_rows(logs, path, ["run_id", "system"], ["suite_uid"]).drop("suite_uid")
 
 
 @query
@@ -233,21 +222,19 @@ def wordcount_explicit_combine(spark, d):
     return wc.word_count_combined(views.documents(spark, d), "text")
 
 
+def _document_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = read_table(spark, d, "documents").select("doc_id", "text").schema
+    return stream_table(spark, d, "documents", schema, BATCH_BYTES)
+
+
 @query
 def wordcount_streaming(spark, d):
-    path = scratch_path(spark, "lines-in")
-    texts = read_table(spark, d, "documents")
-    per_batch = stage_slices(
-        texts, "doc_id", path, fmt="text", columns=["text"], rows_per_file=TEXTS_PER_FILE
+    return stream_word_count(
+        _document_stream(spark, d),
+        "text",
+        scratch_path(spark, "totals"),
+        scratch_path(spark, "totals-checkpoint"),
     )
-    with _local_state(spark):
-        return stream_word_count(
-            stream_text(spark, path, per_batch),
-            "value",
-            scratch_path(spark, "totals"),
-            scratch_path(spark, "totals-checkpoint"),
-            STREAM_SECONDS,
-        )
 
 
 @query
@@ -256,23 +243,20 @@ def wordcount_count_window(spark, d):
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "events-in")
-    columns = schemas.EVENTS.fieldNames()
-    per_batch = stage_slices(views.events(spark, d).select(*columns), "event_id", path)
-    return stream_files(spark, path, schemas.EVENTS, per_batch)
+    schema = read_table(spark, d, "events").select("event_id", "ts", "event_type").schema
+    stream = stream_table(spark, d, "events", schema, BATCH_BYTES)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query
 def wordcount_count_window_stream(spark, d):
-    with _local_state(spark):
-        return stream_count_windows(
-            _event_stream(spark, d),
-            "event_type",
-            scratch_path(spark, "windows"),
-            scratch_path(spark, "windows-checkpoint"),
-            WINDOW_SIZE,
-            timeout=STREAM_SECONDS,
-        )
+    return stream_count_windows(
+        _event_stream(spark, d),
+        "event_type",
+        scratch_path(spark, "windows"),
+        scratch_path(spark, "windows-checkpoint"),
+        WINDOW_SIZE,
+    )
 
 
 def _naive_start(df: DataFrame) -> DataFrame:
@@ -281,16 +265,14 @@ def _naive_start(df: DataFrame) -> DataFrame:
 
 @query
 def wordcount_time_window_stream(spark, d):
-    with _local_state(spark):
-        closed = stream_time_windows(
-            _event_stream(spark, d),
-            "ts",
-            "event_type",
-            scratch_path(spark, "hours"),
-            scratch_path(spark, "hours-checkpoint"),
-            timeout=STREAM_SECONDS,
-        )
-    return _naive_start(closed)
+    windows = stream_time_windows(
+        _event_stream(spark, d),
+        "ts",
+        "event_type",
+        scratch_path(spark, "hours"),
+        scratch_path(spark, "hours-checkpoint"),
+    )
+    return _naive_start(windows)
 
 
 @query
@@ -305,37 +287,40 @@ def grep(spark, d):
 
 @query
 def grep_restart(spark, d):
-    """The first attempt dies in the third of four batches; the second goes on."""
-    path = scratch_path(spark, "grep-in")
-    texts = read_table(spark, d, "documents").select("doc_id", "text")
-    per_batch = stage_slices(texts, "doc_id", path, rows_per_file=TEXTS_PER_FILE)
-    third = texts.agg(F.percentile_approx("doc_id", 0.6)).first()[0]
-    stream = stream_files(spark, path, texts.schema, per_batch).selectExpr(*views.LINE_COLUMNS)
+    """The first attempt dies at the last document; the second goes on."""
+    last = read_table(spark, d, "documents").agg(F.max("doc_id")).first()[0]
+    stream = _document_stream(spark, d).selectExpr(*views.LINE_COLUMNS)
     dying = stream.where(
-        F.when(F.col("doc_id") == third, F.raise_error("worker lost"))
+        F.when(F.col("doc_id") == last, F.raise_error("worker lost"))
         .otherwise(F.lit(True))
         .cast("boolean")
     )
     sink, checkpoint = scratch_path(spark, "grep-out"), scratch_path(spark, "grep-checkpoint")
-    drain_with_restarts(
-        lambda i: stream_grep(stream if i else dying, "line", GREP_WORDS, sink, checkpoint),
-        timeout=STREAM_SECONDS,
+    failures = drain_with_restarts(
+        lambda i: stream_grep(stream if i else dying, "line", GREP_WORDS, sink, checkpoint)
     )
-    found = spark.read.parquet(sink)
-    return found.select("word", *schemas.LINES.fieldNames())
+    if failures != (last is not None):
+        raise RuntimeError(f"{failures} failures where one was injected")
+    return spark.read.schema("word string, doc_id bigint, pos int, line string").parquet(sink)
 
 
 @query
 def als_factors(spark, d):
-    orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    items = read_table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    ratings = (
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item"))
-        .agg(F.avg("l_quantity").alias("rating"))
+    """Ratings generated for as many users and items as there are customers and
+    parts, stored under their parameters; both factor tables are stored as well."""
+    users = read_table(spark, d, "customer").count()
+    items = read_table(spark, d, "part").count()
+    sizes = (users, items, 20, 4, 40, 50)
+    name = "ratings-" + "-".join(map(str, sizes))
+    ratings = write_result(generate.gen_ratings(spark, *sizes), scratch_path(spark, name))
+    left, right = (
+        write_result(side, scratch_path(spark, f"{name}-{kind}"))
+        for kind, side in zip(("users", "items"), factorize(ratings, seed=1))
+    )
+    rmse = fit_error(ratings, left, right).first()[0]
+    return with_sides(left, right).select(
+        "side", "id", F.size("features").alias("rank"), F.lit(rmse < FIT_BOUND).alias("fits")
     )
-    users, parts = factorize(ratings, blocks=4, seed=1)
-    return with_sides(users, parts).select("side", "id", F.size("features").alias("rank"))
 
 
 @query
@@ -361,9 +346,13 @@ def runs_lookup(spark, d):
 
 @query
 def runs_count_check(spark, d):
+    """Of each suite run a benchmark is wanted that never ran, and one that ran is
+    not wanted."""
     runs = views.results(spark, d)
-    expected = runs.select("suite_uid", "suite_id", "bench_id").distinct().withColumn("times", F.lit(13))
-    return run_ops.count_violations(runs, expected)
+    keys = ["suite_uid", "suite_id", "bench_id"]
+    never = runs.select("suite_uid", "suite_id", F.lit("idle").alias("bench_id"))
+    wanted = runs.where("bench_id <> 'view'").select(*keys).union(never).distinct()
+    return run_ops.count_violations(runs, wanted.withColumn("times", F.lit(RUNS_WANTED)))
 
 
 @query
@@ -381,20 +370,14 @@ def latest_suite_runs_per_suite(spark, d):
     return run_ops.latest_runs_per_suite(views.results(spark, d))
 
 
-def _thin_grid(spark: SparkSession, d: str) -> DataFrame:
-    """A grid with gaps: only every ninth run may fill a cell."""
-    runs = views.results(spark, d)
-    return run_ops.suite_grid(runs, SUITE, shown=runs.where("run_id % 9 = 0"))
-
-
 @query
 def suite_bench_grid(spark, d):
-    return _thin_grid(spark, d)
+    return run_ops.suite_grid(views.grid_runs(spark, d), SUITE)
 
 
 @query
 def run_status(spark, d):
-    return run_ops.with_status(_thin_grid(spark, d))
+    return run_ops.with_status(run_ops.suite_grid(views.grid_runs(spark, d), SUITE))
 
 
 @query
@@ -433,11 +416,12 @@ def phase_durations(spark, d):
 
 @query
 def run_defaults(spark, d):
-    every = views.events(spark, d)
-    first_day = every.where(F.to_date("ts") == "2024-01-01").withColumn("start", F.unix_timestamp("ts"))
-    phases = run_ops.last_phase(first_day, "user_id", "event_type", "start", "value", "event_id")
+    """Phases are so many that most runs lack the main one."""
+    phase = F.concat_ws("-", "event_type", (F.col("event_id") % 29).cast("string"))
+    every = views.events(spark, d).withColumns({"start": F.unix_timestamp("ts"), "phase": phase})
+    phases = run_ops.last_phase(every, "user_id", "phase", "start", "value", "event_id")
     return run_ops.main_phase_or_zero(
-        every.select(F.col("user_id").alias("run")).distinct(), phases, BENCH
+        every.select(F.col("user_id").alias("run")).distinct(), phases, MAIN_PHASE
     )
 
 
@@ -449,7 +433,8 @@ def run_logs_join(spark, d):
 
 @query
 def log_error_scan(spark, d):
-    return log_ops.scan_logs(views.log_lines(spark, d))
+    text = views.log_text(spark, d)
+    return log_ops.scan_numbered(text, ["suite_uid", "system"], "run_id")
 
 
 @query
@@ -481,13 +466,33 @@ def run_failed_flag(spark, d):
     return log_ops.failed_flag(runs, log_ops.scan_logs(text), exempt)
 
 
+@query
+def log_tree_flags(spark, d):
+    """A log tree with all parts of a path, read, scanned and joined to its runs."""
+    path = scratch_path(spark, "log-tree")
+    keys = ["suite_uid", "bench_id", "attempt", "system"]
+    text = views.tree_text(spark, d).withColumnRenamed("line", "value")
+    (
+        text.repartition(*keys)
+        .sortWithinPartitions(*keys, "run_id")
+        .select(*keys, "value")
+        .write.partitionBy(*keys)
+        .text(f"{path}/logs")
+    )
+    exempt = spark.createDataFrame([(EXEMPT,)], "system string")
+    return log_ops.flags_from_tree(views.tree_runs(spark, d), read_log_lines(spark, path), exempt)
+
+
 @query
 def suite_report(spark, d):
     timings = views.suite_timings(spark, d)
     phases = run_ops.last_phase(
         timings, "suite_uid", "bench_id", "start_time", "duration", "run_id"
     )
-    return report(views.results(spark, d), phases)
+    own = phases.select(
+        F.col("run").alias("suite_uid"), F.col("phase").alias("seq"), "phase", "start_time", "duration"
+    )
+    return report(views.results(spark, d), views.run_phases(spark, d), own, per_part=100)
 
 
 @query

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallymill.functions.ranking import number_within
 from tallymill.operators.wordcount import normalize_words, tokenize
-from tallymill.sources.tables import read_table, spread
+from tallymill.sources.tables import read_table
 
 LINE_COLUMNS = ["doc_id", "posexplode(split(text, '\\n')) as (pos, line)"]
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(read_table(spark, d, "documents").select("doc_id", "text"))
+    return read_table(spark, d, "documents").select("doc_id", "text")
 
 
 def lineitem(spark: SparkSession, d: str) -> DataFrame:
-    return spread(read_table(spark, d, "lineitem"))
+    return read_table(spark, d, "lineitem")
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -68,9 +67,50 @@ def log_text(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def log_lines(spark: SparkSession, d: str) -> DataFrame:
-    """``log_text`` with line numbers; a file is one (suite_uid, system)."""
-    return number_within(log_text(spark, d), ["suite_uid", "system"], "run_id", "line_no")
+def grid_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Results of benchmarks so many that a suite run has not all of them."""
+    bench = F.concat_ws("-", "bench_id", (F.col("run_id") % 37).cast("string"))
+    return results(spark, d).withColumn("bench_id", bench)
+
+
+def tree_text(spark: SparkSession, d: str) -> DataFrame:
+    """(run_id, suite_uid, bench_id, attempt, system, failed, line) of suite runs that
+    last a month, with one attempt per benchmark."""
+    month = F.unix_timestamp(F.date_trunc("month", F.timestamp_seconds("start_time"))).cast("string")
+    return runs(spark, d).select(
+        "run_id", F.concat_ws("_", "suite_id", month).alias("suite_uid"), "bench_id",
+        F.lit(1).alias("attempt"), "system", "failed", F.concat_ws(" ", "bench_id", "props").alias("line"),
+    )
+
+
+def tree_runs(spark: SparkSession, d: str) -> DataFrame:
+    """(run_id, suite_uid, bench_id, attempt, failed): failed as stored if all its
+    results are."""
+    return tree_text(spark, d).groupBy("suite_uid", "bench_id", "attempt").agg(
+        F.min("run_id").alias("run_id"), F.min("failed").alias("failed")
+    )
+
+
+def run_phases(spark: SparkSession, d: str) -> DataFrame:
+    """(suite_uid, bench_id, run_id, seq, phase, start_time, duration): set-up and
+    shutdown take a tenth and a twentieth of a run's whole seconds."""
+    whole = F.floor("duration")
+
+    def phase(seq: int, name: str, start: Column, duration: Column) -> Column:
+        return F.struct(
+            F.lit(seq).alias("seq"), F.lit(name).alias("phase"), start.alias("start_time"),
+            duration.cast("double").alias("duration"),
+        )
+
+    start = F.col("start_time")
+    phases = F.array(
+        phase(0, "Setup", start - 60, F.floor(whole / 10)),
+        phase(1, "Benchmark", start, F.col("duration")),
+        phase(2, "Shutdown", start + whole, F.floor(whole / 20)),
+    )
+    return results(spark, d).select("suite_uid", "bench_id", "run_id", F.explode(phases).alias("p")).select(
+        "suite_uid", "bench_id", "run_id", "p.*"
+    )
 
 
 def suite_timings(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +122,7 @@ def dictionary_entries(spark: SparkSession, d: str) -> DataFrame:
     """(entry): words of the documents with a flag after a slash."""
     return tokenize("text")(documents(spark, d)).select(
         F.concat_ws("/", "word", F.length("word").cast("string")).alias("entry")
-    )
+    ).distinct()
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:

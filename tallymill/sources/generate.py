@@ -13,8 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallymill.functions.arith import near_normal, scatter
 from tallymill.functions.ranking import range_positions
 
-# A dictionary up to this size is looked up as one array; beyond it, by a join.
-ARRAY_BYTES = 32 << 20
+# What one task writes, about, unless the number of parts is given.
+BYTES_PER_PART = 256 << 20
+ROW_BYTES = {"lineitem": 130, "rating": 12}
+
+
+def _ids(spark: SparkSession, n: int, parts: int | None, row_bytes: float) -> DataFrame:
+    """0 to n - 1 in ``parts`` partitions: by default as many as the bytes ask for,
+    and one per core at least. The rows do not depend on it."""
+    wanted = math.ceil(n * row_bytes / BYTES_PER_PART)
+    return spark.range(0, n, 1, parts or max(wanted, spark.sparkContext.defaultParallelism))
 
 
 def gen_word_lines(
@@ -24,23 +32,19 @@ def gen_word_lines(
     words: int = 15,
     seed: int = 0,
     parts: int | None = None,
-    array_bytes: int = ARRAY_BYTES,
 ) -> DataFrame:
     """(id, line): lines of ``words`` evenly picked words, joined by a space.
 
-    ``vocab`` is (word), distinct. A word's number is its place in sorted order.
+    ``vocab`` is (word), distinct. A word's number is its place in sorted order;
+    numbers are drawn and joined with the numbered words.
     """
     size, chars = vocab.agg(
         F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))
     ).first()
     if size == 0:
         raise ValueError("the dictionary is empty")
-    ids = spark.range(0, num_lines, 1, parts) if parts else spark.range(num_lines)
+    ids = _ids(spark, num_lines, parts, words * (chars / size + 1))
     picks = [scatter("id", j, seed) % size for j in range(words)]
-    if chars <= array_bytes:
-        listed = vocab.agg(F.sort_array(F.collect_list("word"))).scalar()
-        chosen = [F.element_at(listed, (p + 1).cast("int")) for p in picks]
-        return ids.select("id", F.concat_ws(" ", *chosen).alias("line"))
     numbered = range_positions(vocab, ["word"], number="idx")
     return (
         ids.select("id", F.posexplode(F.array(*picks)).alias("j", "idx"))
@@ -65,7 +69,7 @@ def gen_text(
     words_per_line: int = 20,
     seed: int = 0,
 ) -> DataFrame:
-    """(value): about ``size_bytes`` of text in ``parts`` parallel parts."""
+    """(value): about ``size_bytes`` of text."""
     lines = lines_for_size(vocab, size_bytes, words_per_line)
     made = gen_word_lines(spark, vocab, lines, words_per_line, seed, parts)
     return made.select(F.col("line").alias("value"))
@@ -101,7 +105,7 @@ def gen_ratings(
     a step, coprime to ``cols``, of the row's own.
     """
     steps = _coprimes(cols)
-    ids = spark.range(0, rows, 1, parts) if parts else spark.range(rows)
+    ids = _ids(spark, rows, parts, row_mean * ROW_BYTES["rating"])
     entries = F.floor(
         F.lit(float(row_mean)) + F.lit(math.sqrt(row_variance)) * near_normal("id", 0, seed) + 0.5
     )
@@ -155,7 +159,7 @@ def gen_lineitem(
     n = round(LINES_PER_SCALE * scale_factor)
     n_parts = max(1, round(PARTS_PER_SCALE * scale_factor))
     n_suppliers = max(4, round(SUPPLIERS_PER_SCALE * scale_factor))
-    ids = spark.range(0, n, 1, parts) if parts else spark.range(n)
+    ids = _ids(spark, n, parts, ROW_BYTES["lineitem"])
     row = F.col("id")
 
     def draw(salt: int, choices: int) -> Column:

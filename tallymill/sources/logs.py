@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-# <anything>/logs/<suite_uid>/<bench_id>/<attempt>/<system>[/<file>]
-LOG_PATH = r"logs/([^/]+)/([^/]+)/(\d+)/([^/]+)(?:/([^/]+))?$"
+from tallymill.sources.scratch import materialize
+
+# <anything>/logs/<suite_uid>/<bench_id>/<attempt>/<system>[/<file>]; a part may be
+# spelt with its name, as in suite_uid=<suite_uid>
+_PART = r"/(?:[a-z_]+=)?"
+LOG_PATH = rf"logs{_PART}([^/]+){_PART}([^/]+){_PART}(\d+){_PART}([^/]+)(?:/([^/]+))?$"
 # <system>_<role>[_<worker>].<log or out>
 LOG_FILE = r"^([^_.]+)_([^_.]+)(?:_([^_.]+))?\.(log|out)$"
-MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
 
 
 def parse_log_path(df: DataFrame, path_col: str) -> DataFrame:
@@ -33,9 +36,9 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A large file is read by many tasks. Each task's share of it (one file block)
     is numbered locally; the blocks' line counts, one row per block, then say
-    where each share starts. No file passes through one task.
+    where each share starts. No file passes through one task. Shares and numbers
+    are written once, as a second scan might cut the files elsewhere.
     """
-    _pin_splits(spark)
     raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
     lines = raw.select(
         F.col("_metadata.file_path").alias("path"),
@@ -43,6 +46,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"),
     )
+    lines = materialize(lines, "log-lines")
     blocks = lines.groupBy("path", "block").agg(
         F.min("seq").alias("first"), F.count(F.lit(1)).alias("n")
     )
@@ -56,19 +60,6 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
         "block",
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"),
     )
-    number = F.coalesce(
-        F.col("seq") + F.col("shift"), F.raise_error("log blocks changed").cast("bigint")
-    )
-    return lines.join(starts, ["path", "block"], "left").select(
-        "path", number.alias("line_no"), "line"
+    return lines.join(starts, ["path", "block"]).select(
+        "path", (F.col("seq") + F.col("shift")).alias("line_no"), "line"
     )
-
-
-def _pin_splits(spark: SparkSession) -> None:
-    """Keep file splits the same in every scan of this session.
-
-    They depend on the number of cores, which may change while a query runs,
-    unless a minimum number of partitions is set.
-    """
-    if spark.conf.get(MIN_PARTITIONS, None) is None:
-        spark.conf.set(MIN_PARTITIONS, str(spark.sparkContext.defaultParallelism))

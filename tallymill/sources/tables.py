@@ -2,35 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 BUILT_IN_FORMATS = ("orc", "parquet", "csv", "json", "text")
-FEW_PARTITIONS = 1000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table with fewer splits than the cluster has cores, dealt out evenly.
+# Text that stands for null, and how times are written: nothing of a value is lost.
+NULL = "\\N"
+_DELIMITED = {
+    "nullValue": NULL,
+    "emptyValue": '""',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
 
-    A table with enough splits is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def _one_line(value: Column) -> Column:
+    """Backslashes doubled and line breaks spelt, so that a row is one line."""
+    for sign, spelt in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        value = F.replace(value, F.lit(sign), F.lit(spelt))
+    return value
+
+
+def _as_it_was(value: Column) -> Column:
+    """Undoes ``_one_line``: between doubled backslashes, breaks are breaks again."""
+    part = lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    joined = F.array_join(F.transform(F.split(value, r"\\\\", -1), part), "\\")
+    return F.when(F.instr(value, "\\") == 0, value).otherwise(joined)
+
+
+def _strings(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    return df.select(*[
+        change(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else f.name
+        for f in df.schema
+    ])
 
 
 def read_delimited(
     spark: SparkSession, path: str, schema: T.StructType, sep: str = "|"
 ) -> DataFrame:
-    """Delimited text without a header; a row that does not fit is an error."""
-    return spark.read.schema(schema).option("sep", sep).option("mode", "FAILFAST").csv(path)
+    """What ``write_delimited`` wrote; a row that does not fit is an error."""
+    reader = spark.read.schema(schema).options(**_DELIMITED | {"emptyValue": ""})
+    return _strings(reader.option("sep", sep).option("mode", "FAILFAST").csv(path), _as_it_was)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "|") -> str:
-    df.write.option("sep", sep).csv(path)
+    """Delimited text without a header, one line per row, that reads back the same:
+    spaces, empty strings, line breaks, nulls and microseconds included."""
+    _strings(df, _one_line).write.options(**_DELIMITED).option("sep", sep).csv(path)
     return path
 
 
@@ -72,19 +101,14 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame |
         raise
 
 
-def _touched(stored: DataFrame, fresh: DataFrame, partition_by: list[str]) -> DataFrame:
-    """The stored rows in the partitions that the fresh rows go to.
-
-    A few partitions are named in the filter, so that the others are not even
-    listed; beyond that a join picks them.
-    """
-    wanted = fresh.select(*partition_by).distinct()
-    few = wanted.limit(FEW_PARTITIONS + 1).collect()
-    if len(few) > FEW_PARTITIONS or any(None in row for row in few):
-        same = [stored[c].eqNullSafe(wanted[c]) for c in partition_by]
-        return stored.join(wanted, same, "left_semi")
-    for i, col in enumerate(partition_by):
-        stored = stored.where(F.col(col).isin(list({row[i] for row in few})))
+def _within(stored: DataFrame, fresh: DataFrame, partition_by: list[str]) -> DataFrame:
+    """The stored rows in partitions between the smallest and the largest that the
+    fresh rows go to, so that the others are not even listed."""
+    ends = fresh.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in partition_by for f in (F.min, F.max)],
+                     *[F.bool_or(F.col(c).isNull()).alias(f"null_{c}") for c in partition_by]).first()
+    for c in partition_by:
+        inside = F.col(c).between(F.lit(ends[f"min_{c}"]), F.lit(ends[f"max_{c}"]))
+        stored = stored.where(inside | F.col(c).isNull() if ends[f"null_{c}"] else inside)
     return stored
 
 
@@ -93,18 +117,25 @@ def append_rows(
 ) -> DataFrame:
     """Append the rows whose key is not stored yet; return the whole table.
 
-    Running it again with the same rows adds nothing, so a job that died after
-    the write can simply be repeated. Stored keys are compared only within the
-    partitions that the new rows touch. One writer at a time.
+    The key of a row is ``key_cols`` together with ``partition_by``: the same
+    ``key_cols`` in another partition are another row. Of new rows with one key
+    the smallest is taken, by its other columns in their order. Running it again
+    with the same rows adds nothing, so a job that died after the write can simply
+    be repeated. One writer at a time.
     """
     spark = df.sparkSession
     partition_by = partition_by or []
-    fresh = df.dropDuplicates(key_cols)
+    keys = list(dict.fromkeys([*key_cols, *partition_by]))
+    rest = [c for c in df.columns if c not in keys]
+    smallest = F.min(F.struct(*rest) if rest else F.lit(0)).alias("_rest")
+    fresh = df.groupBy(*keys).agg(smallest).select(*keys, *[F.col("_rest")[c].alias(c) for c in rest])
     stored = _stored(spark, path, df.schema)
     if stored is not None:
         if partition_by:
-            stored = _touched(stored, df, partition_by)
-        fresh = fresh.join(stored.select(*key_cols), key_cols, "left_anti")
+            stored = _within(stored, df, partition_by)
+        known = stored.select(*[F.col(c).alias(f"_{c}") for c in keys])
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+        fresh = fresh.join(known, same, "left_anti")
     writer = fresh.select(*df.columns).write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -1,12 +1,10 @@
-"""Text corpora, read whole or as a stream, and staging of stream inputs."""
+"""Text corpora and tables, read whole or as a stream."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamReader
 
-MIN_ROWS_PER_FILE = 100
 TEXT = T.StructType([T.StructField("value", T.StringType())])
 
 
@@ -21,67 +19,41 @@ def read_words(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") ->
     return read_text(spark, path).select(F.decode(raw, encoding).alias("entry"))
 
 
+def write_words(df: DataFrame, col: str, path: str, encoding: str = "ISO-8859-1") -> str:
+    """A dictionary file: one entry per line, without quotes, in ``encoding``."""
+    df.select(col).write.options(encoding=encoding, quote="", emptyValue="").csv(path)
+    return path
+
+
 def write_text(df: DataFrame, col: str, path: str) -> str:
     df.select(F.col(col).alias("value")).write.option("lineSep", "\n").text(path)
     return path
 
 
-def stream_text(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+def _bounded(reader: DataStreamReader, bytes_per_batch: int | None) -> DataStreamReader:
+    if bytes_per_batch is None:
+        return reader
+    return reader.option("maxBytesPerTrigger", bytes_per_batch)
+
+
+def stream_text(spark: SparkSession, path: str, bytes_per_batch: int | None = None) -> DataFrame:
     """One row per line of the files under ``path``, as a stream."""
     reader = spark.readStream.schema(TEXT).option("lineSep", "\n")
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path)
+    return _bounded(reader, bytes_per_batch).text(path)
 
 
-def stream_files(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType,
-    files_per_batch: int | None = None,
-    fmt: str = "parquet",
+def stream_table(
+    spark: SparkSession, folder: str, name: str, schema: T.StructType, bytes_per_batch: int | None = None
 ) -> DataFrame:
-    reader = spark.readStream.schema(schema).format(fmt)
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
-
-
-def stage_slices(
-    df: DataFrame,
-    order: str,
-    path: str,
-    slices: int = 4,
-    fmt: str = "parquet",
-    columns: list[str] | None = None,
-    rows_per_file: int = 2_000_000,
-) -> int:
-    """Write ``df`` as ``slices`` ranges of the integer column ``order``.
-
-    The ranges are cut at quantiles and written one after the other, so file
-    times rise with ``order``; each has the same number of files. That number is
-    returned: as ``files_per_batch`` it makes every micro-batch exactly one
-    range, and a watermark drops nothing.
+    """The files of the table ``name`` in ``folder``, as they lie, as a stream.
+
+    A table is one Parquet file or a folder of them. Batches are bounded by bytes,
+    whatever the number of files.
     """
-    shares = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(order, shares)).first()[0] or [0] * len(shares)
-    number = sum(((F.col(order) > cut).cast("int") for cut in cuts), F.lit(0))
-    sizes = [r["count"] for r in df.groupBy(number.alias("slice")).count().collect()]
-    # as many files as there are cores, if every one of them gets some rows
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = max(cores, math.ceil(max(sizes, default=0) / rows_per_file))
-    files = max(1, min(wanted, min(sizes, default=0) // MIN_ROWS_PER_FILE))
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = df
-        if low is not None:
-            part = part.where(F.col(order) > low)
-        if high is not None:
-            part = part.where(F.col(order) <= high)
-        (
-            part.select(*(columns or df.columns))
-            .repartition(files)
-            .write.mode("append")
-            .format(fmt)
-            .save(path)
-        )
-    return files
+    table = f"{folder}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    reader = _bounded(spark.readStream.schema(schema), bytes_per_batch)
+    if files.getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", path.getName()).parquet(folder)
+    return reader.parquet(table)

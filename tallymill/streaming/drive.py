@@ -10,7 +10,8 @@ from pyspark.sql.streaming import DataStreamWriter
 
 
 def drain(writer: DataStreamWriter, timeout: int | None = None) -> None:
-    """Process everything that is there, then stop; fail after ``timeout`` seconds."""
+    """Process everything that is there, then stop. Only a caller that gives a
+    ``timeout``, in seconds, sets a limit."""
     query = writer.trigger(availableNow=True).start()
     try:
         if timeout is None:

@@ -2,76 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from tallymill.operators.wordcount import (
-    count_by,
-    precombine,
-    time_window_count,
-    tokenize,
-)
-from tallymill.session import ROCKSDB_PROVIDER
-from tallymill.streaming.drive import drain
-from tallymill.streaming.files import to_files
-
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
+from tallymill.operators.wordcount import count_by, time_window_count, tokenize, window_rows
+from tallymill.streaming.drive import drain
 
-def stream_word_count(
-    stream: DataFrame, col: str, sink_path: str, checkpoint: str, timeout: int | None = None
-) -> DataFrame:
-    """(word, n): running totals after the stream has been drained.
 
-    Each batch writes the totals that changed into a folder of its own number; a
-    batch that is run again after a failure replaces its folder.
-    """
-    totals = count_by("word")(tokenize(col)(stream))
+def _changes(counts: DataFrame, sink_path: str, checkpoint: str) -> DataStreamWriter:
+    """A writer of the counts that each batch changed, into a folder of the batch's
+    number; a batch that is run again after a failure replaces its folder."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink_path}/batch={batch_id}")
 
-    writer = (
-        totals.writeStream.outputMode("update")
+    return (
+        counts.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(store)
     )
-    drain(writer, timeout)
-    return last_totals(stream, sink_path)
-
-
-def last_totals(stream: DataFrame, sink_path: str) -> DataFrame:
-    """The last stored total of each word; totals only rise."""
-    stored = stream.sparkSession.read.schema("word string, n bigint, batch bigint").parquet(sink_path)
-    return stored.groupBy("word").agg(F.max("n").alias("n"))
-
-
-class CountWindows(StatefulProcessor):
-    """Keeps one count per word and puts out each window that fills up."""
 
-    def __init__(self, size: int):
-        self.size = size
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        state = T.StructType([T.StructField("n", T.LongType())])
-        self.seen = handle.getValueState("seen", state)
+def last_totals(stream: DataFrame, sink_path: str, schema: str = "word string, n bigint") -> DataFrame:
+    """The last stored count ``n`` of each key; counts only rise."""
+    stored = stream.sparkSession.read.schema(f"{schema}, batch bigint").parquet(sink_path)
+    keys = [c for c in stored.columns if c not in ("n", "batch")]
+    return stored.groupBy(*keys).agg(F.max("n").alias("n"))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.seen.get()[0] if self.seen.exists() else 0
-        after = before + sum(int(part["n"].sum()) for part in rows)
-        self.seen.update((after,))
-        first, end = before // self.size, after // self.size
-        for start in range(first, end, 100_000):
-            stop = min(start + 100_000, end)
-            yield pd.DataFrame(
-                {"word": key[0], "w": range(start, stop), "n": [self.size] * (stop - start)}
-            )
 
-    def close(self) -> None:
-        pass
+def stream_word_count(
+    stream: DataFrame, col: str, sink_path: str, checkpoint: str, timeout: int | None = None
+) -> DataFrame:
+    """(word, n): running totals after the stream has been drained."""
+    totals = count_by("word")(tokenize(col)(stream))
+    drain(_changes(totals, sink_path, checkpoint), timeout)
+    return last_totals(stream, sink_path)
 
 
 def stream_count_windows(
@@ -80,30 +45,42 @@ def stream_count_windows(
     sink_path: str,
     checkpoint: str,
     size: int = 10_000,
-    max_entries: int = 50_000,
     timeout: int | None = None,
 ) -> DataFrame:
     """(word, w, n): tumbling windows of ``size`` occurrences, as they fill up.
 
-    Occurrences are summed up in each task first, so a frequent word sends a few
-    partial counts to the task that holds its state, not all its rows.
+    The stream keeps one running count per word, summed up in each task before the
+    shuffle. A batch stores the totals it changed; the windows it puts out are
+    those between the last total of earlier batches and its own, and their rows
+    are made by many tasks. A batch that is run again replaces what it stored.
     """
     spark = stream.sparkSession
-    partial = precombine(stream.select(F.col(key).alias("word")), max_entries)
-    windows = partial.groupBy("word").transformWithStateInPandas(
-        statefulProcessor=CountWindows(size),
-        outputStructType="word string, w bigint, n bigint",
-        outputMode="append",
-        timeMode="None",
+    totals = count_by("word")(stream.select(F.col(key).alias("word")))
+    stored, windows = f"{sink_path}/totals", f"{sink_path}/windows"
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        at = f"{stored}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(at)
+        now = spark.read.schema("word string, n bigint").parquet(at)
+        every = spark.read.schema("word string, n bigint, batch bigint").parquet(stored)
+        before = every.where(F.col("batch") < batch_id).groupBy(F.col("word").alias("key")).agg(
+            F.max("n").alias("before")
+        )
+        full = now.join(before, F.col("word").eqNullSafe(F.col("key")), "left").select(
+            "word",
+            F.expr(f"coalesce(before, 0L) div {size}").alias("first"),
+            F.expr(f"n div {size}").alias("end"),
+        )
+        window_rows(full, size).write.mode("overwrite").parquet(f"{windows}/batch={batch_id}")
+
+    writer = (
+        totals.writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(store)
     )
-    writer = to_files(windows, sink_path, checkpoint)
-    provider = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB_PROVIDER)  # needed for value state
-    try:
-        drain(writer, timeout)
-    finally:
-        spark.conf.set(PROVIDER, provider)
-    return spark.read.schema("word string, w bigint, n bigint").parquet(sink_path)
+    drain(writer, timeout)
+    out = spark.read.schema("word string, w bigint, n bigint, batch bigint").parquet(windows)
+    return out.drop("batch")
 
 
 def stream_time_windows(
@@ -113,10 +90,15 @@ def stream_time_windows(
     sink_path: str,
     checkpoint: str,
     width: str = "1 hour",
-    delay: str = "1 hour",
+    delay: str | None = None,
     timeout: int | None = None,
 ) -> DataFrame:
-    """(window_start, word, n) of the windows that closed before the stream ended."""
+    """(window_start, word, n) of all windows of the stream, open ones included.
+
+    Batches store the counts they changed and the last count of each window is
+    the result, so nothing is left out when the input ends. With ``delay``, rows
+    later than that are dropped and the state of older windows is freed.
+    """
     counts = time_window_count(stream, ts, key, width, delay)
-    drain(to_files(counts, sink_path, checkpoint), timeout)
-    return stream.sparkSession.read.schema(counts.schema).parquet(sink_path)
+    drain(_changes(counts, sink_path, checkpoint), timeout)
+    return last_totals(stream, sink_path, "window_start timestamp, word string, n bigint")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators.factorize import factorize, with_sides
+from tallymill.operators.factorize import factorize, fit_error, with_sides
 from tallymill.sources.generate import gen_ratings
 
 
@@ -23,7 +23,9 @@ def test_factors_rebuild_a_low_rank_matrix(spark):
 
 def test_defaults_and_every_id(spark):
     ratings = gen_ratings(spark, 60, 50, 20, 4, 10, 4)
-    sides = with_sides(*factorize(ratings, blocks=4, iters=2))
+    users, items = factorize(ratings, iters=2)  # 100 blocks a side
+    assert 0 < fit_error(ratings, users, items).first().rmse < 20
+    sides = with_sides(users, items)
     sizes = {(r.side, r.id): len(r.features) for r in sides.collect()}
     assert set(sizes.values()) == {15}
     wanted = {("user", r.user) for r in ratings.collect()} | {("item", r.item) for r in ratings.collect()}

@@ -21,6 +21,15 @@ def test_delimited_round_trip(spark, items, path):
     assert row_differences(items, csv).count() == 0
 
 
+def test_delimited_keeps_every_value(spark, path):
+    texts = [None, "", " a ", "a|b", 'say "x"', "two\nlines\r\n", "\\n", "\\\\N", "\\N", "\\", "#", "é\t😀"]
+    rows = [(i, t, datetime.datetime(2024, 1, 1, 3, 2, 3, 123456), 0.1 + i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, s string, t timestamp_ntz, x double")
+    df = df.withColumn("z", F.col("t").cast("timestamp"))
+    back = tables.read_delimited(spark, tables.write_delimited(df, path()), df.schema)
+    assert row_differences(df, back).count() == 0
+
+
 def test_delimited_row_that_does_not_fit(spark, path):
     file = path()
     spark.createDataFrame([("1|x",)], "value string").write.text(file)
@@ -77,20 +86,24 @@ def test_append_drops_repeats_within_the_new_rows(spark, path):
     assert sorted(r.run_id for r in out.collect()) == [1, 2, 3]
 
 
-def test_append_with_many_partitions(spark, path, monkeypatch):
-    """Past the limit, the touched partitions are found with a join."""
-    monkeypatch.setattr(tables, "FEW_PARTITIONS", 1)
-    table = path()
-    tables.append_rows(runs(spark, range(10)), table, ["run_id"], ["suite_id"])
-    out = tables.append_rows(runs(spark, range(12)), table, ["run_id"], ["suite_id"])
-    assert sorted(r.run_id for r in out.collect()) == list(range(12))
+def test_append_by_two_partition_columns(spark, path):
+    """The partition belongs to the key: only the same key in the same partition is
+    a repeat, whatever else is stored."""
+    schema, table = "k int, a int, b string, v int", path()
+    tables.append_rows(spark.createDataFrame([(7, 1, "y", 0)], schema), table, ["k"], ["a", "b"])
+    fresh = [(7, 1, "x", 5), (7, 1, "y", 9), (7, None, "y", 3), (7, 1, "x", 4)]
+    for _ in range(2):
+        out = tables.append_rows(spark.createDataFrame(fresh, schema), table, ["k"], ["a", "b"])
+        assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(
+            [(7, 1, "x", 4), (7, 1, "y", 0), (7, None, "y", 3)], key=str
+        )
 
 
-def test_append_reads_touched_partitions_only(spark, path):
+def test_append_lists_partitions_in_between_only(spark, path):
     table = path()
     stored = tables.append_rows(runs(spark, range(9)), table, ["run_id"], ["suite_id"])
-    touched = tables._touched(stored, runs(spark, [0, 3]), ["suite_id"])
-    plan = touched._jdf.queryExecution().executedPlan().toString()
+    within = tables._within(stored, runs(spark, [0, 3]), ["suite_id"])
+    plan = within._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(suite_id" in plan and "(suite_id#" in plan
 
 
@@ -123,10 +136,3 @@ def test_compare_empty_tables(spark):
     empty = spark.createDataFrame([], "k int, s string")
     assert all(r.same for r in compare(empty, empty).collect())
 
-
-def test_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert tables.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
-    wide = spark.range(0, 100, 1, cores + 3)
-    assert tables.spread(wide).rdd.getNumPartitions() == cores + 3
-    assert tables.spread(spark.range(0, 100, 1, 1)).agg(F.sum("id")).first()[0] == 4950

@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators.logs import failed_flag, scan_logs
+from tallymill.operators.logs import failed_flag, flags_from_tree, scan_logs, scan_numbered
 from tallymill.sources.logs import parse_log_path, read_log_lines
 
 BAD = re.compile("(error|exception)", re.IGNORECASE)
@@ -48,12 +48,10 @@ def test_line_numbers_of_split_files(spark, tree, split):
             (r.path.removeprefix("file:").replace("//", "/"), r.line_no, r.line)
             for r in scan_logs(lines).collect()
         }
-        tasks = lines.select("path").where("line like 'line%'").rdd.getNumPartitions()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == brute(tree)
-    assert split != "20000" or tasks > 8
 
 
 def test_path_keys(spark, tree):
@@ -82,3 +80,21 @@ def test_failed_flag(spark):
     assert {r.run_id: r.failed for r in out.collect()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
     none = failed_flag(runs, scan_logs(lines), exempt.where(F.lit(False)))
     assert {r.run_id for r in none.where("failed = 1").collect()} == {2, 3, 4}
+
+
+def test_flags_from_a_tree(spark, tree):
+    """From the files to the runs; runs without logs keep what is stored."""
+    rows = [(1, "S_1", "Bench", 1, 0), (2, "S_1", "Bench", 2, 0), (3, "S_1", "Other", 1, 0), (4, "S_2", "B", 1, 1)]
+    runs = spark.createDataFrame(rows, "run_id bigint, suite_uid string, bench_id string, attempt int, failed int")
+    lines = read_log_lines(spark, str(tree))
+    exempt = spark.createDataFrame([("store",)], "system string")
+    flags = lambda e: {r.run_id: r.failed for r in flags_from_tree(runs, lines, e).collect()}
+    assert flags(exempt) == {1: 1, 2: 0, 3: 0, 4: 1}
+    assert flags(exempt.where(F.lit(False))) == {1: 1, 2: 0, 3: 1, 4: 1}
+
+
+def test_only_matching_text_is_numbered_with_its_line(spark):
+    rows = [("f", 10, "x" * 50), ("f", 2**40, "an error"), (None, 5, "ok"), (None, 7, "Exception"), ("f", None, "error 0")]
+    df = spark.createDataFrame(rows, "file string, id bigint, line string")
+    found = {(r.file, r.line): r.line_no for r in scan_numbered(df, ["file"], "id").collect()}
+    assert found == {("f", "error 0"): 0, ("f", "an error"): 2, (None, "Exception"): 1}

@@ -5,10 +5,11 @@ from pathlib import Path
 
 import pytest
 
-import __spark_entry__ as spark_entry
 from conftest import ROOT
+from tallymill.operators.runs import last_phase
+from tallymill.operators.wordcount import count_windows
+from tallymill.plans.bindings import QUERIES
 
-QUERIES = spark_entry.queries()
 STREAMED = [k for k in QUERIES if "stream" in k or k in ("grep_restart", "als_factors")]
 BATCH = [k for k in QUERIES if k not in STREAMED]
 
@@ -44,3 +45,15 @@ def test_no_forced_broadcast_or_local_checkpoint():
     for file in Path(ROOT).parent.joinpath("tallymill").rglob("*.py"):
         names = {n.attr for n in ast.walk(ast.parse(file.read_text())) if isinstance(n, ast.Attribute)}
         assert not names & {"broadcast", "localCheckpoint", "crossJoin", "toPandas"}, file
+
+
+def test_windows_of_a_frequent_word_are_dealt_out(spark):
+    """An exchange stands between the cut into blocks and the windows' rows."""
+    plan = plan_of(count_windows(spark.range(10).selectExpr("'a' as k"), "k", 1))
+    upper, rest = plan.split("REPARTITION_BY_COL", 1)
+    assert upper.count("Generate explode") == 1 and rest.count("Generate explode") == 1
+
+
+def test_last_phase_needs_no_sort(spark):
+    df = spark.range(10).selectExpr("id as run", "'p' as phase", "id as start", "1.0d as duration", "id as seq")
+    assert "Sort" not in plan_of(last_phase(df, "run", "phase", "start", "duration", "seq"))

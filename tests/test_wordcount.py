@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 from collections import Counter
 from pathlib import Path
 
@@ -5,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import ROOT
 from tallymill.operators import wordcount as wc
 from tallymill.sources.text import read_words
 
@@ -97,3 +101,18 @@ def test_dictionary_in_latin1(spark, path):
     file.write_bytes("café/S\nnaïve\ncafé\n".encode("iso-8859-1"))
     words = wc.normalize_words(read_words(spark, str(file)), "entry")
     assert sorted(r.word for r in words.collect()) == ["café", "naïve"]
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """From another folder, with the package on the driver's path only."""
+    script = (
+        f"import sys; sys.path.insert(0, {str(ROOT.parent)!r})\n"
+        "from tallymill.session import build_session\n"
+        "from tallymill.operators.wordcount import word_count_combined\n"
+        "spark = build_session('local[1]', 'away', shuffle_partitions=1)\n"
+        "df = spark.createDataFrame([('a b a',)], 't string')\n"
+        "print({r.word: r.n for r in word_count_combined(df, 't').collect()})\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "{'a': 2, 'b': 1}" in run.stdout or "{'b': 1, 'a': 2}" in run.stdout, run.stderr[-2000:]
