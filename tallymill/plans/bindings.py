@@ -47,6 +47,8 @@ from tallymill.streaming.wordcount import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TIME_ZONE = "spark.sql.session.timeZone"
+
 # Fixed parameters of the workloads.
 GREP_WORDS = ["these", "are", "test", "words"]
 WINDOW_SIZE = 100
@@ -66,12 +68,16 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    """Register under the function's name; run with UTC as session time zone."""
+    """Register under the function's name; plan with UTC as session time zone."""
 
     @wraps(fn)
     def bound(spark: SparkSession, d: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return fn(spark, d)
+        zone = spark.conf.get(TIME_ZONE)
+        spark.conf.set(TIME_ZONE, "UTC")
+        try:
+            return fn(spark, d)
+        finally:
+            spark.conf.set(TIME_ZONE, zone)
 
     QUERIES[fn.__name__] = bound
     return bound

@@ -44,13 +44,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch path handed out so far, when results are consumed."""
+def handed_out() -> tuple[str, ...]:
+    """The scratch paths in use, oldest first."""
+    return tuple(_handed_out)
+
+
+def release(spark: SparkSession, paths: tuple[str, ...] | None = None) -> None:
+    """Delete scratch paths, all by default, when what was read from them is used."""
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
-    while _handed_out:
-        path = jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for name in handed_out() if paths is None else paths:
+        if name in _handed_out:
+            _handed_out.remove(name)
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def _release_quietly(spark: SparkSession) -> None:
