@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallymill.llm.common import column, prefix_sums
+from tallymill.llm.common import column, let, prefix_sums
 
 START, SAYS, END = "<|start|>", "<|says|>", "<|end|>"
 # Control strings of this and of common other templates. In a text
@@ -150,18 +150,19 @@ def format_chats(
     step = step.select(
         "*", F.transform("turns", lambda t: F.char_length(whole(t)).cast("bigint")).alias("lengths")
     )
-    step = step.select("*", prefix_sums(F.col("lengths")).alias("before"))
 
-    def segment(t: Column, i: Column) -> Column:
-        start = F.get("before", i) + F.char_length(head(t))
-        return F.struct(
-            start.alias("start"), (start + F.char_length(t["text"])).alias("end"), t["loss"].alias("loss")
-        )
+    def segments(before: Column) -> Column:
+        def segment(t: Column, i: Column) -> Column:
+            start = F.get(before, i) + F.char_length(head(t))
+            end = start + F.char_length(t["text"])
+            return F.struct(start.alias("start"), end.alias("end"), t["loss"].alias("loss"))
+
+        return F.transform("turns", segment)
 
     return step.select(
         *map(column, id_cols), "layout",
         F.array_join(F.transform("turns", whole), "").alias("formatted"),
-        F.transform("turns", segment).alias("segments"),
+        let(prefix_sums(F.col("lengths")), segments).alias("segments"),
     )
 
 
@@ -182,5 +183,5 @@ def read_chats(formatted: Column) -> Column:
 
 def loss_text(turns: Column, segments: Column) -> Column:
     """All text under the loss mask, read back."""
-    kept = F.filter(turns, lambda _, i: F.get(segments, i)["loss"])
+    kept = let(segments, lambda s: F.filter(turns, lambda _, i: F.get(s, i)["loss"]))
     return F.array_join(F.transform(kept, lambda t: t["text"]), "")

@@ -6,6 +6,8 @@ Rows are told apart by ``doc_id`` and a hash of the text, so a repeated or null
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymill.sources.scratch import materialize
@@ -39,45 +41,63 @@ def total(numbers: Column, kind: str = "bigint") -> Column:
     return F.aggregate(numbers, F.lit(0).cast(kind), lambda a, x: a + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once per row. A plain expression, or a
+    column that the optimizer folds into its only use, would be worked out again
+    for every element where ``body`` uses it within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prefix_sums(lengths: Column) -> Column:
     """The sum before each element, in n * sqrt(n) steps and without copying.
 
     The array is cut into about sqrt(n) pieces; a sum is that of the pieces
-    before, and of the elements before it in its own piece. ``lengths`` should
-    be a plain column: it is used several times.
+    before, and of the elements before it in its own piece.
     """
-    n = F.size(lengths)
-    step = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.ceil(n / step).cast("int")),
-        lambda p: total(F.slice(lengths, p * step + 1, step)),
-    )
-    before = F.transform(pieces, lambda _, p: total(F.slice(pieces, F.lit(1), p)))
-    return F.when(n > 0, F.transform(
-        lengths,
-        lambda _, i: F.get(before, F.floor(i / step).cast("int"))
-        + total(F.slice(lengths, F.floor(i / step).cast("int") * step + 1, i % step)),
-    )).otherwise(F.array().cast("array<bigint>"))
 
+    def sums(x: Column) -> Column:
+        n = F.size(x)
+        step = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        at = F.sequence(F.lit(0), F.ceil(n / step).cast("int"))
+        pieces = F.transform(at, lambda p: total(F.slice(x, p * step + 1, step)))
+        before = lambda ps: F.transform(ps, lambda _, p: total(F.slice(ps, F.lit(1), p)))
+
+        def element(b: Column) -> Column:
+            piece = lambda i: F.floor(i / step).cast("int")
+            return F.transform(
+                x, lambda _, i: F.get(b, piece(i)) + total(F.slice(x, piece(i) * step + 1, i % step))
+            )
 
-def _print(df: DataFrame, *cols: str) -> tuple:
-    """Count and order-free hash of the rows."""
-    return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*cols))).first())
+        return let(pieces, lambda ps: let(before(ps), element))
+
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(lengths) > 0, let(lengths, sums)).when(lengths.isNotNull(), none)
+
+
+def _starry(e: DataFrame) -> bool:
+    """Whether every node hangs on one other, and none of those hangs on another."""
+    ends = F.array(
+        F.struct(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+    )
+    nodes = e.select(F.explode(ends).alias("x")).groupBy("x.node").agg(
+        F.sum("x.up").alias("up"), F.max("x.down").alias("down")
+    )
+    return nodes.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node can reach.
 
-    Nodes without an edge do not appear. Alternates two steps until nothing
-    changes: every larger neighbour is hung on the smallest neighbour, then every
+    Nodes without an edge do not appear. Alternates two steps until stars are
+    left: every larger neighbour is hung on the smallest neighbour, then every
     node on the smallest of its smaller ones. Each step is a grouped minimum and
     a join, so no group is gathered; rounds grow with the logarithm of the
     longest path. Each round's edges are written, so lost executors cost a round.
     """
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
     e = materialize(e.where("hi <> lo").distinct(), "edges")
-    seen = _print(e, "hi", "lo")
-    while seen[0]:
+    while not _starry(e):
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         least = least.select("u", F.least("u", "m").alias("m"))
@@ -89,8 +109,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             F.col("lo").alias("hi"), F.col("m").alias("lo")
         )
         e = materialize(small.union(root).distinct(), "edges")
-        before, seen = seen, _print(e, "hi", "lo")
-        if seen == before:
-            break
     roots = e.select(F.col("lo").alias("hi"), "lo").distinct()
     return e.union(roots).select(F.col("hi").alias("node"), F.col("lo").alias("component"))

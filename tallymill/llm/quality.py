@@ -37,11 +37,11 @@ SYMBOLS = r"[#*$%&|<>]"
 
 THRESHOLDS = (
     Rule("too_long", "n_words", None, 1_000_000),
-    Rule("word_length", "word_chars / n_words", 2.0, 12.0),
-    Rule("symbols", "n_symbols / n_words", None, 0.3),
-    Rule("capitals", "n_upper / word_chars", None, 0.5),
-    Rule("stop_words", "n_stop / n_words", 0.04, None),
-    Rule("repeated_lines", "n_dup_lines / n_lines", None, 0.5),
+    Rule("word_length", "try_divide(word_chars, n_words)", 2.0, 12.0),
+    Rule("symbols", "try_divide(n_symbols, n_words)", None, 0.3),
+    Rule("capitals", "try_divide(n_upper, word_chars)", None, 0.5),
+    Rule("stop_words", "try_divide(n_stop, n_words)", 0.04, None),
+    Rule("repeated_lines", "try_divide(n_dup_lines, n_lines)", None, 0.5),
 )
 # The part that no table can change: the least length and the most repetition.
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5

@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallymill.llm.common import column, prefix_sums
+from tallymill.llm.common import column, let, prefix_sums
 
 # The patterns, and the least length of a match or of its value.
 ASSIGN = (
@@ -111,19 +111,23 @@ def _spans(docs: DataFrame, kind: int, pattern: str, value: int, least: int, ext
         F.zip_with("m", F.slice("gaps", F.lit(1), F.size("m")),
                    lambda m, g: (F.char_length(m) + F.char_length(g)).cast("bigint")).alias("lengths"),
     )
-    parts = parts.select(*kept, "m", "v", "gaps", prefix_sums(F.col("lengths")).alias("before"))
-
-    def span(m: Column, i: Column) -> Column:
-        start = F.get("before", i) + F.char_length(F.get("gaps", i))
-        return F.struct(
-            start.alias("start"), F.lit(kind).alias("kind"),
-            (start + F.char_length(m)).alias("end"), F.get("v", i).alias("v"),
-        )
-
     keep = lambda x: F.char_length(x["v"]) >= least
     passes = (lambda x: keep(x) & extra(x["v"])) if extra else keep
     bare = lambda x: F.struct(x["start"], x["kind"], x["end"])
-    spans = F.transform(F.filter(F.transform("m", span), passes), bare)
+
+    def spans_of(before: Column, gaps: Column, values: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            start = F.get(before, i) + F.char_length(F.get(gaps, i))
+            return F.struct(
+                start.alias("start"), F.lit(kind).alias("kind"),
+                (start + F.char_length(m)).alias("end"), F.get(values, i).alias("v"),
+            )
+
+        return F.transform(F.filter(F.transform("m", span), passes), bare)
+
+    spans = let(prefix_sums(F.col("lengths")), lambda b: let(F.col("gaps"), lambda g: let(
+        F.col("v"), lambda v: spans_of(b, g, v)
+    )))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return parts.select(*kept, F.coalesce(spans, none).alias(name))
 

@@ -66,5 +66,5 @@ def test_proximity(spark):
     rows = [(i, t) for i, t in docs.items()] + [(9, "two two")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     b = spark.createDataFrame([(7, item)], "item_id bigint, text string")
-    found = {r.doc_id: (list(r["items"]), list(r.near_items)) for r in dec.contamination(d, b, slop=2).collect()}
+    found = {r.doc_id: (list(r["items"]), list(r.near_items)) for r in dec.contamination(d, b, slop=3).collect()}
     assert found[1] == (["7"], ["7"]) and found[2] == ([], ["7"]) and found[3] == ([], []) and found[9] == ([], [])

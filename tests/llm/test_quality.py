@@ -40,7 +40,7 @@ def test_measures_of_odd_texts(spark):
 def test_each_threshold(spark):
     good = "The house that was built by the river is one of the old houses of this town. " * 1
     texts = {
-        "": good, "symbols": good.replace(" ", "### "), "capitals": good.upper() + " the of and in the",
+        "": good, "symbols": good.replace(" ", " ### "), "capitals": good.upper() + " the of and in the",
         "stop_words": "table chair window garden mountain village picture letter number station",
         "word_length": "the of and in " + "a" * 20 + (" " + "b" * 30) * 9,
         "repeated_lines": "this is it\n" + "to be\n" * 4 + "and so on it goes",
