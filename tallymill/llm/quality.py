@@ -152,5 +152,8 @@ def quality_table(
 
 def keep_good(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns they came with."""
-    kept = quality_table(docs, text, **options).where("kept")
+    table = quality_table(docs, text, **options)
+    # exploded, not filtered: a filter would be pushed below the projection and
+    # work everything out once more
+    kept = table.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row"))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

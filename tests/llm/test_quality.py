@@ -43,7 +43,7 @@ def test_each_threshold(spark):
         "": good, "symbols": good.replace(" ", " ### "), "capitals": good.upper() + " the of and in the",
         "stop_words": "table chair window garden mountain village picture letter number station",
         "word_length": "the of and in " + "a" * 20 + (" " + "b" * 30) * 9,
-        "repeated_lines": "this is it\n" + "to be\n" * 4 + "and so on it goes",
+        "repeated_lines": "this is it\n" + "to be\n" * 6 + "and so on it goes",
     }
     df = spark.createDataFrame(list(texts.items()), "name string, text string")
     rows = quality.quality_table(df, thresholds=(*quality.THRESHOLDS, quality.Rule("never", "n_words", 0, None)))
