@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallymill.llm.common import ascii_lower, column
+from tallymill.llm.common import ascii_lower, column, let
 from tallymill.sources.scratch import materialize
 
 # A word: digits, letters, and everything beyond ASCII, after A-Z became a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same before A-Z became a-z.
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 # Rarest words of a window whose postings are stored and intersected.
 ANCHORS = 3
@@ -110,10 +112,13 @@ def _confirmed(docs: DataFrame, places: DataFrame) -> DataFrame:
         F.collect_set(F.struct("start", "length", "phrase")).alias("places")
     )
     per_doc = materialize(per_doc, "places").withColumnsRenamed({"doc_id": "d", "fp": "f"})
+    texts = materialize(per_doc.select(F.col("f").alias("fp")).distinct(), "texts")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))
-    found = docs.join(per_doc, same).select("doc_id", "fp", plain_words(F.col("t")).alias("w"), "places")
-    stands = lambda x: F.array_join(F.slice("w", x["start"] + 1, x["length"]), " ") == x["phrase"]
-    found = found.select("doc_id", "fp", F.filter("places", stands).alias("places"))
+    found = docs.join(texts, "fp", "left_semi").join(per_doc, same)
+    stands = lambda w: F.filter("places", lambda x: (
+        F.array_join(F.slice(w, x["start"] + 1, x["length"]), " ") == x["phrase"]
+    ))
+    found = found.select("doc_id", "fp", let(plain_words(F.col("t")), stands).alias("places"))
     spans = F.sort_array(F.transform("places", lambda x: F.struct(x["start"], x["length"])))
     found = found.where("size(places) > 0").select(
         "doc_id", "fp", _covered(spans).alias("n_hit"),
@@ -168,7 +173,8 @@ def contamination(
         return left.join(right, same, "left").drop("d", "f")
 
     items_hit = listed(hits.select("doc_id", "fp", F.explode("phrases").alias("phrase")), "items")
-    counted = docs.select("doc_id", "fp", F.size(plain_words(F.col("t"))).cast("bigint").alias("n_words"))
+    n_words = F.coalesce(F.regexp_count("t", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("bigint")
+    counted = docs.select("doc_id", "fp", n_words.alias("n_words"))
     n_hit = hits.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), "n_hit")
     out = beside(beside(counted, n_hit), items_hit)
     n = F.coalesce("n_hit", F.lit(0).cast("bigint"))
