@@ -8,27 +8,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymill.llm.common import column, components
 from tallymill.llm.shingles import (
-    WordHashes, band_keys, coarse, shingle_set, signature, similar, sketch,
+    COORDINATES, WordHashes, band_keys, coarse, shingle_set, signature, similar, sketch,
 )
 from tallymill.sources.scratch import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PERCENT = 75
-# Bytes of the coarse sketch that two sets must share to be compared in full. At
-# the similarity asked for 75 are expected, with a deviation of 4.3.
-COARSE_EQUAL = 55
-# Centres of a bucket in the first round that looks at mixed buckets, and the
-# factor by which later rounds take more.
-CENTRES = 8
+# Places of the coarse sketch, of 100, that two sets must share to be compared in
+# full. At the similarity asked for 76.6 are expected, with a deviation of 4.2.
+COARSE_EQUAL = 62
+# Centres of a bucket, about, in the rounds that look at each document's largest
+# mixed bucket.
+CENTRES = (8, 64)
 # Members compared with one centre by one task at most.
 MEMBERS = 256
 
-_SKETCHED = "doc_id bigint, fp bigint, n_shingles bigint, sig binary, bands array<bigint>, coarse binary"
+_SKETCHED = "doc_id bigint, fp bigint, n_shingles bigint, sig binary, bands array<bigint>, coarse array<bigint>"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +45,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch["doc_id"], batch["fp"], pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
-                pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary()),
+                pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64())),
             ],
             ["doc_id", "fp", "n_shingles", "sig", "bands", "coarse"],
         )
@@ -73,16 +73,21 @@ def _compared(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether sets with these sizes and coarse sketches can be similar."""
+    less, more = F.least(f"{a}_size", f"{b}_size"), F.greatest(f"{a}_size", f"{b}_size")
+    differ = F.lit(0)
+    for i in range(-(-COORDINATES // 16)):
+        x = F.get(f"{a}_coarse", F.lit(i)).bitwiseXOR(F.get(f"{b}_coarse", F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return (100 * less >= percent * more) & (differ <= COORDINATES - COARSE_EQUAL)
+
+
+def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a: centre, b: member) that are similar, on their whole sets."""
-    of = lambda c: classes.select(F.col("sig").alias(c), F.col("coarse").alias(f"{c}_coarse"))
-    byte = lambda c, i: F.substring(c, i, F.lit(1))
-    same = F.size(F.filter(
-        F.sequence(F.lit(1), F.length("a_coarse")),
-        lambda i: byte(F.col("a_coarse"), i) == byte(F.col("b_coarse"), i),
-    ))
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(same >= COARSE_EQUAL)
-    pairs = materialize(pairs.select("a", "b"), "pairs")
+    pairs = materialize(pairs.distinct(), "pairs")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
     text_of = lambda c: texts.select(F.col("sig").alias(c), "t")
     centres = salts.join(text_of("a"), "a").select(
@@ -107,14 +112,16 @@ def near_duplicates(
 
     Documents with equal sets are one class. A class has a sketch of 100
     coordinates in 25 bands of four; classes that share a band are candidates, so
-    a pair at the very threshold is missed with a probability of 1e-4. A bucket
-    is never multiplied with itself: each class is first compared with one centre
-    of its buckets. Then, round by round, members of buckets that still hold
-    several components are compared with 8, 64, 512 ... centres of other
-    components, until a bucket is one component or all its members have been
-    centres. So the work is linear where links join up, and no link between
-    components can be missed among candidates, however large the bucket. Every
-    link is confirmed on the whole sets, in pieces of 256 members per task.
+    a pair at the very threshold is missed with a probability of 1e-4. Links are
+    looked for until components are known, not one by one: each class is first
+    compared with one centre of its buckets; then with about 8, then 64 centres of
+    the largest of its buckets that still holds several components; and at last
+    members of a bucket that are still in different components are compared with
+    each other. So members that link up cost a few comparisons each, and no
+    candidate between components is passed over. Candidates go on if their sizes
+    allow the similarity and 62 places of a coarse sketch agree (at the threshold
+    all but 3 in 10,000 do); then links are confirmed on the whole sets, in pieces
+    of 256 members per task.
 
     Null and empty texts have no shingles, no links, and are kept, as are rows
     with a null ``doc_id`` unless linked to one with an id. Repeated rows are
@@ -126,7 +133,8 @@ def near_duplicates(
     sketched = materialize(rows.mapInArrow(_sketches, _SKETCHED), "sketches")
     classes = sketched.where("sig is not null").groupBy("sig").agg(
         F.min(F.struct("doc_id", "fp")).alias("rep"), F.min("doc_id").alias("first_doc"),
-        F.first("bands").alias("bands"), F.first("coarse").alias("coarse"),
+        F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
+        F.first("coarse").alias("coarse"),
     )
     classes = materialize(classes, "classes")
     banded = classes.select("sig", F.explode("bands").alias("key"))
@@ -136,30 +144,43 @@ def near_duplicates(
     wanted = buckets.select("sig").distinct().join(classes, "sig").select("sig", "rep.*")
     wanted = materialize(wanted, "wanted").withColumnsRenamed({"doc_id": "d", "fp": "f"})
     same_row = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))
-    texts = materialize(rows.join(wanted, same_row).select("sig", "t"), "texts")
+    # candidates are a share of the documents, so this is a merge join at any size
+    texts = materialize(rows.join(wanted.hint("merge"), same_row).select("sig", "t"), "texts")
+
+    def of(c: str) -> DataFrame:
+        return classes.select(*[F.col(x).alias(y) for x, y in (
+            ("sig", c), ("n_shingles", f"{c}_size"), ("coarse", f"{c}_coarse"), ("bands", f"{c}_bands")
+        )])
 
     first = buckets.where("sig <> c").groupBy(F.col("sig").alias("b")).agg(F.min("c").alias("a"))
-    links = _links(first, classes, texts, percent)
-    component = components(links)
-    taken, before = CENTRES, 0
-    while True:
-        named = buckets.where(F.col("n") > before).join(
-            component.withColumnRenamed("node", "sig"), "sig", "left"
-        ).withColumn("component", F.coalesce("component", "sig"))
+    first = first.join(of("a"), "a").join(of("b"), "b").where(_alike("a", "b", percent))
+    component = components(_links(first.select("a", "b"), texts, percent))
+    place = F.conv(F.hex(F.substring("b", 1, 4)), 16, 10).cast("bigint") * F.col("n")
+    for centres in (*CENTRES, None):
+        named = buckets.select("key", "n", F.col("sig").alias("b")).join(
+            component.withColumnRenamed("node", "b"), "b", "left"
+        ).withColumn("component", F.coalesce("component", "b"))
         mixed = named.groupBy("key").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi")
         ).where("lo <> hi").select("key")
-        named = materialize(named.join(mixed, "key").withColumn(
-            "centre", F.pmod(F.xxhash64("sig"), "n") < taken
-        ), "mixed")
+        named = named.join(mixed, "key").withColumn("centre", place < ((centres or 0) << 32))
+        named = materialize(named.join(of("b"), "b"), "mixed")
         if named.isEmpty():
             break
-        centres = named.where("centre").select("key", F.col("sig").alias("a"), F.col("component").alias("ca"))
-        pairs = named.join(centres, "key").where("component <> ca and (not centre or a < sig)")
-        found = _links(pairs.select("a", F.col("sig").alias("b")).distinct(), classes, texts, percent)
-        links = links.union(found)
-        component = components(links)
-        taken, before = taken * CENTRES, taken
+        other = named.select("key", *[F.col(f"b{x}").alias(f"a{x}") for x in ("", "_size", "_coarse", "_bands")],
+                             F.col("component").alias("ca"), "centre")
+        apart = (F.col("k") == F.col("key")) & (F.col("component") != F.col("ca")) & _alike("a", "b", percent)
+        if centres is None:  # whatever is still apart meets, in the first bucket it shares
+            shared = F.array_min(F.array_intersect("a_bands", "b_bands"))
+            members, apart = named.drop("centre"), apart & F.expr("a < b") & (shared == F.col("key"))
+        else:
+            largest = named.groupBy("b").agg(F.max(F.struct("n", "key")).alias("x")).select("b", "x.key")
+            members, other = named.drop("centre").join(largest, ["b", "key"]), other.where("centre")
+        pairs = members.withColumnRenamed("key", "k").join(other, apart)
+        found = _links(pairs.select("a", "b"), texts, percent)
+        if not found.isEmpty():
+            known = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            component = components(known.union(found))
 
     named = classes.select("sig", "first_doc").join(
         component.withColumnRenamed("node", "sig"), "sig", "left"

@@ -94,9 +94,13 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def coarse(coordinates: np.ndarray) -> bytes:
-    """A byte of each coordinate, to estimate similarity cheaply."""
-    return (mixed(coordinates) >> np.uint64(56)).astype(np.uint8).tobytes()
+def coarse(coordinates: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen to a 64-bit number, to estimate
+    similarity cheaply."""
+    bits = np.zeros(-(-COORDINATES // 16) * 16, np.uint64)
+    bits[:COORDINATES] = mixed(coordinates) >> np.uint64(60)
+    places = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return (bits.reshape(-1, 16) << places).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def signature(items: np.ndarray) -> bytes:
