@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallymill.llm.common import column, components
+from tallymill.llm.common import column, components, let
 from tallymill.sources.scratch import materialize
 
 # Lines shorter than this are left alone: too short to tell copies from chance.
@@ -16,11 +16,6 @@ EDITS = 1
 CROWD = 64
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def edit_distance(a: Column, b: Column, k: int) -> Column:
     """The edit distance of two strings where it is ``k`` or less, else null.
 
@@ -64,7 +59,7 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
                     (s["d"] + move).alias("d"),
                 )
 
-            return _let(match, lambda e: _let(free(e), cells))
+            return let(match, lambda e: let(free(e), cells))
 
         start = F.struct(
             long(full & ~((1 << k) - 1)).alias("p"), long(0).alias("n"), long(k).alias("d")
@@ -73,10 +68,10 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
         return F.when(F.abs(m - n) > k, None).when(n == 0, m).otherwise(found)
 
     split = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
-    banded = _let(split(a), lambda x: _let(split(b), lambda y: chars(x, y)))
+    banded = let(split(a), lambda x: let(split(b), lambda y: chars(x, y)))
     plain = F.levenshtein(a, b, k)
     d = F.when(F.char_length(a) < k, plain).otherwise(banded.cast("int"))
-    return F.when((d >= 0) & (d <= k), d)
+    return let(d, lambda v: F.when((v >= 0) & (v <= k), v))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -121,25 +116,29 @@ def _halves(crowded: DataFrame) -> DataFrame:
     return rows.select("lid", "line", "length", "head", "tail", deeper.alias("key"))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """With the number of rows of the key, where there are several."""
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(counts, "key")
+def _shared(rows: DataFrame, indexed: Column) -> DataFrame:
+    """With the number of rows of the key, where there are several and one of them
+    at least is of an indexed line."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(indexed).alias("indexed"))
+    return rows.join(counts.where("n > 1 and indexed").drop("indexed"), "key")
 
 
 def _close_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): the distinct lines one edit apart, each pair once."""
     keyed = classes.select("lid", "first", "length", F.posexplode("keys").alias("role", "key"))
-    found = materialize(_shared(keyed.select("lid", "first", "length", "role", "key")), "segments")
+    found = materialize(_shared(keyed, F.col("role") < 2), "segments")
     places = found.select("lid", "first.*").distinct().groupBy("doc_id", "fp").agg(
         F.collect_list(F.struct("at", "lid")).alias("places")
     )
     places = materialize(places, "places").withColumnsRenamed({"doc_id": "d", "fp": "f"})
+    wanted = materialize(places.select(F.col("f").alias("fp")).distinct(), "wanted")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))
-    texts = docs.join(places, same).select(F.split("t", "\n", -1).alias("l"), "places")
-    texts = texts.select(F.explode(F.transform(
-        "places", lambda p: F.struct(p["lid"].alias("lid"), F.get("l", p["at"]).alias("line"))
-    )).alias("x")).select("x.*")
+    lines_of = lambda l: F.transform(  # noqa: E731, E741
+        "places", lambda p: F.struct(p["lid"].alias("lid"), F.get(l, p["at"]).alias("line"))
+    )
+    texts = docs.join(wanted, "fp", "left_semi").join(places, same).select(
+        F.explode(let(F.split("t", "\n", -1), lines_of)).alias("x")
+    ).select("x.*")
     texts = materialize(texts.dropDuplicates(["lid"]), "texts")
 
     length = F.col("length") - F.floor(F.col("role") / 2).cast("int")
@@ -159,7 +158,7 @@ def _close_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
         crowded = rows.where(splits)
         if crowded.isEmpty():
             break
-        rows = _shared(_halves(crowded))
+        rows = _shared(_halves(crowded), F.char_length("line") == F.col("length"))
 
     one = done.where(F.char_length("line") == F.col("length"))
     other = done.select(*[F.col(c).alias(f"o_{c}") for c in columns])
@@ -282,7 +281,7 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))
     rows = rows.join(repeats, same, "left").select("row", "t", "repeats", F.split("t", "\n", -1).alias("l"))
     left = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.col("repeats"))
-    cut = F.array_join(F.transform(left, lambda i: F.get("l", i)), "\n")
+    cut = let(F.col("l"), lambda l: F.array_join(F.transform(left, lambda i: F.get(l, i)), "\n"))  # noqa: E741
     rows = rows.select("row", F.when(F.col("repeats").isNull(), F.col("t")).otherwise(cut).alias("t"),
                        F.col("repeats").isNotNull().alias("cut"))
     rows = rows.where(~F.col("cut") | F.col("t").rlike(r"[^\x20\x09-\x0D]"))
