@@ -16,10 +16,10 @@ from tallymill.llm.common import column
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Lines in a window, and the text in a window at which a surge begins on a page
-# that marks no main part. A run of lines goes on until a window is empty.
+# Lines in a window, and the weight of a window at which a surge begins. A sign
+# weighs 1, and SURGE in a marked main part.
 WINDOW, SURGE = 3, 80
-# Share of a line's text that may be links, on such pages.
+# Share of a line's text that may be links outside a marked main part.
 MAX_LINKED = 0.5
 
 # Elements by what they mean in HTML.
@@ -191,27 +191,40 @@ class _Page:
 
 
 def main_text(page: str | None) -> str:
-    """Windows of lines are summed by their text; a run begins where the sum
-    surges and goes on until it has dropped to nothing.
-
-    On a page that marks its main part, only that part's lines weigh, and any text
-    is a surge. On others, lines that are mostly links weigh nothing.
+    """Windows of lines are summed by their weight; a run begins where the sum
+    surges and goes on until it dives.
+
+    A line weighs as much as its text; in the main part, where a page marks one
+    and it holds half of the text or more, SURGE times as much. Other lines that
+    are mostly links weigh nothing, and stay only between lines of a run that
+    weigh something. A dive is an empty window; on pages with a main part, one
+    below the surge. A page of 80 signs without any such window surges at half
+    of its fullest window.
     """
     lines = _Page().read(page or "")
-    marked = any(main and text for text, _, main in lines)
+    total, in_main = (sum(len(text) for text, _, main in lines if main or every) for every in (True, False))
+    marked = 2 * in_main >= total > 0
     weight = np.array([
-        len(text) if (main if marked else linked <= MAX_LINKED * len(text)) else 0
+        len(text) * SURGE if marked and main else len(text) if linked <= MAX_LINKED * len(text) else 0
         for text, linked, main in lines
     ] + [0] * WINDOW)
     sums = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of the lines from here on
-    surge, kept, on = 1 if marked else SURGE, [], False
+    surge = SURGE
+    if weight.sum() >= SURGE > sums.max():
+        surge = sums.max() / 2
+    dive, kept, linked_lines, on = surge if marked else 1, [], [], False
     for i, (text, _, _) in enumerate(lines):
         if not on and sums[i] >= surge and weight[i]:
             on = True
-        elif on and sums[i] == 0:
+        elif on and sums[i] < dive:
             on = False
         if on and weight[i]:
-            kept.append(text)
+            kept += linked_lines + [text]
+            linked_lines = []
+        elif on and text:
+            linked_lines.append(text)
+        elif not on or not text:
+            linked_lines = []
     return "\n".join(kept)
 
 

@@ -55,3 +55,22 @@ def test_odd_pages(spark):
     assert [texts[i] for i in (None, 1, 2, 3, 4, 5, 6, 7, 9)] == ["", "", "", "", "", "x", "y", "", ""]
     assert texts[8] == "\n".join(["a"] * 50000) and texts[10] == "é 😀 A&unknown; z"
     assert extract(df.limit(0)).count() == 0
+
+
+PARAGRAPHS = [f"Paragraph {i} of an article, long enough to make the text in a window surge." for i in range(6)]
+
+
+def test_windows_decide_outside_the_main_part():
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    far = "<p>x</p>" * 4
+    found = main_text(f"<main>{body}</main>{far}<p>{'An unmarked paragraph. ' * 5}</p>{far}")
+    assert found.startswith("\n".join(PARAGRAPHS)) and "An unmarked paragraph." in found
+    assert found.count("\nx") == 2 and main_text(f"<main>{body}</main>{far}") == "\n".join(PARAGRAPHS)
+
+
+def test_short_and_linked_lines_of_an_unmarked_page():
+    verses = [f"A verse of line {i}" for i in range(8)]
+    assert main_text("".join(f"<p>{v}</p>" for v in verses)) == "\n".join(verses)
+    lines = [PARAGRAPHS[0], PARAGRAPHS[1], "A source", PARAGRAPHS[2]]
+    page = f"<p>{lines[0]}</p><p>{lines[1]}</p><p><a href=x>{lines[2]}</a></p><p>{lines[3]}</p><p><a href=y>Next</a></p>"
+    assert main_text(page) == "\n".join(lines)
