@@ -35,6 +35,8 @@ INLINE = frozenset(
     "var wbr".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
+# Left out by what they hold, not by what they are: kept if they hold most of a page.
+SPARED_TAGS = frozenset(("form", "fieldset"))
 ENCLOSED = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
 # Words in class, id or role that tell what an element is for.
 UNSAID_WORDS = frozenset(
@@ -61,26 +63,35 @@ _QUOTED = _token(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _BARE = _token(r"[^>]*+")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _WORD = re.compile(r"[a-z0-9]+")
+NO, HINTED, YES = range(3)
 _SPACE = re.compile(r"\s+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
-def _purpose(tag: str, rest: str) -> tuple[bool, bool]:
-    """Whether an element is no part of the text, and whether it is the main part."""
-    unsaid, main = tag in UNSAID, tag in MAIN_TAGS
+def _says(tokens: list[str], words: frozenset[str]) -> bool:
+    """Whether a token is one of the words, or made of nothing else (cookie-notice)."""
+    return any((parts := _WORD.findall(t)) and words.issuperset(parts) for t in tokens)
+
+
+def _purpose(tag: str, rest: str) -> tuple[int, bool]:
+    """Whether an element is no part of the text (or only hinted to be none), and
+    whether it is the main part."""
+    unsaid = HINTED if tag in SPARED_TAGS else YES if tag in UNSAID else NO
+    main = tag in MAIN_TAGS
     if rest and "=" in rest or "hidden" in rest:
-        words: set[str] = set()
+        tokens: list[str] = []
         for name, *values in _ATTRIBUTE.findall(rest):
             name, value = name.lower(), "".join(values).lower()
             if name in ("class", "id", "role"):
-                words.update(_WORD.findall(value))
+                tokens += value.split()
             elif name == "hidden" or name == "aria-hidden" and value == "true":
-                unsaid = True
+                unsaid = YES
             elif name == "style" and "display:none" in value.replace(" ", ""):
-                unsaid = True
-        if tag not in ("html", "body", "article", "main"):
-            unsaid = unsaid or bool(words & UNSAID_WORDS)
-            main = main or bool(words & MAIN_WORDS) and tag not in INLINE
+                unsaid = YES
+        if tokens and tag not in ("html", "body", "article", "main"):
+            if not unsaid and _says(tokens, UNSAID_WORDS):
+                unsaid = HINTED
+            main = main or tag not in INLINE and _says(tokens, MAIN_WORDS)
     return unsaid, main
 
 
@@ -88,10 +99,15 @@ class _Page:
     """Lines of a page: (text, length of the linked part, whether in the main part).
 
     Each block of text is a line; an element that is left out gives empty lines,
-    enough to end any run of lines.
+    enough to end any run of lines. ``bulky`` numbers the elements that were left
+    out by a hint though they hold most of the page's text outside links, and no
+    <article> or <main> stands outside them; those in ``spared`` are not left out.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
+        self.spared, self.elements, self.signs, self.mains = spared, 0, 0, 0
+        self.hinted: list[tuple[int, int, int]] = []  # open ones: (number, signs and mains before)
+        self.held: list[tuple[int, int, int]] = []  # closed ones: (number, signs, mains)
         self.lines: list[tuple[str, int, bool]] = []
         self.open: list[tuple[str, bool, bool]] = []
         self.unsaid = self.main = self.links = 0
@@ -118,7 +134,11 @@ class _Page:
             if tag == "br":
                 self.parts.append((" ", False))
             return
-        unsaid, main = _purpose(tag, rest)
+        purpose, main = _purpose(tag, rest)
+        self.elements += 1
+        unsaid = purpose != NO and self.elements not in self.spared
+        self.hinted.append((self.elements if purpose == HINTED and unsaid else 0, self.signs, self.mains))
+        self.mains += tag in MAIN_TAGS
         if tag == "header" and not self.main:
             unsaid = True
         if unsaid and not self.unsaid:
@@ -153,6 +173,7 @@ class _Page:
             self.end_line()
         while self.open:
             name, unsaid, main = self.open.pop()
+            self.close_hinted()
             if unsaid and self.unsaid == 1:
                 self.parts = []
                 self.gap()
@@ -164,6 +185,14 @@ class _Page:
             if name == tag:
                 return
 
+    def close_hinted(self) -> None:
+        number, signs, mains = self.hinted.pop()
+        if number:
+            self.held.append((number, self.signs - signs, self.mains - mains))
+
+    def bulky(self) -> frozenset[int]:
+        return frozenset(n for n, signs, mains in self.held if 2 * signs > self.signs and mains == self.mains)
+
     def read(self, page: str) -> list[tuple[str, int, bool]]:
         at, token = 0, _QUOTED
         while at < len(page):
@@ -175,6 +204,8 @@ class _Page:
                 continue
             at = m.end()
             if m["text"] is not None:
+                if not self.links:
+                    self.signs += len(m["text"].strip())
                 if not self.unsaid:
                     self.parts.append((m["text"], self.links > 0))
             elif m["tag"]:
@@ -187,6 +218,8 @@ class _Page:
                 else:
                     self.start(tag, m["rest"])
         self.end_line()
+        while self.hinted:
+            self.close_hinted()
         return self.lines
 
 
@@ -201,7 +234,10 @@ def main_text(page: str | None) -> str:
     below the surge. A page of 80 signs without any such window surges at half
     of its fullest window.
     """
-    lines = _Page().read(page or "")
+    read = _Page()
+    lines = read.read(page or "")
+    if bulky := read.bulky():
+        lines = _Page(bulky).read(page or "")
     total, in_main = (sum(len(text) for text, _, main in lines if main or every) for every in (True, False))
     marked = 2 * in_main >= total > 0
     weight = np.array([
@@ -242,8 +278,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
 
     Markup is stripped to lines, one per block; comments, scripts, styles and
     elements that are menus, headers, footers, sidebars, notices, adverts, forms
-    or reader comments, by tag or by class, id or role, leave empty lines. The
-    lines between a surge and a dive of the text in a sliding window are the main
+    or reader comments, by tag or by a whole word of class, id or role, leave empty
+    lines; a form, or an element told only by such a word, does not if it holds
+    most of the page and no <article> or <main> stands outside it. The lines between a surge and a dive of the text in a sliding window are the main
     text: white space within a line is one space, and lines are joined by line
     feeds. Nothing else is dropped or cut.
 

@@ -60,6 +60,22 @@ def test_odd_pages(spark):
 PARAGRAPHS = [f"Paragraph {i} of an article, long enough to make the text in a window surge." for i in range(6)]
 
 
+def test_parts_of_class_names_lose_no_article():
+    body, wanted = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "\n".join(PARAGRAPHS)
+    for start in ('<div class="content has-sidebar">', '<div class="post share-enabled">', '<div id="no-comments">',
+                  '<div class="widget">', '<form action="/">'):
+        end = start[: start.find(" ")].replace("<", "</") + ">"
+        assert main_text(f'<body>{start}{body}{end}<div class="ad">Buy</div></body>') == wanted, start
+    comments = "".join(f"<p>{p}</p>" * 9 for p in PARAGRAPHS)
+    assert main_text(f'<article>{body}</article><div class="comments">{comments}</div>') == wanted
+
+
+def test_a_small_main_mark_is_none():
+    body, wanted = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "\n".join(PARAGRAPHS)
+    assert main_text(f'<body><h1 class="post-title">Title</h1>{body}</body>') == "Title\n" + wanted
+    assert main_text(f'<body><div class="entry-meta">Me</div><div class="entry">Teaser</div>{body}') == f"Me\nTeaser\n{wanted}"
+
+
 def test_windows_decide_outside_the_main_part():
     body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
     far = "<p>x</p>" * 4
