@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from math import comb
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,9 @@ from tallymill.sources.scratch import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PERCENT = 75
-# Places of the coarse sketch, of 100, that two sets must share to be compared in
-# full. At the similarity asked for 76.6 are expected, with a deviation of 4.2.
-COARSE_EQUAL = 62
+# Two sets are compared in full unless their coarse sketches share so few places as
+# sets of the similarity asked for do with this probability at most.
+COARSE_MISS = 1e-5
 # Centres of a bucket, about, in the rounds that look at each document's largest
 # mixed bucket.
 CENTRES = (8, 64)
@@ -73,6 +74,17 @@ def _compared(percent: int):
     return run
 
 
+def coarse_equal(percent: int) -> int:
+    """Places of the coarse sketch that two sets must share to be compared in full.
+    A place agrees if the coordinates do, or by chance in one of 16 cases."""
+    agree, below = percent / 100 + (1 - percent / 100) / 16, 0.0
+    for places in range(COORDINATES + 1):
+        below += comb(COORDINATES, places) * agree**places * (1 - agree) ** (COORDINATES - places)
+        if below > COARSE_MISS:
+            return places
+    return COORDINATES
+
+
 def _alike(a: str, b: str, percent: int) -> Column:
     """Whether sets with these sizes and coarse sketches can be similar."""
     less, more = F.least(f"{a}_size", f"{b}_size"), F.greatest(f"{a}_size", f"{b}_size")
@@ -82,7 +94,7 @@ def _alike(a: str, b: str, percent: int) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return (100 * less >= percent * more) & (differ <= COORDINATES - COARSE_EQUAL)
+    return (100 * less >= percent * more) & (differ <= COORDINATES - coarse_equal(percent))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -119,8 +131,8 @@ def near_duplicates(
     members of a bucket that are still in different components are compared with
     each other. So members that link up cost a few comparisons each, and no
     candidate between components is passed over. Candidates go on if their sizes
-    allow the similarity and 62 places of a coarse sketch agree (at the threshold
-    all but 3 in 10,000 do); then links are confirmed on the whole sets, in pieces
+    allow the similarity and enough places of a coarse sketch agree (at the
+    threshold all but 1 in 100,000 do at least); then links are confirmed on the whole sets, in pieces
     of 256 members per task.
 
     Null and empty texts have no shingles, no links, and are kept, as are rows

@@ -1,5 +1,6 @@
 import random
 import sys
+from math import comb
 from pathlib import Path
 
 import numpy as np
@@ -63,6 +64,24 @@ def test_every_coordinate_fills_and_estimates_similarity():
     assert abs(np.mean(sketch(a) == sketch(b)) - len(b) / len(a)) < 0.15
 
 
+def test_coarse_filter_misses_few_at_the_threshold(spark):
+    """Whatever is asked for, the filter passes all but one pair in 100,000."""
+    for percent in (50, 75, 90):
+        agree = percent / 100 + (1 - percent / 100) / 16
+        least = next(m for m in range(COORDINATES, -1, -1) if _passes(spark, m, percent) == [False]) + 1
+        missed = sum(comb(COORDINATES, i) * agree**i * (1 - agree) ** (COORDINATES - i) for i in range(least))
+        assert 1e-7 < missed < 1e-5
+
+
+def _passes(spark, equal, percent):
+    """Whether the filter passes sketches with so many equal places."""
+    bits = [1 if i >= equal else 0 for i in range(COORDINATES)] + [0] * 12
+    words = [sum(b << 4 * i for i, b in enumerate(bits[at : at + 16])) for at in range(0, len(bits), 16)]
+    row = [(9, [0] * len(words), 9, words)]
+    df = spark.createDataFrame(row, "a_size int, a_coarse array<bigint>, b_size int, b_coarse array<bigint>")
+    return [r[0] for r in df.select(neardup._alike("a", "b", percent)).collect()]
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (7, 7)]
     found = components(spark.createDataFrame(edges, "a bigint, b bigint"))
