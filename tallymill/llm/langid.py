@@ -16,8 +16,6 @@ from tallymill.llm.common import column
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIMENSIONS, GRAM = 512, 3
-# Documents that the profiles are bundled from (expected number).
-TRAIN_DOCUMENTS = 20_000
 UNKNOWN = "und"
 # Cosines are this many times as far apart in the score.
 SHARPNESS = 30.0
@@ -81,21 +79,19 @@ def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch["lang"].to_pylist(), batch["t"]):
             v = grams.bundle(text.as_py())
             if v is not None:
-                sums[lang] = sums.get(lang, 0) + v / max(float(np.linalg.norm(v)), 1e-9)
+                unit = v.astype(float) / max(float(np.linalg.norm(v)), 1e-9)
+                sums[lang] = sums[lang] + unit if lang in sums else unit
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(sums), pa.string()), pa.array([s.astype(float) for s in sums.values()], pa.list_(pa.float64()))],
+        [pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))],
         ["lang", "v"],
     )
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = TRAIN_DOCUMENTS) -> dict[str, list[float]]:
-    """Language -> profile, from about ``sample`` of the rows with text and
-    language, chosen by a hash of the text. Tasks bundle their own rows; only the
-    profiles, one per language, come to the driver."""
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[float]]:
+    """Language -> profile, from all rows with text and language. Tasks bundle
+    their own rows; only the profiles, one per language, come to the driver."""
     rows = docs.select(column(lang).alias("lang"), column(text).alias("t")).where("lang is not null and t is not null")
-    every = max(1, rows.count() // sample)
-    some = rows.where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
-    parts = some.mapInArrow(_bundled, "lang string, v array<double>")
+    parts = rows.mapInArrow(_bundled, "lang string, v array<double>")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     profiles = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
     return {r.lang: r.v for r in profiles.select("lang", F.col("v.x").alias("v")).orderBy("lang").collect()}

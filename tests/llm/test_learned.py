@@ -35,6 +35,17 @@ def test_language_of_odd_texts(spark, medium):
     assert {r.lang_pred for r in langid.identify(df, {}).collect()} == {"und"}
 
 
+def test_every_labelled_row_is_bundled(spark):
+    """A language of one text among 60,000 rows has its profile, as has one in copies."""
+    rare = spark.createDataFrame([("ein seltener Text", "xx"), (None, "yy"), ("no language", None)], "text string, lang string")
+    many = spark.range(60_000).selectExpr("concat('the text ', id) as text", "'en' as lang")
+    copies = spark.range(200).selectExpr("'toujours le meme' as text", "'fr' as lang")
+    profiles = langid.learn(many.union(copies).union(rare))
+    assert set(profiles) == {"en", "fr", "xx"}
+    one = langid.Grams().bundle("toujours le meme")
+    assert np.allclose(profiles["fr"], 200 * one / np.linalg.norm(one), rtol=1e-4)
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     grams = langid.Grams()
     turn = lambda c, n: np.roll(grams.letter(ord(c)), n)
