@@ -25,9 +25,8 @@ ORDINARY = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{7,}(?![A-Za-z0-9_])"
 
 # Characters with a state of their own; all others share one more.
 STATES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-# Documents that the models are trained on at most (expected), and random strings
-# made for them.
-SAMPLE_DOCUMENTS, SAMPLE_RANDOM = 20_000, 4_000
+# Random strings made for the models.
+SAMPLE_RANDOM = 4_000
 # Added to every count of a transition.
 SMOOTHING = 0.5
 # Mean log-likelihood ratio per transition above which a run counts as random.
@@ -50,18 +49,18 @@ def _transitions(text: Column) -> Column:
     return F.when(F.char_length(text) > 1, steps).otherwise(F.array().cast("array<int>"))
 
 
-def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCUMENTS) -> list[float]:
+def train(docs: DataFrame, text: str = "text") -> list[float]:
     """Log-likelihood ratio, random over ordinary, of each transition.
 
-    Labelled samples are taken from about ``sample`` documents, chosen by a hash
-    of the text: values that the patterns find count as random, as do
+    Labelled strings are taken from all documents: values that the patterns find
+    count as random, as do
     ``SAMPLE_RANDOM`` digests spelt in hexadecimal and base 64; identifiers of
     eight characters or more with neither a pattern nor a digit count as ordinary.
-    Only the table of transitions, of fixed size, comes to the driver.
+    Transitions are counted in each task before the shuffle; only their table, of
+    fixed size, comes to the driver.
     """
     t = column(text)
-    every = max(1, docs.count() // sample)
-    some = docs.where(t.isNotNull() & (F.pmod(F.xxhash64(t), F.lit(every)) == 0)).select(t.alias("t"))
+    some = docs.where(t.isNotNull()).select(t.alias("t"))
     found = lambda pattern, group: F.regexp_extract_all("t", F.lit(pattern), F.lit(group))
     values = F.concat(
         F.filter(found(ASSIGN, 2), lambda v: F.char_length(v) >= MIN_ACCESS),

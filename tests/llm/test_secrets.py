@@ -61,6 +61,16 @@ def test_model_tells_random_from_ordinary(spark, medium):
     assert all(r.spans == f"random:4:{4 + len(random[r.doc_id])}" for r in rows if r.doc_id in caught and r.doc_id < 200)
 
 
+def test_every_document_is_counted(spark):
+    """An identifier that one of 60,000 documents holds changes the model."""
+    many = spark.range(60_000).selectExpr("concat('an ordinary_name ', id) as text")
+    rare = spark.createDataFrame([(f"zqzqzqzq_{c}zqzqzq",) for c in "abcdefgh"], "text string")
+    few, all_ = secrets.train(many), secrets.train(many.union(rare))
+    width = len(secrets.STATES) + 1
+    steps = [secrets.STATES.index(a) * width + secrets.STATES.index(b) + width + 1 for a, b in ("zq", *(f"_{c}" for c in "abcdefgh"))]
+    assert all(all_[s] < few[s] for s in steps)
+
+
 def test_prefix_sums(spark):
     df = spark.range(0, 300).select(F.when(F.col("id") > 0, F.sequence(F.lit(1), "id")).otherwise(F.array().cast("array<bigint>")).alias("x"))
     for r in df.select("x", prefix_sums(F.col("x")).alias("s")).collect():
