@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallymill.llm.common import column, components, let
 from tallymill.sources.scratch import materialize
 
-# Lines shorter than this are left alone: too short to tell copies from chance.
+# Lines shorter than this have exact copies only: too short to tell near ones from chance.
 MIN_CHARS = 20
 # One edit is allowed, so a line has two segments and one of them is untouched.
 EDITS = 1
@@ -75,11 +75,9 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, at, line, lid): the lines long enough to be compared."""
+    """(doc_id, fp, at, line, lid): the lines with a word."""
     every = docs.select("doc_id", "fp", F.posexplode(F.split("t", "\n", -1)).alias("at", "line"))
-    some = every.where(
-        (F.char_length("line") >= MIN_CHARS) & F.col("line").rlike(r"[^\x20\x09-\x0D]")
-    )
+    some = every.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return some.withColumn("lid", F.unhex(F.md5(F.col("line").cast("binary"))))
 
 
@@ -182,11 +180,12 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, at, first, links): the lines that have a copy or a close line.
+    """(doc_id, fp, at, first, links, short): the lines that have a copy or a close line.
 
     ``docs`` has one row per document; lines are numbered by ``at`` from 0.
     ``first`` is the (doc_id, fp, at) where the line's class begins; ``links``
-    counts the different lines one edit away.
+    counts the different lines one edit away. ``short`` lines, of less than
+    ``MIN_CHARS`` characters, have copies only.
     """
     docs = _keyed(docs, doc_id, text)
     lines = _lines(docs)
@@ -194,7 +193,7 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.min(F.struct("doc_id", "fp", "at")).alias("first"),
         F.count(F.lit(1)).alias("n"),
         F.first(F.char_length("line")).alias("length"),
-        F.first(_segment_keys(F.col("line"))).alias("keys"),
+        F.first(F.when(F.char_length("line") >= MIN_CHARS, _segment_keys(F.col("line")))).alias("keys"),
     )
     classes = materialize(classes, "lines")
     links = _close_lines(docs, classes)
@@ -207,30 +206,37 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     active = classes.join(linked, "lid", "left").where("n > 1 or begins is not null").select(
         "lid", F.coalesce("begins", "first").alias("first"),
         F.coalesce("links", F.lit(0).cast("bigint")).alias("links"),
+        (F.col("length") < MIN_CHARS).alias("short"),
     )
     return lines.select("doc_id", "fp", "at", "lid").join(active, "lid").select(
-        "doc_id", "fp", "at", "first", "links"
+        "doc_id", "fp", "at", "first", "links", "short"
     )
 
 
 def _per_document(matches: DataFrame) -> DataFrame:
-    """(d, f, repeats, class_docs, n_links): one row per document with a match."""
+    """One row per document (d, f) with a match; the short lines in columns of their own."""
     here = F.struct("doc_id", "fp", "at")
     repeat = ~(F.col("first").eqNullSafe(here))
     grouped = matches.groupBy("doc_id", "fp").agg(
-        F.sort_array(F.collect_set(F.when(repeat, F.col("at")))).alias("repeats"),
-        F.sort_array(F.collect_set(F.struct("at", F.col("first.doc_id").alias("doc"), "links"))).alias("m"),
+        F.sort_array(F.collect_set(F.when(repeat & ~F.col("short"), F.col("at")))).alias("repeats"),
+        F.sort_array(F.collect_set(F.when(repeat & F.col("short"), F.col("at")))).alias("short_repeats"),
+        F.sort_array(F.collect_set(F.struct("at", F.col("first.doc_id").alias("doc"), "links", "short"))).alias("all"),
+    ).select(
+        "*", F.filter("all", lambda x: ~x["short"]).alias("m"), F.filter("all", lambda x: x["short"]).alias("s"),
     )
     return grouped.select(
         F.col("doc_id").alias("d"), F.col("fp").alias("f"), "repeats",
         F.transform("m", lambda x: x["at"]).alias("lines"),
         F.transform("m", lambda x: x["doc"]).alias("class_docs"),
+        F.transform("s", lambda x: x["at"]).alias("short_lines"),
+        F.transform("s", lambda x: x["doc"]).alias("short_class_docs"), "short_repeats",
         F.aggregate("m", F.lit(0).cast("bigint"), lambda a, x: a + x["links"]).alias("n_links"),
     )
 
 
 def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, n_lines, n_links, lines, class_docs, repeats) of each document.
+    """(doc_id, fp, n_lines, n_links, lines, class_docs, repeats, short_lines,
+    short_class_docs, short_repeats) of each document.
 
     Lines end at line feeds. Lines of 20 characters or more with a word are
     compared with all such lines of all documents; those that are equal, or one
@@ -239,7 +245,9 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     more than this one line, ``class_docs`` has for each of them the document
     where its class begins, ``n_links`` is the sum over them of the different
     lines one edit away, and ``repeats`` numbers the lines that are not the first
-    of their class, in the order of (doc_id, hash of the text, line number).
+    of their class, in the order of (doc_id, hash of the text, line number). The
+    last three columns say the same of shorter lines with a word, whose classes
+    are their exact copies.
 
     Distinct lines are found by grouping on a 128-bit hash, so a line that fills
     a third of all rows costs one row per task. Each distinct line gives two
@@ -265,12 +273,16 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.coalesce("lines", none("int")).alias("lines"),
         F.coalesce("class_docs", none("bigint")).alias("class_docs"),
         F.coalesce("repeats", none("int")).alias("repeats"),
+        F.coalesce("short_lines", none("int")).alias("short_lines"),
+        F.coalesce("short_class_docs", none("bigint")).alias("short_class_docs"),
+        F.coalesce("short_repeats", none("int")).alias("short_repeats"),
     )
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the repeated lines, and without the rows that had a word
-    in their text and lost every line with one. Columns stay as they came."""
+    in their text and lost every line with one. Lines of less than 20 characters
+    stay, copies too. Columns stay as they came."""
     repeats = _per_document(line_matches(docs, doc_id, text)).where("size(repeats) > 0")
     repeats = materialize(repeats.select("d", "f", "repeats"), "repeats")
     t = column(text)

@@ -59,7 +59,7 @@ def op6_line_dedup(spark, d):
     found = linededup.line_classes(read_table(spark, d, "documents"))
     return found.select(
         "doc_id", "n_lines", "n_links", F.size("repeats").cast("bigint").alias("n_repeats"),
-        "lines", "class_docs", "repeats",
+        "lines", "class_docs", "repeats", "short_lines", "short_class_docs", "short_repeats",
     )
 
 

@@ -53,6 +53,25 @@ def test_distance(spark):
         assert df.where(~found.eqNullSafe(wanted)).count() == 0
 
 
+def test_short_copies_have_their_classes(spark, medium):
+    docs = {r.doc_id: r.text for r in read_table(spark, medium, "documents").collect()}
+    at = {}
+    for d, text in sorted(docs.items()):
+        for i, line in enumerate((text or "").split("\n")):
+            if len(line) < 20 and line.strip(" \t\n\x0b\x0c\r"):
+                at.setdefault(line, []).append((d, i))
+    wanted = {d: ([], [], []) for d in docs}
+    for places in at.values():
+        for d, i in places if len(places) > 1 else []:
+            wanted[d][0].append((i, places[0][0]))
+            if (d, i) != places[0]:
+                wanted[d][2].append(i)
+    wanted = {d: ([i for i, _ in sorted(m)], [c for _, c in sorted(m)], sorted(r)) for d, (m, _, r) in wanted.items()}
+    found = QUERIES["op6_line_dedup"](spark, medium).collect()
+    assert {r.doc_id: (list(r.short_lines), list(r.short_class_docs), list(r.short_repeats)) for r in found} == wanted
+    assert any(r for _, _, r in wanted.values())
+
+
 def test_nulls_repeats_and_clashing_names(spark):
     long = "lorem ipsum dolor sit " * 5000
     line = "a line that is long enough to be compared"
