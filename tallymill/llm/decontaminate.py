@@ -73,7 +73,9 @@ def intersected(plan: DataFrame, postings: DataFrame, slop: int = 0) -> DataFram
     c = plan.withColumn("term", anchor["term"]).join(postings, "term").select(
         "phrase", "length", "anchors", "doc_id", "fp",
         (F.col("pos") - anchor["off"]).alias("start"), F.lit(0).alias("drift"),
-    ).where("start >= 0")
+    )
+    if not slop:
+        c = c.where("start >= 0")
     stretch = 2 * slop + 1
     other = postings.select(
         F.col("doc_id").alias("d"), F.col("fp").alias("f"), F.col("term").alias("word"),
@@ -108,7 +110,7 @@ def _covered(spans: Column) -> Column:
 
 def _confirmed(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(doc_id, fp, n_hit, phrases): places where the whole phrase stands."""
-    per_doc = places.where("drift = 0").groupBy("doc_id", "fp").agg(
+    per_doc = places.where("drift = 0 and start >= 0").groupBy("doc_id", "fp").agg(
         F.collect_set(F.struct("start", "length", "phrase")).alias("places")
     )
     per_doc = materialize(per_doc, "places").withColumnsRenamed({"doc_id": "d", "fp": "f"})
@@ -127,6 +129,25 @@ def _confirmed(docs: DataFrame, places: DataFrame) -> DataFrame:
     return materialize(found.dropDuplicates(["doc_id", "fp"]), "hits")
 
 
+def _near(docs: DataFrame, places: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, fp, phrase): places where each word of the phrase stands up to
+    ``slop`` words off."""
+    per_doc = places.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "phrase")).alias("places"))
+    per_doc = materialize(per_doc, "near_places").withColumnsRenamed({"doc_id": "d", "fp": "f"})
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))
+
+    def stands(w: Column) -> Column:
+        def near(x: Column, terms: Column) -> Column:
+            around = lambda i: F.sequence(x["start"] + i - slop, x["start"] + i + slop)
+            at = lambda i: F.exists(around(i), lambda p: (p >= 0) & (F.get(w, p) == F.get(terms, i)))
+            return F.forall(F.sequence(F.lit(0), F.size(terms) - 1), at)
+
+        return F.filter("places", lambda x: let(F.split(x["phrase"], " "), lambda terms: near(x, terms)))
+
+    found = docs.join(per_doc, same).select("doc_id", "fp", let(plain_words(F.col("t")), stands).alias("places"))
+    return found.select("doc_id", "fp", F.explode("places.phrase").alias("phrase")).distinct()
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -141,8 +162,9 @@ def contamination(
     ``n_hit`` counts the words under an occurrence of any window of 13 words of
     an item; ``items`` are the sorted ids, as strings, of the items concerned;
     ``contaminated`` means one word in twenty or more is hit. With ``slop``, the
-    column ``near_items`` lists the items with a window whose rarest words stand
-    up to ``slop`` words off their places (exact ones included).
+    column ``near_items`` lists the items with a window whose words all stand up
+    to ``slop`` words off their places, counted from its rarest word (exact ones
+    included).
 
     Four passes over ``docs``: document frequencies of the items' words; postings
     of each window's rarest words, written; the documents in which those meet,
@@ -184,7 +206,7 @@ def contamination(
         "contaminated": (n > 0) & (20 * n >= F.col("n_words")),
     })
     if slop:
-        out = beside(out, listed(places, "near_items"))
+        out = beside(out, listed(_near(docs, places, slop), "near_items"))
         out = out.withColumn("near_items", F.coalesce("near_items", none))
     return out
 

@@ -68,3 +68,15 @@ def test_proximity(spark):
     b = spark.createDataFrame([(7, item)], "item_id bigint, text string")
     found = {r.doc_id: (list(r["items"]), list(r.near_items)) for r in dec.contamination(d, b, slop=3).collect()}
     assert found[1] == (["7"], ["7"]) and found[2] == ([], ["7"]) and found[3] == ([], []) and found[9] == ([], [])
+
+
+def test_proximity_of_every_word(spark):
+    """All words count, not the three rarest only, and documents may begin within a window."""
+    w = [f"w{i}" for i in range(13)]
+    rest = [x for x in w if x not in ("w1", "w5", "w9")]
+    docs = {1: [w[1], w[0], *w[2:]], 2: rest[::-1], 4: rest[::-1] + ["z"],
+            3: [x if x in ("w1", "w5", "w9") else f"x{i}" for i, x in enumerate(w)]}
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in docs.items()], "doc_id bigint, text string")
+    b = spark.createDataFrame([(7, " ".join(w))], "item_id bigint, text string")
+    found = {r.doc_id: (list(r["items"]), list(r.near_items)) for r in dec.contamination(d, b, slop=3).collect()}
+    assert found == {1: ([], ["7"]), 2: ([], []), 3: ([], []), 4: ([], [])}
