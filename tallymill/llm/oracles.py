@@ -103,3 +103,48 @@ for _part, _sql in (
     ("{marks}", str(len(START + SAYS + END))), ("{extra:text}", _added("text")), ("{extra:role}", _added("role")),
 ):
     ORACLES["op5_chat_formatting"] = ORACLES["op5_chat_formatting"].replace(_part, _sql)
+
+ORACLES["op11_filter_interaction"] = r"""
+with texts as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+flags as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good,
+    max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+failed as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    case when len(w) < 100 then 'A' else '' end
+    || case when 100 * len(list_distinct(w)) < 80 * len(w) then 'B' else '' end
+    || case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+    || case when min(doc_id) over (partition by t) < doc_id then 'E' else '' end as fails
+  from (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from texts)
+  left join flags using (doc_id)),
+counted as (
+  select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from failed group by part, fails),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order
+  from letters a, letters b, letters c, letters d, letters e
+  where a.x not in (b.x, c.x, d.x, e.x) and b.x not in (c.x, d.x, e.x) and c.x not in (d.x, e.x) and d.x <> e.x),
+steps as (select filter_order, unnest([1, 2, 3, 4, 5]) as step from orders),
+each as (
+  select *, contains(fails, filter_order[step]) as own,
+    len(fails) > 0 and len(translate(fails, filter_order[1 : step - 1], '')) < len(fails) as earlier,
+    filter_order[step] as letter
+  from counted, steps),
+summed as (
+  select part, filter_order, step, letter,
+    coalesce(sum(n) filter (where not own and not earlier), 0) as kept,
+    coalesce(sum(n) filter (where own and not earlier), 0) as removed,
+    coalesce(sum(n) filter (where own and earlier), 0) as redundant,
+    coalesce(sum(n) filter (where fails = letter), 0) as unique_fails,
+    coalesce(sum(good) filter (where own and not earlier), 0) as good_lost,
+    coalesce(sum(toxic) filter (where own and not earlier), 0) as toxic_lost
+  from each group by part, filter_order, step, letter)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept,
+  cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, letter) as bigint) as shapley
+from summed
+"""

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymill.llm import (
-    chat, compression, decontaminate, htmltext, langid, linededup, neardup, packing, quality, secrets,
+    chat, compression, decontaminate, filteraudit, htmltext, langid, linededup, neardup, packing, quality,
+    secrets, sharding,
 )
 from tallymill.sources.tables import read_table
+from tallymill.sources.text import stream_table
 
 VOCABULARY = "byte_bpe_50k.json"
+# What one micro-batch of the filter audit reads, about: this share of the table.
+AUDIT_BATCHES = 4
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -149,3 +153,24 @@ def op9_quality_classifier(spark, d):
 @query
 def op8_html_extraction(spark, d):
     return htmltext.extract(read_table(spark, d, "pages"))
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a table is read from."""
+    spark = df.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
+@query
+def op11_filter_interaction(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text", "lang")
+    batch = max(1, table_bytes(docs) // AUDIT_BATCHES)
+    stream = stream_table(spark, d, "documents", docs.schema, batch)
+    return filteraudit.audit(stream, read_table(spark, d, "labels"))
+
+
+@query
+def op12_sharding(spark, d):
+    return sharding.shard_table(read_table(spark, d, "documents"))
