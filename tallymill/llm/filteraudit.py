@@ -17,11 +17,10 @@ from itertools import permutations
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tallymill.llm.common import SPACED_WORD, column, let
-from tallymill.session import CHANGELOG, ROCKSDB_PROVIDER
 from tallymill.sources.scratch import materialize, scratch_path
 from tallymill.streaming.drive import drain
 
@@ -42,7 +41,10 @@ _ARROW = pa.schema([
     ("part", pa.string()), ("good", pa.int32()), ("toxic", pa.int32()), ("n", pa.int64()),
 ])
 _DELTA = "part string, mask int, good int, toxic int, n bigint"
-_STATE = "least bigint, first string"
+_STATE = "texts string"
+# Texts that share a state are those of about so many bytes of the table; a call in
+# Python for each text alone would take longer than all the rest.
+BUCKET_BYTES = 16 << 20
 
 
 def failed(text: Column) -> Column:
@@ -81,35 +83,39 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
-def _retracted(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """What the rows of one text change in the counts. The state holds the smallest id
-    so far, and how often each part and pair of labels came with it."""
-    least, first = state.get if state.exists else (None, "[]")
-    before = least
-    at_least = Counter({tuple(k): n for k, n in json.loads(first)})
+def _retracted(bucket: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """What the rows of some texts change in the counts. The state holds, by text, the
+    smallest id so far, and how often each part and pair of labels came with it."""
+    texts = json.loads(state.get[0]) if state.exists else {}
     out: Counter = Counter()
     for frame in frames:
-        for _, mask, known, doc, part, good, toxic, n in frame.itertuples(index=False, name=None):
-            what = (part, int(mask), int(good), int(toxic))
+        rows = zip(*(frame[c].tolist() for c in ("key", "mask", "known", "doc_id", "part", "good", "toxic", "n")))
+        for key, mask, known, doc, part, good, toxic, n in rows:
             if not known:
-                out[what] += n
+                out[part, mask, good, toxic] += n
                 continue
-            doc = int(doc)
-            if least is None or doc < least:
-                for (p, m, g, t), k in at_least.items():
+            least, first = texts.get(key, (doc, []))
+            if doc < least:
+                for p, m, g, t, k in first:
                     out[p, m, g, t] -= k
                     out[p, m | COPY, g, t] += k
-                least, at_least = doc, Counter()
-            if doc > least:
-                out[part, what[1] | COPY, what[2], what[3]] += n
+                least, first = doc, []
+            if doc == least:
+                texts[key] = (least, [*first, (part, mask, good, toxic, n)])
             else:
-                out[what] += n
-                at_least[what] += n
-    if least is not None and (before is None or at_least):
-        state.update((least, json.dumps([[list(k), int(n)] for k, n in sorted(at_least.items())])))
-    rows = [(*k, int(n)) for k, n in out.items() if n]
-    if rows:
-        yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "n"])
+                mask |= COPY
+            out[part, mask, good, toxic] += n
+    if texts:
+        state.update((json.dumps(texts, separators=(",", ":")),))
+    changed = [(*k, n) for k, n in out.items() if n]
+    if changed:
+        yield pd.DataFrame(changed, columns=["part", "mask", "good", "toxic", "n"])
+
+
+def buckets_for(spark: SparkSession, table_bytes: int) -> int:
+    """Buckets for a table of this size, some for every task of a shuffle at least."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(4 * tasks, table_bytes // BUCKET_BYTES)
 
 
 def label_flags(labels: DataFrame) -> DataFrame:
@@ -120,7 +126,7 @@ def label_flags(labels: DataFrame) -> DataFrame:
 
 
 def mask_counts(
-    stream: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "lang"
+    stream: DataFrame, labels: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "text", part: str = "lang"
 ) -> DataFrame:
     """(part, mask, good, toxic, n): documents of a stream by part, the set of filters
     they fail and their labels, when all that is there has been read.
@@ -128,9 +134,11 @@ def mask_counts(
     The stream may come in any number of batches and in any order. Each batch is
     keyed by a hash of 128 bits of the text; copies are combined within tasks before
     and only numbers are shuffled. The state of a text is its smallest id and the
-    counts that came with it, held in RocksDB and checkpointed, so a lost executor or
-    a restart costs a batch. A batch's changes go to a folder of its number, which a
-    repeated batch replaces. A row is a copy if a smaller id has its text: rows with
+    counts that came with it. Texts are dealt by hash over ``buckets``, which should
+    grow with the table (see ``buckets_for``); a bucket's texts are stored together, in
+    the session's state store (``build_session`` sets RocksDB) and its checkpoint, so a
+    lost executor costs the tasks it ran. A batch's changes go to a folder of its
+    number, which a repeated batch replaces. A row is a copy if a smaller id has its text: rows with
     one id and one text are not copies of each other, and a row without an id neither
     is a copy nor makes one.
     """
@@ -145,7 +153,9 @@ def mask_counts(
         "key", "mask", "doc_id", "part", F.coalesce("good", F.lit(0)).alias("good"),
         F.coalesce("toxic", F.lit(0)).alias("toxic"),
     )
-    changes = rows.mapInArrow(_combined, _KEYED).groupBy("key").applyInPandasWithState(
+    combined = rows.mapInArrow(_combined, _KEYED)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+    changes = combined.groupBy(bucket).applyInPandasWithState(
         _retracted, _DELTA, _STATE, "update", GroupStateTimeout.NoTimeout
     )
     deltas = scratch_path(spark, "deltas")
@@ -159,15 +169,7 @@ def mask_counts(
         .option("checkpointLocation", scratch_path(spark, "checkpoint"))
         .foreachBatch(store)
     )
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    held = {c: spark.conf.get(c, None) for c in (provider, CHANGELOG)}
-    spark.conf.set(provider, ROCKSDB_PROVIDER)
-    spark.conf.set(CHANGELOG, "true")
-    try:
-        drain(writer)
-    finally:
-        for conf, value in held.items():
-            spark.conf.unset(conf) if value is None else spark.conf.set(conf, value)
+    drain(writer)
     try:
         stored = spark.read.schema(f"{_DELTA}, batch bigint").parquet(deltas)
     except Exception as e:
@@ -213,11 +215,13 @@ def interactions(counts: DataFrame) -> DataFrame:
     return table.join(whole, ["part", "bit"]).drop("bit")
 
 
-def audit(stream: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
+def audit(
+    stream: DataFrame, labels: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "text", part: str = "lang"
+) -> DataFrame:
     """``interactions`` of the documents in a stream.
 
     Null texts are empty, null parts the empty string; a row without a text still
     counts. Repeated labels of an id count once, 1 if any of them is. Other columns
     play no part. An empty stream gives no row.
     """
-    return interactions(mask_counts(stream, labels, doc_id, text, part))
+    return interactions(mask_counts(stream, labels, buckets, doc_id, text, part))

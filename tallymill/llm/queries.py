@@ -166,9 +166,9 @@ def table_bytes(df: DataFrame) -> int:
 @query
 def op11_filter_interaction(spark, d):
     docs = read_table(spark, d, "documents").select("doc_id", "text", "lang")
-    batch = max(1, table_bytes(docs) // AUDIT_BATCHES)
-    stream = stream_table(spark, d, "documents", docs.schema, batch)
-    return filteraudit.audit(stream, read_table(spark, d, "labels"))
+    size = table_bytes(docs)
+    stream = stream_table(spark, d, "documents", docs.schema, max(1, size // AUDIT_BATCHES))
+    return filteraudit.audit(stream, read_table(spark, d, "labels"), filteraudit.buckets_for(spark, size))
 
 
 @query
