@@ -154,8 +154,8 @@ def mask_counts(
         F.coalesce("toxic", F.lit(0)).alias("toxic"),
     )
     combined = rows.mapInArrow(_combined, _KEYED)
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
-    changes = combined.groupBy(bucket).applyInPandasWithState(
+    combined = combined.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    changes = combined.groupBy("bucket").applyInPandasWithState(
         _retracted, _DELTA, _STATE, "update", GroupStateTimeout.NoTimeout
     )
     deltas = scratch_path(spark, "deltas")
