@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymill.llm import (
-    chat, compression, decontaminate, filteraudit, htmltext, langid, linededup, neardup, packing, quality,
-    secrets, sharding,
+    chat, compression, decontaminate, filteraudit, hardnegatives, htmltext, langid, linededup, neardup,
+    packing, quality, secrets, sharding,
 )
 from tallymill.sources.tables import read_table
 from tallymill.sources.text import stream_table
@@ -174,3 +174,10 @@ def op11_filter_interaction(spark, d):
 @query
 def op12_sharding(spark, d):
     return sharding.shard_table(read_table(spark, d, "documents"))
+
+
+@query
+def op13_hard_negatives(spark, d):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    is_anchor = F.col("vec_id") % 100 == 0
+    return hardnegatives.hard_negatives(read_table(spark, d, "embeddings"), label, is_anchor)

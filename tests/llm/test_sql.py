@@ -9,7 +9,7 @@ from tallymill.llm.queries import QUERIES
 
 
 def test_registered():
-    assert len(QUERIES) == 10 and set(QUERIES) | {"pipeline"} <= set(spark_entry.queries())
+    assert len(QUERIES) == 13 and set(QUERIES) | {"pipeline"} <= set(spark_entry.queries())
     assert set(ORACLES) <= set(spark_entry.oracle_sql())
 
 
