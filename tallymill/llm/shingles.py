@@ -106,11 +106,3 @@ def coarse(coordinates: np.ndarray) -> np.ndarray:
 def signature(items: np.ndarray) -> bytes:
     """Equal for equal sets; 128 bits."""
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
-
-
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * |intersection| >= percent * |union|, counted on whole sets."""
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= percent * (len(a) + len(b) - shared)

@@ -4,6 +4,7 @@ from math import comb
 from pathlib import Path
 
 import numpy as np
+import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -39,6 +40,35 @@ def test_crowded_buckets_lose_no_link(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.near_components(docs)
 
 
+@pytest.mark.parametrize("words, grows, sizes", [(10**9, 1.2, (250, 500, 1000)), (300, 2, (250, 500))])
+def test_pairs_confirmed_among_unlinked_near_copies(spark, monkeypatch, words, grows, sizes):
+    """Copies of an absent base, too far apart for a link between most: the pairs whose
+    sets are compared grow with the copies where the replaced words hardly recur, and
+    towards the square where they do."""
+    plain, pairs = neardup._overlaps, []
+
+    def counted(wanted, texts):
+        pairs.append(wanted.distinct().count())
+        return plain(wanted, texts)
+
+    monkeypatch.setattr(neardup, "_overlaps", counted)
+    made = {}
+    for n in sizes:
+        rng = random.Random(n)
+        base, docs = [f"w{i}" for i in range(100)], {}
+        for i in range(n):
+            copy = list(base)
+            for at in rng.sample(range(100), 4):
+                copy[at] = f"x{rng.randrange(words)}"
+            docs[i] = " ".join(copy)
+        pairs.clear()
+        df = spark.createDataFrame([(i, t, 0) for i, t in docs.items()], SCHEMA)
+        found = neardup.near_duplicates(df).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.near_components(docs)
+        made[n] = sum(pairs)
+    assert all(made[2 * n] <= 2**grows * made[n] and made[n] < n * n / 10 for n in sizes[:-1])
+
+
 def test_nulls_ties_repeats_and_clashing_names(spark):
     long = "a b c d e f g " * 20000
     rows = [(1, None, 0), (2, "", 0), (3, " \t\n", 0), (None, "one two", 0), (4, "One TWO", 0),
