@@ -7,7 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallymill.sources.scratch import scratch_path
 
-LEAST_BLOCKS = 100
+# Ratings that a block a side should have at least to be worth a task, and at most.
+FEW_RATINGS, MANY_RATINGS = 1 << 13, 1 << 21
+
+
+def blocks_for(ratings: int, cores: int) -> int:
+    """Blocks a side: one per core while each has enough ratings, more once they would
+    have too many. Every user block exchanges factors with every item block, so a
+    needless block costs twice that many messages in every iteration."""
+    return max(1, min(cores, ratings // FEW_RATINGS), -(-ratings // MANY_RATINGS))
 
 
 def factorize(
@@ -24,11 +32,10 @@ def factorize(
 ) -> tuple[DataFrame, DataFrame]:
     """(user factors, item factors), each (id, features).
 
-    The two factor matrices are kept in ``blocks`` blocks a side, by default as
-    many as the cluster has cores or the input has partitions, and 100 at least.
-    Every few
-    iterations they are checkpointed, so a lost executor costs those iterations
-    and not the whole run. Ids must fit an ``int``; a larger one is an error.
+    The two factor matrices are kept in ``blocks`` blocks a side; by default the
+    ratings are counted first and ``blocks_for`` decides. Every few iterations the
+    factors are checkpointed, so a lost executor costs those iterations and not the
+    whole run. Ids must fit an ``int``; a larger one is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -39,7 +46,7 @@ def factorize(
         F.col(rating).cast("float").alias("rating"),
     )
     if blocks is None:
-        blocks = max(LEAST_BLOCKS, spark.sparkContext.defaultParallelism, ratings.rdd.getNumPartitions())
+        blocks = blocks_for(ratings.count(), spark.sparkContext.defaultParallelism)
     als = ALS(
         rank=rank,
         regParam=reg,

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators.factorize import factorize, fit_error, with_sides
+from tallymill.operators.factorize import MANY_RATINGS, blocks_for, factorize, fit_error, with_sides
 from tallymill.sources.generate import gen_ratings
 
 
@@ -23,7 +23,7 @@ def test_factors_rebuild_a_low_rank_matrix(spark):
 
 def test_defaults_and_every_id(spark):
     ratings = gen_ratings(spark, 60, 50, 20, 4, 10, 4)
-    users, items = factorize(ratings, iters=2)  # 100 blocks a side
+    users, items = factorize(ratings, iters=2)
     assert 0 < fit_error(ratings, users, items).first().rmse < 20
     sides = with_sides(users, items)
     sizes = {(r.side, r.id): len(r.features) for r in sides.collect()}
@@ -32,6 +32,20 @@ def test_defaults_and_every_id(spark):
     assert set(sizes) == wanted
 
 
+def test_blocks_follow_the_ratings():
+    assert blocks_for(0, 8) == blocks_for(100, 1000) == 1
+    assert blocks_for(600_000, 8) == 8  # one per core
+    assert blocks_for(600_000, 1000) == 73  # too few ratings for more
+    assert blocks_for(320_000_000, 20) == 153 and 320_000_000 / 153 <= MANY_RATINGS
+    assert blocks_for(10**12, 1000) * MANY_RATINGS >= 10**12
+
+
+def test_a_hundred_blocks_when_asked(spark):
+    ratings = gen_ratings(spark, 30, 20, 20, 4, 5, 4)
+    users, items = factorize(ratings, iters=1, blocks=100)
+    assert users.count() <= 30 and items.count() <= 20
+
+
 def test_an_id_beyond_int_is_an_error(spark):
     big = spark.createDataFrame([(2**40, 1, 1.0)], "user bigint, item int, rating double")
     with pytest.raises(Exception, match="CAST_OVERFLOW|overflow"):
