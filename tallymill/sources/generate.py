@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallymill.functions.arith import near_normal, scatter
 from tallymill.functions.ranking import range_positions
+from tallymill.sources.scratch import materialize
 
 # What one task writes, about, unless the number of parts is given.
 BYTES_PER_PART = 256 << 20
@@ -36,7 +37,11 @@ def gen_word_lines(
     """(id, line): lines of ``words`` evenly picked words, joined by a space.
 
     ``vocab`` is (word), distinct. A word's number is its place in sorted order;
-    numbers are drawn and joined with the numbered words.
+    numbers are drawn and joined with the numbered words. Picks outnumber words by far
+    and Spark cannot tell, as they come of an explode. So the dictionary is stored
+    first, which makes its size known, and is the optional side of an outer join, the
+    only one that can be broadcast. Then picks stay where their line is, and the
+    grouping by line needs no exchange.
     """
     size, chars = vocab.agg(
         F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))
@@ -45,10 +50,10 @@ def gen_word_lines(
         raise ValueError("the dictionary is empty")
     ids = _ids(spark, num_lines, parts, words * (chars / size + 1))
     picks = [scatter("id", j, seed) % size for j in range(words)]
-    numbered = range_positions(vocab, ["word"], number="idx")
+    numbered = materialize(range_positions(vocab, ["word"], number="idx"), "numbered")
     return (
         ids.select("id", F.posexplode(F.array(*picks)).alias("j", "idx"))
-        .join(numbered, "idx")
+        .join(numbered, "idx", "left")
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("j", "word"))).alias("picked"))
         .select("id", F.array_join(F.col("picked.word"), " ").alias("line"))

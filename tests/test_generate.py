@@ -55,6 +55,22 @@ def test_parallelism_changes_nothing(spark, vocab):
     assert wanted != {r.id: r.line for r in other.collect()}
 
 
+def test_only_the_dictionary_can_be_the_build_side(spark, vocab):
+    """Picks are never broadcast, and a broadcast dictionary leaves them in place."""
+    plan = lambda: gen.gen_word_lines(spark, vocab, 300)._jdf.queryExecution().executedPlan().toString()
+    small = plan()
+    assert "BuildRight" in small and "BuildLeft" not in small and "LeftOuter" in small
+    assert "hashpartitioning(id" not in small and "hashpartitioning(idx" not in small
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        assert "Broadcast" not in plan()
+        large = {r.id: r.line for r in gen.gen_word_lines(spark, vocab, 300).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert large == {r.id: r.line for r in gen.gen_word_lines(spark, vocab, 300).collect()}
+
+
 def test_empty_dictionary(spark, vocab):
     with pytest.raises(ValueError):
         gen.gen_word_lines(spark, vocab.where(F.lit(False)), 10)
