@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymill.functions.ranking import number_within
 from tallymill.sources.logs import parse_log_path
@@ -12,7 +12,12 @@ ERROR = r"(?i)(error|exception)"
 
 def scan_logs(df: DataFrame, pattern: str = ERROR) -> DataFrame:
     """The lines that match."""
-    return df.where(F.col("line").rlike(pattern))
+    return df.where(matches(pattern))
+
+
+def matches(pattern: str = ERROR) -> Column:
+    """The condition that a line matches, for readers that can drop the others' text."""
+    return F.col("line").rlike(pattern)
 
 
 def scan_numbered(
@@ -35,7 +40,8 @@ def tree_hits(lines: DataFrame, path: str = "path", pattern: str = ERROR) -> Dat
 
 def flags_from_tree(runs: DataFrame, lines: DataFrame, exempt: DataFrame) -> DataFrame:
     """(run_id, failed) of runs keyed by (suite_uid, bench_id, attempt), from the
-    lines of their log tree, as ``read_log_lines`` gives them."""
+    lines of their log tree, as ``scan_log_files`` gives them: a flag asks for no
+    line's number, so the lines are filtered where they are read."""
     of_run = runs.select("run_id", "suite_uid", "bench_id", "attempt")
     hits = tree_hits(lines).join(of_run, ["suite_uid", "bench_id", "attempt"])
     return failed_flag(runs.select("run_id", "failed"), hits.select("run_id", "system"), exempt)

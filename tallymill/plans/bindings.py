@@ -17,7 +17,7 @@ from tallymill.operators.grep import grep as find_words
 from tallymill.operators.report import report
 from tallymill.plans import views
 from tallymill.sources import generate
-from tallymill.sources.logs import parse_log_path, read_log_lines
+from tallymill.sources.logs import parse_log_path, read_log_lines, scan_log_files
 from tallymill.sources.scratch import materialize, scratch_path
 from tallymill.sources.tables import (
     append_rows,
@@ -455,7 +455,7 @@ def log_file_scan(spark, d):
         .write.partitionBy("system", "piece")
         .text(path)
     )
-    hits = log_ops.scan_logs(read_log_lines(spark, path))
+    hits = read_log_lines(spark, path, log_ops.matches())
     return hits.select(
         F.regexp_extract("path", "system=([^/]+)/", 1).alias("system"),
         F.regexp_extract("path", "piece=([^/]+)/", 1).cast("bigint").alias("piece"),
@@ -486,7 +486,7 @@ def log_tree_flags(spark, d):
         .text(f"{path}/logs")
     )
     exempt = spark.createDataFrame([(EXEMPT,)], "system string")
-    return log_ops.flags_from_tree(views.tree_runs(spark, d), read_log_lines(spark, path), exempt)
+    return log_ops.flags_from_tree(views.tree_runs(spark, d), scan_log_files(spark, path), exempt)
 
 
 @query

@@ -4,8 +4,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators.logs import failed_flag, flags_from_tree, scan_logs, scan_numbered
-from tallymill.sources.logs import parse_log_path, read_log_lines
+from tallymill.operators.logs import failed_flag, flags_from_tree, matches, scan_logs, scan_numbered
+from tallymill.sources import logs as log_files
+from tallymill.sources.logs import parse_log_path, read_log_lines, scan_log_files
 
 BAD = re.compile("(error|exception)", re.IGNORECASE)
 
@@ -48,10 +49,29 @@ def test_line_numbers_of_split_files(spark, tree, split):
             (r.path.removeprefix("file:").replace("//", "/"), r.line_no, r.line)
             for r in scan_logs(lines).collect()
         }
+        kept = {
+            (r.path.removeprefix("file:").replace("//", "/"), r.line_no, r.line)
+            for r in read_log_lines(spark, str(tree), matches()).collect()
+        }
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert got == brute(tree)
+    assert got == kept == brute(tree)
+
+
+def test_other_text_is_never_written(spark, tree, monkeypatch):
+    """What is stored for numbering holds the matching lines' text only, and a scan
+    without numbers stores nothing."""
+    stored = []
+    plain = log_files.materialize
+    monkeypatch.setattr(log_files, "materialize", lambda df, name: stored.append(plain(df, name)) or stored[-1])
+    found = read_log_lines(spark, str(tree), matches()).count()
+    assert len(stored) == 1 and found == stored[0].where("line is not null").count() == len(brute(tree))
+    assert stored[0].count() > 20_000
+    assert {(r.path.removeprefix("file:").replace("//", "/"), r.line) for r in scan_logs(scan_log_files(spark, str(tree))).collect()} == {
+        (f, line) for f, _, line in brute(tree)
+    }
+    assert len(stored) == 1
 
 
 def test_path_keys(spark, tree):
@@ -86,7 +106,7 @@ def test_flags_from_a_tree(spark, tree):
     """From the files to the runs; runs without logs keep what is stored."""
     rows = [(1, "S_1", "Bench", 1, 0), (2, "S_1", "Bench", 2, 0), (3, "S_1", "Other", 1, 0), (4, "S_2", "B", 1, 1)]
     runs = spark.createDataFrame(rows, "run_id bigint, suite_uid string, bench_id string, attempt int, failed int")
-    lines = read_log_lines(spark, str(tree))
+    lines = scan_log_files(spark, str(tree))
     exempt = spark.createDataFrame([("store",)], "system string")
     flags = lambda e: {r.run_id: r.failed for r in flags_from_tree(runs, lines, e).collect()}
     assert flags(exempt) == {1: 1, 2: 0, 3: 0, 4: 1}
