@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamReader
 
 TEXT = T.StructType([T.StructField("value", T.StringType())])
@@ -13,15 +13,53 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path)
 
 
-def read_words(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """(entry): one dictionary entry per line, from ``encoding`` to UTF-8."""
-    raw = F.col("value").cast("binary")
-    return read_text(spark, path).select(F.decode(raw, encoding).alias("entry"))
+# Encodings that a dictionary file can have, with the characters that they lack. A line
+# break is one byte in each of them.
+LACKING = {"US-ASCII": r"[^\x00-\x7F]", "ISO-8859-1": r"[^\x00-\xFF]", "UTF-8": r"[^\s\S]"}
+
+
+def _escaped(word: Column, lacking: str) -> Column:
+    """A backslash is doubled; a character that the file cannot hold, or that would end
+    the line, becomes its number in hexadecimal between ``\\u{`` and ``}``."""
+    spelt = lambda c: F.concat(F.lit("\\u{"), F.hex(F.ascii(c)), F.lit("}"))
+    sign = lambda c: (
+        F.when(c == "\\", F.lit("\\\\")).when((c == "\n") | c.rlike(lacking), spelt(c)).otherwise(c)
+    )
+    signs = F.regexp_extract_all(word, F.lit(r"(?s)."), F.lit(0))
+    plain = ~word.rlike(rf"{lacking}|[\\\n]")
+    return F.when(plain, word).otherwise(F.array_join(F.transform(signs, sign), ""))
+
+
+def _unescaped(word: Column) -> Column:
+    parts = F.regexp_extract_all(word, F.lit(r"(?s)\\\\|\\u\{[0-9A-F]+\}|."), F.lit(0))
+    number = lambda p: F.unhex(F.lpad(F.regexp_replace(p, r"[^0-9A-F]", ""), 8, "0"))
+    sign = lambda p: (
+        F.when(p == "\\\\", F.lit("\\")).when(p.startswith("\\u{"), F.decode(number(p), "UTF-32")).otherwise(p)
+    )
+    return F.when(F.instr(word, "\\") == 0, word).otherwise(F.array_join(F.transform(parts, sign), ""))
+
+
+def read_words(
+    spark: SparkSession, path: str, encoding: str = "ISO-8859-1", escaped: bool = False
+) -> DataFrame:
+    """(entry): one dictionary entry per line, from ``encoding`` to UTF-8. ``escaped``
+    undoes what ``write_words`` spelt; other people's files may hold backslashes."""
+    entry = F.decode(F.col("value").cast("binary"), encoding)
+    return read_text(spark, path).select((_unescaped(entry) if escaped else entry).alias("entry"))
 
 
 def write_words(df: DataFrame, col: str, path: str, encoding: str = "ISO-8859-1") -> str:
-    """A dictionary file: one entry per line, without quotes, in ``encoding``."""
-    df.select(col).write.options(encoding=encoding, quote="", emptyValue="").csv(path)
+    """A dictionary file: one entry per line in ``encoding``, bytes as they are, no quotes.
+
+    Every entry reads back the same, empty ones too: characters that the encoding lacks,
+    line feeds and backslashes are escaped. Null entries are left out. Encodings other
+    than those in ``LACKING`` are an error.
+    """
+    if encoding not in LACKING:
+        raise ValueError(f"a dictionary file is in one of {', '.join(LACKING)}")
+    entry = F.encode(_escaped(F.col(col), LACKING[encoding]), encoding)
+    lines = df.where(F.col(col).isNotNull()).select(entry.cast("string").alias("value"))
+    lines.write.option("lineSep", "\n").text(path)
     return path
 
 

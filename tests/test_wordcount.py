@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import ROOT
 from tallymill.operators import wordcount as wc
-from tallymill.sources.text import read_words
+from tallymill.sources.text import read_words, write_words
 
 TEXTS = ["To be, or not to be.", "", "---", "Ünder_score élan ÉLAN 42 to", "to\nto\tto"]
 COUNTS = {"to": 6, "be": 2, "or": 1, "not": 1, "ünder_score": 1, "élan": 2, "42": 1}
@@ -116,3 +116,21 @@ def test_workers_need_not_have_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "{'a': 2, 'b': 1}" in run.stdout or "{'b': 1, 'a': 2}" in run.stdout, run.stderr[-2000:]
+
+
+@pytest.mark.parametrize("encoding", ["ISO-8859-1", "US-ASCII", "UTF-8"])
+def test_dictionary_files_keep_every_word(spark, path, encoding):
+    """Characters that the encoding lacks, signs of other formats, and empty entries."""
+    words = ["œuvre", "日本", "a,b", "", "café", 'say "x"', "back\\slash", "\\u{41}", "two\nlines", "cr\rhere", " x ",
+             "😀/y", "\t", "#", "'", "\\", "a\\n"]
+    df = spark.createDataFrame([(w,) for w in words + [None]], "w string")
+    file = write_words(df, "w", path(), encoding)
+    assert sorted(r.entry for r in read_words(spark, file, encoding, escaped=True).collect()) == sorted(words)
+    raw = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(file).collect())
+    assert raw.count(b"\n") == len(words) and b"?" not in raw
+    assert (encoding != "ISO-8859-1") or "café".encode("latin-1") in raw
+
+
+def test_a_dictionary_in_another_encoding_is_an_error(spark, path):
+    with pytest.raises(ValueError, match="dictionary file"):
+        write_words(spark.createDataFrame([("a",)], "w string"), "w", path(), "UTF-16")
