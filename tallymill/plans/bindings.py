@@ -63,6 +63,10 @@ MAIN_PHASE = "click-3"
 FIT_BOUND = 2.5
 # What one batch of a stream reads at most, about.
 BATCH_BYTES = 8 << 30
+# How late events may come, by event time, behind the newest of earlier batches.
+EVENT_DELAY = "1 hour"
+# Batches of the restarted search; the fault comes in the last.
+RESTART_BATCHES = 4
 
 QUERIES: dict[str, Query] = {}
 
@@ -114,7 +118,7 @@ def gen_wc_lines(spark, d):
 def dictionary_normalize(spark, d):
     entries = views.dictionary_entries(spark, d)
     path = write_words(entries, "entry", scratch_path(spark, "dictionary-latin1"))
-    return wc.normalize_words(read_words(spark, path), "entry")
+    return wc.normalize_words(read_words(spark, path, escaped=True), "entry")
 
 
 @query
@@ -277,6 +281,7 @@ def wordcount_time_window_stream(spark, d):
         "event_type",
         scratch_path(spark, "hours"),
         scratch_path(spark, "hours-checkpoint"),
+        delay=EVENT_DELAY,
     )
     return _naive_start(windows)
 
@@ -293,21 +298,33 @@ def grep(spark, d):
 
 @query
 def grep_restart(spark, d):
-    """The first attempt dies at the last document; the second goes on."""
-    last = read_table(spark, d, "documents").agg(F.max("doc_id")).first()[0]
-    stream = _document_stream(spark, d).selectExpr(*views.LINE_COLUMNS)
-    dying = stream.where(
-        F.when(F.col("doc_id") == last, F.raise_error("worker lost"))
-        .otherwise(F.lit(True))
-        .cast("boolean")
-    )
+    """The documents, cut into files by ``doc_id``, come a file at a time. The first
+    attempt dies at the file that comes last; the second goes on there, and must leave
+    what the batches before have stored as it is."""
+    folder = scratch_path(spark, "grep-in")
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    docs.repartitionByRange(RESTART_BATCHES, "doc_id").write.parquet(f"{folder}/documents.parquet")
+    files = read_table(spark, folder, "documents").select("_metadata.file_modification_time", "_metadata.file_path")
+    last = files.agg(F.max(F.struct("*")).alias("x")).select("x.file_path").first()[0]
+    stream = stream_table(spark, folder, "documents", docs.schema, 1)
+    dying = F.when(F.col("_metadata.file_path") == last, F.raise_error("worker lost")).otherwise(F.lit(True))
     sink, checkpoint = scratch_path(spark, "grep-out"), scratch_path(spark, "grep-checkpoint")
-    failures = drain_with_restarts(
-        lambda i: stream_grep(stream if i else dying, "line", GREP_WORDS, sink, checkpoint)
-    )
+    found = spark.read.schema("word string, doc_id bigint, pos int, line string")
+    stored: list[set[str]] = []
+
+    def attempt(i: int):
+        if i:  # what the sink lists is what was committed
+            stored.append(set(found.parquet(sink).inputFiles()))
+        rows = stream if i else stream.where(dying.cast("boolean"))
+        return stream_grep(rows.selectExpr(*views.LINE_COLUMNS), "line", GREP_WORDS, sink, checkpoint)
+
+    failures = drain_with_restarts(attempt)
+    out = found.parquet(sink)
     if failures != (last is not None):
         raise RuntimeError(f"{failures} failures where one was injected")
-    return spark.read.schema("word string, doc_id bigint, pos int, line string").parquet(sink)
+    if stored and not (stored[0] and stored[0] <= set(out.inputFiles())):
+        raise RuntimeError("the batches before the fault were not kept")
+    return out
 
 
 @query

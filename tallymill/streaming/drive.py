@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -9,15 +10,16 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql.streaming import DataStreamWriter
 
 
-def drain(writer: DataStreamWriter, timeout: int | None = None) -> None:
-    """Process everything that is there, then stop. Only a caller that gives a
-    ``timeout``, in seconds, sets a limit."""
+def drain(writer: DataStreamWriter, timeout: int | None = None) -> list[dict]:
+    """Process everything that is there, then stop; returns the last progress reports.
+    Only a caller that gives a ``timeout``, in seconds, sets a limit."""
     query = writer.trigger(availableNow=True).start()
     try:
         if timeout is None:
             query.awaitTermination()
         elif not query.awaitTermination(timeout):
             raise TimeoutError(f"stream not finished after {timeout} seconds")
+        return [json.loads(p.json) for p in query.recentProgress]
     finally:
         query.stop()
 

@@ -8,6 +8,7 @@ from tallymill.operators.wordcount import count_windows, time_window_count, word
 from tallymill.plans import views
 from tallymill.sources.tables import read_table
 from tallymill.sources.text import stream_table, stream_text, write_text
+from tallymill.streaming import wordcount as counting
 from tallymill.streaming.drive import drain, drain_with_restarts
 from tallymill.streaming.files import stream_copy
 from tallymill.streaming.grep import stream_grep
@@ -30,13 +31,14 @@ def events(spark, small):
 
 @pytest.fixture
 def staged(spark, path):
-    """A function that stores rows in four files, as folder and stream of four batches."""
+    """A function that stores rows in files of consecutive numbers, four by default, and
+    gives them as a stream with a file a batch."""
 
-    def stage(df, order):
+    def stage(df, order, files=4, each=250):
         folder = path()
         at = f"{folder}/t.parquet"
-        for i in range(4):
-            part = df.where(F.pmod(F.floor(F.col(order) / 250), F.lit(4)) == i)
+        for i in range(files):
+            part = df.where(F.pmod(F.floor(F.col(order) / each), F.lit(files)) == i)
             part.coalesce(1).write.mode("append").parquet(at)
         return stream_table(spark, folder, "t", df.schema, bytes_per_batch=1)
 
@@ -76,6 +78,48 @@ def test_count_windows_as_in_batch(spark, events, staged, path, size):
     assert rows(out) == rows(count_windows(with_nulls, "event_type", size))
 
 
+def test_fifty_batches_read_few_folders(spark, staged, path, monkeypatch):
+    """Totals before a batch come from one snapshot and the batches after it, also when
+    the stream dies on the way and goes on; the windows are those of the whole table."""
+    lines = spark.range(2_000).select(
+        F.col("id").alias("event_id"), F.concat(F.lit("w"), F.pmod("id", F.lit(7))).alias("event_type"),
+        F.col("id").cast("int").alias("pos"),
+    )
+    stream = staged(lines, "event_id", 50, 40)
+    plain, read = counting.totals_before, []
+
+    def noted(sink, batch_id, *every):
+        folders = plain(sink, batch_id, *every)
+        read.append((batch_id, len(folders)))
+        return folders
+
+    monkeypatch.setattr(counting, "totals_before", noted)
+    sink, checkpoint = path("sink"), path("cp")
+    with pytest.raises(StreamingQueryException, match="worker lost"):
+        stream_count_windows(failing(stream, 1_200), "event_type", sink, checkpoint, 10)
+    out = stream_count_windows(stream, "event_type", sink, checkpoint, 10)
+    assert rows(out) == rows(count_windows(lines, "event_type", 10))
+    assert max(b for b, _ in read) == 49 and max(n for _, n in read) <= counting.SNAPSHOT_EVERY
+    assert len({b for b, _ in read}) == 50
+    assert plain("x", 35, 16) == ["x/snapshots/batch=31", "x/totals/batch=32", "x/totals/batch=33", "x/totals/batch=34"]
+
+
+def test_a_watermark_frees_the_state_of_closed_windows(spark, staged, path):
+    """Windows still open at the end are in the result; state of the others is gone."""
+    hours = spark.range(4_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 600).alias("ts"),
+        F.concat(F.lit("w"), F.pmod("id", F.lit(3))).alias("event_type"),
+    )
+    stream = staged(hours, "event_id", 4, 1_000)
+    counts = time_window_count(stream, "ts", "event_type", delay="1 hour")
+    reports = drain(counting._changes(counts, path("sink"), path("cp")))
+    held = [r["stateOperators"][0]["numRowsTotal"] for r in reports]
+    whole = time_window_count(hours, "ts", "event_type")
+    assert max(held) < whole.count() and held[-1] <= 3 * 3
+    out = stream_time_windows(stream, "ts", "event_type", path("sink"), path("cp"), delay="1 hour")
+    assert rows(out) == rows(whole)
+
+
 def test_all_time_windows_as_in_batch(spark, events, staged, path):
     out = stream_time_windows(staged(events, "event_id"), "ts", "event_type", path("sink"), path("cp"))
     assert rows(out) == rows(time_window_count(events, "ts", "event_type"))
