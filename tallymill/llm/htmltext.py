@@ -16,8 +16,9 @@ from tallymill.llm.common import column
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Lines in a window, and the weight of a window at which a surge begins. A sign
-# weighs 1, and SURGE in a marked main part.
+# Lines in a window, and the weight of a window at which a surge begins at the latest: a
+# page's own fullest window may ask for less. A sign weighs 1, and SURGE in a marked
+# main part.
 WINDOW, SURGE = 3, 80
 # Share of a line's text that may be links outside a marked main part.
 MAX_LINKED = 0.5
@@ -231,8 +232,10 @@ def main_text(page: str | None) -> str:
     and it holds half of the text or more, SURGE times as much. Other lines that
     are mostly links weigh nothing, and stay only between lines of a run that
     weigh something. A dive is an empty window; on pages with a main part, one
-    below the surge. A page of 80 signs without any such window surges at half
-    of its fullest window.
+    below the surge, and there an element that is left out outside the main part ends
+    a run. A page without a main part has no such ends: what stands before and after an
+    advert belongs together. The surge is at most half of the page's fullest window, so
+    a short page is its own main text.
     """
     read = _Page()
     lines = read.read(page or "")
@@ -240,14 +243,14 @@ def main_text(page: str | None) -> str:
         lines = _Page(bulky).read(page or "")
     total, in_main = (sum(len(text) for text, _, main in lines if main or every) for every in (True, False))
     marked = 2 * in_main >= total > 0
+    if not marked:
+        lines = [line for line in lines if line[0]]
     weight = np.array([
         len(text) * SURGE if marked and main else len(text) if linked <= MAX_LINKED * len(text) else 0
         for text, linked, main in lines
     ] + [0] * WINDOW)
     sums = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of the lines from here on
-    surge = SURGE
-    if weight.sum() >= SURGE > sums.max():
-        surge = sums.max() / 2
+    surge = min(SURGE, sums.max() / 2)
     dive, kept, linked_lines, on = surge if marked else 1, [], [], False
     for i, (text, _, _) in enumerate(lines):
         if not on and sums[i] >= surge and weight[i]:

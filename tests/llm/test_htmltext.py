@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from tallymill.llm.htmltext import extract, main_text
@@ -41,7 +42,7 @@ def test_unmarked_page():
     long = "A sentence of the text that is long enough to make a surge of the distribution. " * 2
     body = f"<div><a>one</a> <a>two</a></div><table><tr><td>{long}<td>and a short cell</table><p>{long}</p><p>End.</p>"
     assert main_text(PAGE % body) == f"{long.strip()}\nand a short cell\n{long.strip()}\nEnd."
-    assert main_text("<p>too short</p>") == ""
+    assert main_text("<p>too short</p>") == "too short"
 
 
 def test_odd_pages(spark):
@@ -52,7 +53,7 @@ def test_odd_pages(spark):
     found = extract(df).collect()
     assert len(found) == len(rows)
     texts = {r.page_id: r.text for r in found}
-    assert [texts[i] for i in (None, 1, 2, 3, 4, 5, 6, 7, 9)] == ["", "", "", "", "", "x", "y", "", ""]
+    assert [texts[i] for i in (None, 1, 2, 3, 4, 5, 6, 7, 9)] == ["", "", "<", "", "plain", "x", "y", "", ""]
     assert texts[8] == "\n".join(["a"] * 50000) and texts[10] == "é 😀 A&unknown; z"
     assert extract(df.limit(0)).count() == 0
 
@@ -90,3 +91,29 @@ def test_short_and_linked_lines_of_an_unmarked_page():
     lines = [PARAGRAPHS[0], PARAGRAPHS[1], "A source", PARAGRAPHS[2]]
     page = f"<p>{lines[0]}</p><p>{lines[1]}</p><p><a href=x>{lines[2]}</a></p><p>{lines[3]}</p><p><a href=y>Next</a></p>"
     assert main_text(page) == "\n".join(lines)
+
+
+def test_short_pages_and_paragraphs_are_whole():
+    """No page here has a mark of its main part; what is left out ends nothing."""
+    assert main_text("<body><p>Short article of few words.</p></body>") == "Short article of few words."
+    body, wanted = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "\n".join(PARAGRAPHS)
+    assert main_text(f"<body>{body}<aside>More of this</aside><p>The end.</p></body>") == f"{wanted}\nThe end."
+    ad = '<div class="ad">Buy this now, buy it today, and buy it again tomorrow, it is so cheap.</div>'
+    assert main_text(f"<body>{body}{ad}<p>In between.</p>{ad}{body}</body>") == f"{wanted}\nIn between.\n{wanted}"
+    assert main_text(f"<body><p>First.</p>{ad}{body}</body>") == f"First.\n{wanted}"
+    menu = "<nav><a href=/>Home</a></nav><header>Site</header>"
+    for short in (["One."], ["One.", "Two."], ["A", "b c", "d."]):
+        page = "".join(f'<div class="ad">!</div><p>{p}</p><aside>Side</aside>' for p in short)
+        assert main_text(f"<body>{menu}{page}<footer>Us</footer></body>") == "\n".join(short)
+
+
+def test_any_mix_of_paragraphs_and_parts_left_out():
+    """Pages without <article>: whatever stands between its paragraphs, all of them and
+    nothing else are the text."""
+    rng = random.Random(4)
+    parts = ['<div class="ad">Buy now</div>', "<aside>Side story with some words</aside>", "<nav><a href=x>Home</a></nav>",
+             "<form>Your mail</form>", '<div class="cookie-notice">We use cookies</div>', "<script>x()</script>", ""]
+    for _ in range(300):
+        texts = [" ".join("word" for _ in range(rng.choice([5, 7, 40]))) + f" {i}." for i in range(rng.randrange(1, 9))]
+        page = "".join(rng.choice(parts) * rng.randrange(3) + f"<p>{t}</p>" for t in texts) + rng.choice(parts)
+        assert main_text(f"<body>{page}</body>") == "\n".join(texts), page
