@@ -9,11 +9,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: tempfile.TemporaryDirectory | None = None
 _handed_out: list[str] = []
+_collected: ContextVar[list[str] | None] = ContextVar("_collected", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,9 +38,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         atexit.register(_release_quietly, spark)
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     _handed_out.append(path)
+    if (paths := _collected.get()) is not None:
+        paths.append(path)
     return path
 
 
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths handed out within the block, to this thread alone: what others of the
+    session work with is never among them."""
+    paths: list[str] = []
+    token = _collected.set(paths)
+    try:
+        yield paths
+    finally:
+        _collected.reset(token)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once and read back: cuts lineage, and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
