@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from tallymill.sources.scratch import materialize
 
 
 LEFT, RIGHT = "_left", "_right"
+# Parts of a table whose contents are compared by digests before any row is shuffled.
+BUCKETS = 1024
+
+
+def _both(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.withColumns({LEFT: F.lit(1), RIGHT: F.lit(0)}).unionByName(
+        right.withColumns({LEFT: F.lit(0), RIGHT: F.lit(1)})
+    )
+
+
+def _bucket(columns: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
+
+
+def _digest(columns: list[str], side: str) -> Column:
+    """Copies, and sums of the halves of two 64-bit hashes of the rows: the same for the
+    same rows in any order, and by no sensible chance for others."""
+    hashes = (F.xxhash64(*columns), F.xxhash64(F.lit("again"), *columns))
+    halves = [half for h in hashes for half in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+    return F.struct(F.sum(side), *[F.sum(half * F.col(side)) for half in halves])
 
 
 def row_counts(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -14,10 +36,7 @@ def row_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     Both sides are read once and meet in one shuffle; copies are counted in each
     task before it, so a row repeated very often costs little.
     """
-    both = left.withColumns({LEFT: F.lit(1), RIGHT: F.lit(0)}).unionByName(
-        right.withColumns({LEFT: F.lit(0), RIGHT: F.lit(1)})
-    )
-    return both.groupBy(*left.columns).agg(
+    return _both(left, right).groupBy(*left.columns).agg(
         F.sum(LEFT).alias(LEFT), F.sum(RIGHT).alias(RIGHT)
     )
 
@@ -56,20 +75,40 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
 
     ``only_here`` counts the row copies that the other side lacks; the other
     checks are totals and ranges of each column, null where it has no value.
+
+    One scan of both copies gives totals and a digest per bucket, combined in each task,
+    so a shuffle carries a row per bucket and task. Only rows of buckets whose digests
+    differ are read again and meet, to be counted one by one; equal copies never do.
     """
     here, there = _totals(left, LEFT), _totals(left, RIGHT)
-    checks = [
-        f"""struct('{name}' as check, double({here[name]}) as left_value,
-            double({there[name]}) as right_value, {here[name]} <=> {there[name]} as same)"""
-        for name in here
-    ]
+    sides = [(f"{side}{i}", sql) for side, totals in (("l", here), ("r", there)) for i, sql in enumerate(totals.values())]
+    buckets = _both(left, right).groupBy(_bucket(left.columns).alias("_bucket")).agg(
+        *[F.expr(sql).alias(name) for name, sql in sides],
+        *[_digest(left.columns, side).alias(f"_digest{side}") for side in (LEFT, RIGHT)],
+    )
+    buckets = materialize(buckets, "digests")
+    differ = buckets.where(~F.col(f"_digest{LEFT}").eqNullSafe(F.col(f"_digest{RIGHT}")))
+    differ = [r[0] for r in differ.select("_bucket").collect()]  # BUCKETS at most
+    lacking = differing_rows(left, right, differ) if differ else (0, 0)
+    checks = []
+    for i, name in enumerate(here):
+        whole = {"min": "min", "max": "max"}.get(name.split(":")[0], "sum")
+        l, r = f"{whole}(l{i})", f"{whole}(r{i})"
+        checks.append(
+            f"struct('{name}' as check, double({l}) as left_value, double({r}) as right_value, {l} <=> {r} as same)"
+        )
+    some = "if(count(1) = 0, null, {}d)"  # of no rows at all there is nothing to say
     checks.append(
-        f"""struct('only_here' as check, double(sum(greatest({LEFT} - {RIGHT}, 0))) as left_value,
-            double(sum(greatest({RIGHT} - {LEFT}, 0))) as right_value,
-            coalesce(sum(abs({LEFT} - {RIGHT})), 0) = 0 as same)"""
-    )
-    return (
-        row_counts(left, right)
-        .selectExpr(f"array({', '.join(checks)}) as checks")
-        .selectExpr("inline(checks)")
+        f"""struct('only_here' as check, {some.format(lacking[0])} as left_value,
+            {some.format(lacking[1])} as right_value, {lacking == (0, 0)} as same)"""
     )
+    return buckets.selectExpr(f"array({', '.join(checks)}) as checks").selectExpr("inline(checks)")
+
+
+def differing_rows(left: DataFrame, right: DataFrame, buckets: list[int]) -> tuple[int, int]:
+    """Row copies of these buckets that the right side lacks, and the left."""
+    of = lambda df: df.where(_bucket(left.columns).isin(buckets))
+    counted = row_counts(of(left), of(right))
+    more = lambda a, b: F.coalesce(F.sum(F.greatest(F.col(a) - F.col(b), F.lit(0))), F.lit(0))
+    found = counted.agg(more(LEFT, RIGHT), more(RIGHT, LEFT)).first()
+    return found[0], found[1]
