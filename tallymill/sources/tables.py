@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tallymill.sources.scratch import materialize
+
 BUILT_IN_FORMATS = ("orc", "parquet", "csv", "json", "text")
 
 
@@ -92,13 +96,38 @@ def convert(df: DataFrame, path: str, fmt: str = "orc") -> DataFrame:
         ) from e
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+COMMIT = "_commit"
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the appends that a table is made of; none if there is no table."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{COMMIT}="))
+
+
+def read_appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table that ``append_rows`` keeps."""
+    whole = T.StructType([*schema.fields, T.StructField(COMMIT, T.LongType())])
+    return spark.read.schema(whole).parquet(path).select(*schema.fieldNames())
+
+
+def _committed(spark: SparkSession, staged: str, place: str) -> bool:
+    """Whether the staged folder got its place, which only one writer does: a rename
+    that fails where something is. HDFS does it in one step; a local disk, and object
+    stores without a rename of their own, look first and move then."""
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    source, target = fs.Path(staged), fs.Path(place)
+    options = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+        fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf).rename(source, target, options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception):
+            raise
+        source.getFileSystem(conf).delete(source, True)
+        return False
+    return True
 
 
 def _within(stored: DataFrame, fresh: DataFrame, partition_by: list[str]) -> DataFrame:
@@ -120,8 +149,14 @@ def append_rows(
     The key of a row is ``key_cols`` together with ``partition_by``: the same
     ``key_cols`` in another partition are another row. Of new rows with one key
     the smallest is taken, by its other columns in their order. Running it again
-    with the same rows adds nothing, so a job that died after the write can simply
-    be repeated. One writer at a time.
+    with the same rows adds nothing, so a job that died can simply be repeated.
+
+    An append is written beside the table, out of readers' sight, and takes the next
+    number by one rename: readers see all of it or nothing. Of writers at the same time
+    one gets the number; the others look again at what is stored now, so a key that
+    several of them bring is stored once. Rows are dealt by partition first, and large
+    partitions over several tasks, so a partition gets few files whatever the number of
+    tasks. Plain readers of ``path`` find the number as a column ``_commit``.
     """
     spark = df.sparkSession
     partition_by = partition_by or []
@@ -129,18 +164,23 @@ def append_rows(
     rest = [c for c in df.columns if c not in keys]
     smallest = F.min(F.struct(*rest) if rest else F.lit(0)).alias("_rest")
     fresh = df.groupBy(*keys).agg(smallest).select(*keys, *[F.col("_rest")[c].alias(c) for c in rest])
-    stored = _stored(spark, path, df.schema)
-    if stored is not None:
+    fresh = materialize(fresh, "fresh")
+    while True:
+        commits, new = _commits(spark, path), fresh
+        if commits:
+            stored = read_appended(spark, path, df.schema)
+            if partition_by:
+                stored = _within(stored, fresh, partition_by)
+            known = stored.select(*[F.col(c).alias(f"_{c}") for c in keys])
+            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+            new = fresh.join(known, same, "left_anti")
+        writer = new.select(*df.columns).hint("rebalance", *partition_by).write
         if partition_by:
-            stored = _within(stored, df, partition_by)
-        known = stored.select(*[F.col(c).alias(f"_{c}") for c in keys])
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-        fresh = fresh.join(known, same, "left_anti")
-    writer = fresh.select(*df.columns).write.mode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+            writer = writer.partitionBy(*partition_by)
+        staged = f"{path}/_staged-{uuid.uuid4().hex}"
+        writer.parquet(staged)
+        if _committed(spark, staged, f"{path}/{COMMIT}={commits[-1] + 1 if commits else 0}"):
+            return read_appended(spark, path, df.schema)
 
 
 def explode_paths(df: DataFrame, run: str = "run_id", paths: str = "log_paths") -> DataFrame:

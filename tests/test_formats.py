@@ -1,5 +1,7 @@
 import datetime
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -101,6 +103,47 @@ def test_append_by_two_partition_columns(spark, path):
         )
 
 
+def test_two_writers_store_a_key_once(spark, path, monkeypatch):
+    """Another writer finishes between a writer's look at the table and its commit."""
+    table, plain, tries = path(), tables._committed, []
+
+    def beaten(spark_, staged, place):
+        tries.append(place)
+        if len(tries) == 1:
+            tables.append_rows(runs(spark, range(5, 15)), table, ["run_id"], ["suite_id"])
+        return plain(spark_, staged, place)
+
+    monkeypatch.setattr(tables, "_committed", beaten)
+    out = tables.append_rows(runs(spark, range(10)), table, ["run_id"], ["suite_id"])
+    assert sorted(r.run_id for r in out.collect()) == list(range(15))
+    assert [t.rpartition("/")[2] for t in tries] == ["_commit=0", "_commit=0", "_commit=1"]
+    assert not list(Path(table).glob("_staged*"))
+    assert sorted(r.run_id for r in spark.read.parquet(table).collect()) == list(range(15))
+
+
+def test_threads_that_append_the_same_rows(spark, path):
+    table = path()
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: tables.append_rows(runs(spark, range(20)), table, ["run_id"]), range(4)))
+    assert sorted(r.run_id for r in tables.read_appended(spark, table, schemas.RUNS).collect()) == list(range(20))
+
+
+def test_what_was_not_committed_is_not_seen(spark, path):
+    table = path()
+    tables.append_rows(runs(spark, range(3)), table, ["run_id"], ["suite_id"])
+    runs(spark, range(9)).write.partitionBy("suite_id").parquet(f"{table}/_staged-of-a-dead-job")
+    out = tables.append_rows(runs(spark, [2, 3]), table, ["run_id"], ["suite_id"])
+    assert sorted(r.run_id for r in out.collect()) == [0, 1, 2, 3]
+
+
+def test_a_partition_gets_few_files(spark, path):
+    table = path()
+    many = runs(spark, range(600)).repartition(60)
+    tables.append_rows(many, table, ["run_id"], ["suite_id"])
+    files = [f.parent.name for f in Path(table).rglob("*.parquet")]
+    assert len(files) == 3 == len(set(files))
+
+
 def test_append_lists_partitions_in_between_only(spark, path):
     table = path()
     stored = tables.append_rows(runs(spark, range(9)), table, ["run_id"], ["suite_id"])
