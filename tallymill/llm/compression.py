@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallymill.llm.common import column
 from tallymill.llm.langid import fold
+from tallymill.sources.scratch import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Labelled texts of each kind (expected number) that the classifier is built
-# from: half for the dictionary, half to calibrate. They come to the driver.
-LABELLED = 3_000
+# Labelled texts of each kind, and their bytes altogether, that the classifier is built
+# from at most: half for the dictionary, half to calibrate. They come to the driver.
+LABELLED, LABELLED_BYTES = 3_000, 32 << 20
 DICTIONARY_BYTES, LEVEL = 64 << 10, 3
 CUT = 0.7
 
@@ -108,25 +109,32 @@ def build(good: list[str], bad: list[str]) -> Model | None:
 
 def learn(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-    label: str = "quality", sample: int = LABELLED,
+    label: str = "quality", sample: int = LABELLED, sample_bytes: int = LABELLED_BYTES,
 ) -> Model | None:
-    """Built from about ``sample`` labelled texts of each kind, whole, chosen by a
-    hash of ``doc_id``. Rows of the held-out quarter are never used, nor labels
-    that are neither 0 nor 1. The sample, of bounded number, comes to the driver."""
+    """Built from the first ``sample`` labelled ids of each kind by a hash of ``doc_id``,
+    and of their texts, whole, the first that make up ``sample_bytes`` at most: no more
+    comes to the driver, however large the tables and whatever repeats in them.
+
+    Rows of the held-out quarter are never used, nor labels that are neither 0 nor 1,
+    nor ids with both. Of an id's texts the one with the smallest hash counts; an id
+    without a text counts for none.
+    """
     id_ = column(doc_id)
-    known = labels.where(column(label).isin(0, 1) & id_.isNotNull() & ~fold(id_)).select(
-        id_.alias("d"), column(label).alias("y")
-    )
-    chosen = None
-    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    for y in (1, 0):
-        every = max(1, counts.get(y, 0) // sample)
-        part = known.where((F.col("y") == y) & (F.pmod(F.xxhash64("d"), F.lit(every)) == 0))
-        chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(id_.alias("doc_id"), column(text).alias("t")).join(
-        chosen, F.col("doc_id") == F.col("d")
-    ).where("t is not null")
-    found = sorted((r.doc_id, r.y, r.t) for r in rows.select("doc_id", "y", "t").collect())
+    known = labels.where(column(label).isin(0, 1) & id_.isNotNull() & ~fold(id_)).groupBy(id_.alias("d")).agg(
+        F.min(column(label)).alias("y"), F.max(column(label)).alias("other")
+    ).where("y = other").select("d", "y", F.xxhash64("d").alias("place"))
+    kinds = [known.where(F.col("y") == y).orderBy("place", "d").limit(sample) for y in (1, 0)]
+    chosen = materialize(kinds[0].union(kinds[1]), "labelled")
+    texts = docs.select(id_.alias("d"), column(text).alias("t")).where("t is not null").join(chosen, "d")
+    first = texts.groupBy("d", "y", "place").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    first = materialize(first.withColumn("bytes", F.octet_length("t")), "labelled-texts")
+    within, left = [], {0: sample_bytes, 1: sample_bytes}
+    for r in first.drop("t").orderBy("place", "d").collect():  # numbers of twice ``sample`` rows
+        if r.bytes <= left[r.y]:
+            left[r.y] -= r.bytes
+            within.append(r.place)
+    found = first.where(F.col("place").isin(within)).collect() if within else []
+    found = sorted((r.d, r.y, r.t) for r in found)
     return build(*[[t for _, label_, t in found if label_ == y] for y in (1, 0)])
 
 

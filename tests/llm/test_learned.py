@@ -1,8 +1,10 @@
 """Language identification and the compression classifier."""
 
+import math
 import zlib
 
 import numpy as np
+import zstandard
 
 from tallymill.llm import compression, langid
 from tallymill.llm.queries import QUERIES
@@ -53,6 +55,86 @@ def test_bundle_is_the_sum_of_bound_letters():
     assert (grams.bundle("A, a!") == wanted + turn("a", 2) * turn(" ", 1) * turn("a", 0)).all()
 
 
+def _plain_bundle(text, letters, grams):
+    """The sum over all three signs in a row of the product of their rotated vectors."""
+    kept = "".join(c if c.isalnum() and not c.isdecimal() else " " for c in (text or "").lower())
+    spaced = f" {' '.join(kept.split())} "
+    total = np.zeros(langid.DIMENSIONS)
+    for i in range(len(spaced) - 2):
+        gram = spaced[i : i + 3]
+        if gram not in grams:
+            grams[gram] = np.prod([np.roll(letters.letter(ord(c)), 2 - k) for k, c in enumerate(gram)], axis=0)
+        total += grams[gram]
+    return total if len(spaced) > 2 else None
+
+
+def test_languages_like_brute_force(spark, small):
+    docs = read_table(spark, small, "documents").collect()
+    letters, grams, profiles = langid.Grams(), {}, {}
+    vectors = {r.doc_id: _plain_bundle(r.text, letters, grams) for r in docs}
+    for r in docs:
+        v = vectors[r.doc_id]
+        if not _held(r.doc_id) and r.lang is not None and v is not None:
+            profiles[r.lang] = profiles.get(r.lang, 0) + v / np.linalg.norm(v)
+    found = {r.doc_id: r for r in QUERIES["op3_language_id"](spark, small).collect()}
+    assert set(found) == set(vectors)
+    for doc, v in vectors.items():
+        cosines = {k: float(p @ v / np.linalg.norm(p) / np.linalg.norm(v)) for k, p in profiles.items()}
+        best = max(cosines, key=cosines.get)
+        assert found[doc].lang_pred == best
+        score = 1 / sum(np.exp(langid.SHARPNESS * (c - cosines[best])) for c in cosines.values())
+        assert abs(found[doc].score - score) < 1e-3
+
+
+def _sample(monkeypatch, *args, **kwargs):
+    """The texts that a classifier would be built from."""
+    with monkeypatch.context() as m:
+        m.setattr(compression, "build", lambda good, bad: (good, bad))
+        return compression.learn(*args, **kwargs)
+
+
+def test_quality_like_brute_force(spark, small, monkeypatch):
+    """The sample by plain selection, the scores from compressed sizes one by one."""
+    docs, labels = read_table(spark, small, "documents"), read_table(spark, small, "labels")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    marks = {r.doc_id: r.quality for r in labels.collect() if not _held(r.doc_id) and texts.get(r.doc_id) is not None}
+    good, bad = _sample(monkeypatch, docs, labels)
+    assert good == [texts[i] for i in sorted(marks) if marks[i] == 1]
+    assert bad == [texts[i] for i in sorted(marks) if marks[i] == 0]
+    model = compression.learn(docs, labels)
+    assert model == compression.learn(docs.repartition(7), labels.repartition(3))
+    for r in compression.quality_scores(docs, model).collect():
+        data = (texts[r.doc_id] or "").encode()
+        a, b = (
+            len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d),
+                                         write_content_size=False, write_dict_id=False).compress(data))
+            for d in (model.good, model.bad)
+        )
+        d, s, n = (b - a) / (b + a), math.log((a + b) / 2 / (len(data) + 1)), math.log(len(data) + 1)
+        x = [1, d, d * d, s, s * s, d * s, n, n * d]
+        z = [min(max((v - m) / w, low), high) for v, m, w, low, high in zip(x, *model[2:6])]
+        score = 1 / (1 + math.exp(-sum(v * w for v, w in zip(z, model.weights))))
+        assert abs(r.score - score) < 1e-9 and r.predicted == int(score >= 0.7)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """By number and by bytes; repeated ids count once, ids with both labels not at all."""
+    ids = [i for i in range(400) if not _held(i)]
+    rows = [(i, f"{i} " + "text " * 20) for i in ids] + [(ids[0], "again"), (ids[1], None), (None, "no id")]
+    rows += [(ids[2], "copy " * 10)] * 500 + [(ids[3], "w" * 10_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = [(i, i % 2, 0) for i in ids] * 3 + [(ids[0], 1 - ids[0] % 2, 0), (None, 1, 0), (ids[4], 5, 0)]
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    good, bad = _sample(monkeypatch, docs, labels, sample=30)
+    assert len(good) == len(bad) == 30
+    good, bad = _sample(monkeypatch, docs, labels, sample_bytes=1_000)
+    assert 5 <= len(good) <= 10 and 5 <= len(bad) <= 10
+    assert max(sum(map(len, texts)) for texts in (good, bad)) <= 1_000
+    good, bad = _sample(monkeypatch, docs, labels)
+    wanted = {i for i in ids[1:]}
+    assert len(good) + len(bad) == len(wanted) and not any(t.startswith(f"{ids[0]} ") for t in good + bad)
+
+
 def test_quality_of_the_held_out_quarter(spark):
     found = {r.doc_id: r for r in QUERIES["op9_quality_classifier"](spark, BIG).collect()}
     assert len(found) == read_table(spark, BIG, "documents").count()
