@@ -22,12 +22,14 @@ def _bucket(columns: list[str]) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
 
 
-def _digest(columns: list[str], side: str) -> Column:
+HASHES = ("_hash", "_hash2")
+
+
+def _digest() -> Column:
     """Copies, and sums of the halves of two 64-bit hashes of the rows: the same for the
     same rows in any order, and by no sensible chance for others."""
-    hashes = (F.xxhash64(*columns), F.xxhash64(F.lit("again"), *columns))
-    halves = [half for h in hashes for half in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
-    return F.struct(F.sum(side), *[F.sum(half * F.col(side)) for half in halves])
+    halves = [half for h in map(F.col, HASHES) for half in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+    return F.struct(F.count(F.lit(1)), *[F.sum(half) for half in halves])
 
 
 def row_counts(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -51,22 +53,22 @@ def row_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def _totals(df: DataFrame, side: str) -> dict[str, str]:
-    """Check to SQL aggregate over counted rows, for the copies on one side.
+def _totals(df: DataFrame) -> dict[str, str]:
+    """Check to SQL aggregate over the rows of one side.
 
     Sums are whole numbers, so that row order does not matter.
     """
-    totals = {"rows": f"sum({side})"}
+    totals = {"rows": "sum(1)"}
     for field in df.schema.fields:
         name, col, kind = field.name, f"`{field.name}`", field.dataType
-        totals[f"non_null:{name}"] = f"sum(if({col} is null, 0, {side}))"
+        totals[f"non_null:{name}"] = f"count({col})"
         if isinstance(kind, T.StringType):
-            totals[f"chars:{name}"] = f"sum(length({col}) * {side})"
+            totals[f"chars:{name}"] = f"sum(length({col}))"
         elif isinstance(kind, T.NumericType):
-            totals[f"min:{name}"] = f"min(if({side} > 0, {col}, null))"
-            totals[f"max:{name}"] = f"max(if({side} > 0, {col}, null))"
+            totals[f"min:{name}"] = f"min({col})"
+            totals[f"max:{name}"] = f"max({col})"
         elif isinstance(kind, (T.DateType, T.TimestampNTZType, T.TimestampType)):
-            totals[f"days:{name}"] = f"sum(datediff({col}, '1970-01-01') * {side})"
+            totals[f"days:{name}"] = f"sum(datediff({col}, '1970-01-01'))"
     return totals
 
 
@@ -80,20 +82,26 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     so a shuffle carries a row per bucket and task. Only rows of buckets whose digests
     differ are read again and meet, to be counted one by one; equal copies never do.
     """
-    here, there = _totals(left, LEFT), _totals(left, RIGHT)
-    sides = [(f"{side}{i}", sql) for side, totals in (("l", here), ("r", there)) for i, sql in enumerate(totals.values())]
-    buckets = _both(left, right).groupBy(_bucket(left.columns).alias("_bucket")).agg(
-        *[F.expr(sql).alias(name) for name, sql in sides],
-        *[_digest(left.columns, side).alias(f"_digest{side}") for side in (LEFT, RIGHT)],
-    )
+    totals = _totals(left)
+    sides = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
+    hashed = sides.withColumns(dict(zip(
+        (*HASHES, "_bucket"),
+        (F.xxhash64(*left.columns), F.xxhash64(F.lit("again"), *left.columns), _bucket(left.columns)),
+    )))
+    buckets = hashed.groupBy("_bucket", "_side").agg(
+        *[F.expr(sql).alias(f"_{i}") for i, sql in enumerate(totals.values())], _digest().alias("_digest")
+    )
     buckets = materialize(buckets, "digests")
-    differ = buckets.where(~F.col(f"_digest{LEFT}").eqNullSafe(F.col(f"_digest{RIGHT}")))
+    of = lambda side: F.max(F.when(F.col("_side") == side, F.col("_digest")))
+    differ = buckets.groupBy("_bucket").agg(of(0).alias("l"), of(1).alias("r")).where("not l <=> r")
     differ = [r[0] for r in differ.select("_bucket").collect()]  # BUCKETS at most
     lacking = differing_rows(left, right, differ) if differ else (0, 0)
     checks = []
-    for i, name in enumerate(here):
-        whole = {"min": "min", "max": "max"}.get(name.split(":")[0], "sum")
-        l, r = f"{whole}(l{i})", f"{whole}(r{i})"
+    for i, name in enumerate(totals):
+        kind = name.split(":")[0]
+        whole = kind if kind in ("min", "max") else "sum"
+        none = "if(count(1) = 0, null, 0)" if kind in ("rows", "non_null") else "null"
+        l, r = (f"coalesce({whole}(if(_side = {side}, _{i}, null)), {none})" for side in (0, 1))
         checks.append(
             f"struct('{name}' as check, double({l}) as left_value, double({r}) as right_value, {l} <=> {r} as same)"
         )
