@@ -9,11 +9,11 @@ from tallymill.sources.scratch import materialize
 
 # Lines shorter than this have exact copies only: too short to tell near ones from chance.
 MIN_CHARS = 20
-# One edit is allowed, so a line has two segments and one of them is untouched.
+# The bound of the registered query: a line has one segment more, one of them untouched.
 EDITS = 1
-# Lines that share a key are compared pairwise up to this many; a fuller key is
-# split by halving what it leaves open.
-CROWD = 64
+# A key is cut further where it holds more lines than this for each key that a cut
+# makes of a line; lines of other keys are compared pairwise.
+CROWD = 16
 
 
 def edit_distance(a: Column, b: Column, k: int) -> Column:
@@ -81,37 +81,106 @@ def _lines(docs: DataFrame) -> DataFrame:
     return some.withColumn("lid", F.unhex(F.md5(F.col("line").cast("binary"))))
 
 
-def _key(line: Column, length: Column, head: Column, tail: Column) -> Column:
-    """Of an indexed line's length, and the head and tail that must agree."""
-    n = F.char_length(line)
-    return F.xxhash64(length, head, tail, F.substring(line, F.lit(1), head), F.substring(line, n - tail + 1, tail))
+def _roles(edits: int) -> list[tuple[int, int, int]]:
+    """(shorter, i, shift) of each key that a line gives: as a line that is compared
+    with indexed lines ``shorter`` than it, its text where their segment i would be
+    after ``shift``. The first ``edits`` + 1 are the line's own segments.
 
-
-def _segment_keys(line: Column) -> Column:
-    """Both halves of the line as an indexed one, and of its text as it would
-    match an indexed line one shorter."""
+    Of two lines within ``edits``, take the first segment i of the shorter one up to
+    whose end there are at most i edits. It has none, and exactly i are before it, so
+    it has moved by i places at most, and ``edits`` - i edits are left behind it.
+    """
+    every = [
+        (shorter, i, shift)
+        for shorter in range(edits + 1)
+        for i in range(edits + 1)
+        for shift in range(-i, i + 1)
+        if abs(shorter - shift) <= edits - i
+    ]
+    return sorted(every, key=lambda role: (role[0] or role[2]) != 0)
+
+
+def _segment_keys(line: Column, edits: int) -> Column:
+    """The hashes of ``_roles``, null where the indexed line would be too short."""
     out = []
-    for shorter in range(EDITS + 1):
+    for shorter, i, shift in _roles(edits):
         length = F.char_length(line) - shorter
-        half = F.floor(length / 2).cast("int")
-        for head, tail in ((half, F.lit(0)), (F.lit(0), length - half)):
-            out.append(_key(line, length, head, tail))
+        start, end = (F.floor(length * j / (edits + 1)).cast("int") for j in (i, i + 1))
+        key = F.xxhash64(length, F.lit(i), F.substring(line, start + shift + 1, end - start))
+        out.append(F.when(length >= MIN_CHARS, key))
     return F.array(*out)
 
 
-def _halves(crowded: DataFrame) -> DataFrame:
-    """Rows of crowded keys, twice each: with half of the open middle added to
-    the head or to the tail that must agree."""
-    open_ = F.col("length") - F.col("head") - F.col("tail")
-    half = F.floor(open_ / 2).cast("int")
-    choices = F.array(
-        F.struct((F.col("head") + half).alias("head"), F.col("tail").alias("tail")),
-        F.struct(F.col("head").alias("head"), (F.col("tail") + open_ - half).alias("tail")),
+def _gap(at: Column, size: Column, want: Column, bound: Column) -> Column:
+    """Text that is still open: where it lies in the line, the size it has in the
+    indexed line, and how many edits it may hold."""
+    return F.struct(
+        at.cast("int").alias("at"), size.cast("int").alias("size"),
+        want.cast("int").alias("want"), bound.cast("int").alias("bound"),
     )
-    rows = crowded.select("lid", "line", "length", F.col("key").alias("up"), F.explode(choices).alias("c"))
-    rows = rows.select("lid", "line", "length", "up", "c.*")
-    deeper = _key(F.col("line"), F.col("length"), F.col("head"), F.col("tail"))
-    return rows.select("lid", "line", "length", "head", "tail", deeper.alias("key"))
+
+
+def _open(gaps: Column) -> Column:
+    return F.filter(gaps, lambda g: g["bound"] > 0)
+
+
+def _first_gaps(role: Column, length: Column, edits: int) -> Column:
+    """The open text on both sides of the segment of a role."""
+    of = lambda n: F.get(F.array(*[F.lit(r[n]) for r in _roles(edits)]), role)
+    want, i, shift = length - of(0), of(1), of(2)
+    start, end = (F.floor(want * j / (edits + 1)).cast("int") for j in (i, i + 1))
+    return _open(F.array(
+        _gap(F.lit(0), start + shift, start, i),
+        _gap(end + shift, length - end - shift, want - end, edits - i),
+    ))
+
+
+def _widest() -> Column:
+    """(w, j): the gap j with the longest segments, of w characters; no gap can be cut
+    where w is 0. Both lines of a pair choose the same."""
+    return F.array_max(F.transform("gaps", lambda g, j: F.struct(
+        F.floor(g["want"] / (g["bound"] + 1)).alias("w"), j.alias("j")
+    )))
+
+
+def _narrowed(crowded: DataFrame, edits: int) -> DataFrame:
+    """Rows of crowded keys, once for each segment of their widest gap, which must
+    agree too: the gap is searched as a line of its own with its own bound."""
+    cut = crowded.withColumn("j", _widest()["j"]).withColumn("g", F.get("gaps", F.col("j")))
+    size, want, bound = F.col("g.size"), F.col("g.want"), F.col("g.bound")
+    choices = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift"))
+        for i in range(edits + 1) for shift in range(-i, i + 1)
+    ])
+    fits = lambda c: (c["i"] <= bound) & (F.abs(size - want - c["shift"]) <= bound - c["i"])
+    rows = cut.withColumn("c", F.explode(F.filter(choices, fits)))
+    i, shift = F.col("c.i"), F.col("c.shift")
+    rows = rows.withColumns({
+        f"s{n}": F.floor(want * j / (bound + 1)).cast("int") for n, j in enumerate((i, i + 1))
+    })
+    at, end = F.col("g.at") + F.col("s0") + shift, F.col("s1") + shift
+    left = _gap(F.col("g.at"), F.col("s0") + shift, F.col("s0"), i)
+    right = _gap(F.col("g.at") + end, size - end, want - F.col("s1"), bound - i)
+    others = F.filter("gaps", lambda _, n: n != F.col("j"))
+    return rows.select(
+        "lid", "line", (F.col("indexed") & (shift == 0)).alias("indexed"),
+        F.concat(others, _open(F.array(left, right))).alias("gaps"),
+        F.xxhash64("key", i, F.substring(F.col("line"), at + 1, F.col("s1") - F.col("s0"))).alias("key"),
+    )
+
+
+def _likely(a: Column, b: Column, bound: Column, edits: int) -> Column:
+    """False only for texts more than ``bound`` edits apart: of many segments of ``a``
+    all but ``bound`` stand in ``b``, up to ``bound`` places away."""
+    many, n = 3 * (edits + 1), F.char_length(a)
+    missing = F.lit(0)
+    for i in range(many):
+        start, end = (F.floor(n * j / many).cast("int") for j in (i, i + 1))
+        low = F.greatest(start - bound, F.lit(0))
+        around = F.substring(b, low + 1, end + bound - low)
+        there = F.instr(around, F.substring(a, start + 1, end - start)) > 0
+        missing = missing + F.when(there, 0).otherwise(1)
+    return missing <= bound
 
 
 def _shared(rows: DataFrame, indexed: Column) -> DataFrame:
@@ -121,10 +190,11 @@ def _shared(rows: DataFrame, indexed: Column) -> DataFrame:
     return rows.join(counts.where("n > 1 and indexed").drop("indexed"), "key")
 
 
-def _close_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): the distinct lines one edit apart, each pair once."""
+def _close_lines(docs: DataFrame, classes: DataFrame, edits: int) -> DataFrame:
+    """(a, b): the distinct lines up to ``edits`` apart, each pair once."""
     keyed = classes.select("lid", "first", "length", F.posexplode("keys").alias("role", "key"))
-    found = materialize(_shared(keyed, F.col("role") < 2), "segments")
+    keyed = keyed.where("key is not null")
+    found = materialize(_shared(keyed, F.col("role") <= edits), "segments")
     places = found.select("lid", "first.*").distinct().groupBy("doc_id", "fp").agg(
         F.collect_list(F.struct("at", "lid")).alias("places")
     )
@@ -139,16 +209,13 @@ def _close_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     ).select("x.*")
     texts = materialize(texts.dropDuplicates(["lid"]), "texts")
 
-    length = F.col("length") - F.floor(F.col("role") / 2).cast("int")
-    half = F.floor(length / 2).cast("int")
-    head = F.when(F.col("role") % 2 == 0, half).otherwise(0)
-    tail = F.when(F.col("role") % 2 == 1, length - half).otherwise(0)
     rows = found.select(
-        "lid", length.alias("length"), head.alias("head"), tail.alias("tail"), "key", "n"
+        "lid", (F.col("role") <= edits).alias("indexed"),
+        _first_gaps(F.col("role"), F.col("length"), edits).alias("gaps"), "key", "n",
     ).join(texts, "lid")
     done = None
-    columns = ["lid", "line", "length", "head", "tail", "key"]
-    splits = (F.col("n") > CROWD) & (F.col("length") - F.col("head") - F.col("tail") > 1)
+    columns = ["lid", "line", "indexed", "gaps", "key"]
+    splits = (F.col("n") > CROWD * len(_roles(edits))) & (_widest()["w"] > 0)
     while True:
         rows = materialize(rows.select(*columns, "n"), "rows")
         settled = rows.where(~splits).select(columns)
@@ -156,16 +223,21 @@ def _close_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
         crowded = rows.where(splits)
         if crowded.isEmpty():
             break
-        rows = _shared(_halves(crowded), F.char_length("line") == F.col("length"))
+        rows = _shared(_narrowed(crowded, edits), F.col("indexed"))
 
-    one = done.where(F.char_length("line") == F.col("length"))
+    one = done.where("indexed")
     other = done.select(*[F.col(c).alias(f"o_{c}") for c in columns])
-    twice = (F.col("key") == F.col("o_key")) & (
-        (F.char_length("o_line") > F.col("length")) | (F.col("lid") < F.col("o_lid"))
-    )
-    pairs = one.join(other, twice & (F.col("lid") != F.col("o_lid")))
-    middle = lambda c: F.substring(c, F.col("head") + 1, F.char_length(c) - F.col("head") - F.col("tail"))
-    pairs = pairs.where(edit_distance(middle(F.col("line")), middle(F.col("o_line")), EDITS) <= EDITS)
+    size, o_size = F.char_length("line"), F.char_length("o_line")
+    later = (o_size > size) | ((o_size == size) & (F.col("lid") < F.col("o_lid")))
+    pairs = one.join(other, (F.col("key") == F.col("o_key")) & later)
+    part = lambda c, g: F.substring(F.col(c), g["at"] + 1, g["size"])
+    close = lambda a, b, bound: F.when(
+        _likely(a, b, bound, edits), F.coalesce(edit_distance(a, b, edits) <= bound, F.lit(False))
+    ).otherwise(F.lit(False))
+    near = F.zip_with("gaps", "o_gaps", lambda g, o: let(
+        part("line", g), lambda a: let(part("o_line", o), lambda b: close(a, b, g["bound"]))
+    ))
+    pairs = pairs.where(F.forall(near, lambda x: x))
     return materialize(
         pairs.select(F.col("lid").alias("a"), F.col("o_lid").alias("b")).distinct(), "links"
     )
@@ -179,24 +251,28 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
-def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_matches(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS
+) -> DataFrame:
     """(doc_id, fp, at, first, links, short): the lines that have a copy or a close line.
 
     ``docs`` has one row per document; lines are numbered by ``at`` from 0.
     ``first`` is the (doc_id, fp, at) where the line's class begins; ``links``
-    counts the different lines one edit away. ``short`` lines, of less than
+    counts the different lines up to ``edits`` away. ``short`` lines, of less than
     ``MIN_CHARS`` characters, have copies only.
     """
+    if not 1 <= edits < MIN_CHARS:
+        raise ValueError(f"edits must be 1 to {MIN_CHARS - 1}")
     docs = _keyed(docs, doc_id, text)
     lines = _lines(docs)
     classes = lines.groupBy("lid").agg(
         F.min(F.struct("doc_id", "fp", "at")).alias("first"),
         F.count(F.lit(1)).alias("n"),
         F.first(F.char_length("line")).alias("length"),
-        F.first(F.when(F.char_length("line") >= MIN_CHARS, _segment_keys(F.col("line")))).alias("keys"),
+        F.first(F.when(F.char_length("line") >= MIN_CHARS, _segment_keys(F.col("line"), edits))).alias("keys"),
     )
     classes = materialize(classes, "lines")
-    links = _close_lines(docs, classes)
+    links = _close_lines(docs, classes, edits)
     both = links.union(links.select("b", "a"))
     degree = both.groupBy(F.col("a").alias("lid")).agg(F.count(F.lit(1)).alias("links"))
     linked = components(links).withColumnRenamed("node", "lid").join(degree, "lid")
@@ -234,28 +310,33 @@ def _per_document(matches: DataFrame) -> DataFrame:
     )
 
 
-def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_classes(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS
+) -> DataFrame:
     """(doc_id, fp, n_lines, n_links, lines, class_docs, repeats, short_lines,
     short_class_docs, short_repeats) of each document.
 
     Lines end at line feeds. Lines of 20 characters or more with a word are
-    compared with all such lines of all documents; those that are equal, or one
-    insertion, deletion or substitution apart, are linked, and linked lines form
-    classes. ``lines`` numbers (from 0) the document's lines whose class holds
+    compared with all such lines of all documents; those that are equal, or up to
+    ``edits`` insertions, deletions and substitutions apart, are linked, and linked
+    lines form classes. ``lines`` numbers (from 0) the document's lines whose class holds
     more than this one line, ``class_docs`` has for each of them the document
     where its class begins, ``n_links`` is the sum over them of the different
-    lines one edit away, and ``repeats`` numbers the lines that are not the first
+    lines that near, and ``repeats`` numbers the lines that are not the first
     of their class, in the order of (doc_id, hash of the text, line number). The
     last three columns say the same of shorter lines with a word, whose classes
     are their exact copies.
 
     Distinct lines are found by grouping on a 128-bit hash, so a line that fills
-    a third of all rows costs one row per task. Each distinct line gives two
-    halves as an indexed line and two as a probe of lines one shorter; an edit
-    leaves one half untouched. Keys held by more than 64 lines are split by
-    halving the rest of the line until they are small, or all but one character
-    agrees, so crowded halves are not multiplied out. Pairs are confirmed by the
-    banded bit-parallel distance.
+    a third of all rows costs one row per task. Each distinct line is indexed by
+    ``edits`` + 1 segments, one of which any line that near leaves untouched, and
+    probes the segments of lines its own length and up to ``edits`` shorter, moved by
+    the places that the edits before and behind them allow. Keys held by more than
+    16 lines for each of these keys (64 at one edit) are cut further: the rest of the line on either side has its own bound, and
+    the widest rest is searched in the same way until keys are small or no rest can be
+    cut, so crowded segments are not multiplied out. Pairs are confirmed, rest by
+    rest, by the banded bit-parallel distance. Keys per line grow with the cube of
+    ``edits``: 4, 12, 26 and 82 for 1, 2, 3 and 5.
 
     A null text has one empty line. Rows alike in id and text are one document
     and get equal results; a null id sorts first. Other columns play no part. An
@@ -265,7 +346,7 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "doc_id", "fp", F.size(F.split("t", "\n", -1)).cast("bigint").alias("n_lines")
     )
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))
-    out = keyed.join(_per_document(line_matches(docs, doc_id, text)), same, "left")
+    out = keyed.join(_per_document(line_matches(docs, doc_id, text, edits)), same, "left")
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return out.select(
         "doc_id", "fp", "n_lines",
@@ -279,11 +360,13 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS
+) -> DataFrame:
     """``docs`` without the repeated lines, and without the rows that had a word
     in their text and lost every line with one. Lines of less than 20 characters
     stay, copies too. Columns stay as they came."""
-    repeats = _per_document(line_matches(docs, doc_id, text)).where("size(repeats) > 0")
+    repeats = _per_document(line_matches(docs, doc_id, text, edits)).where("size(repeats) > 0")
     repeats = materialize(repeats.select("d", "f", "repeats"), "repeats")
     t = column(text)
     rows = docs.select(

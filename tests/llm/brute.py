@@ -50,17 +50,21 @@ def near_components(docs):
     return {i: (len(sets[i]), named[i]) for i in docs}
 
 
-def one_edit(a, b):
-    """At most one insertion, deletion or substitution apart."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
+def within(a, b, k):
+    """At most k insertions, deletions and substitutions apart."""
+    if abs(len(a) - len(b)) > k:
         return False
-    i = next((i for i, c in enumerate(a) if c != b[i]), len(a))
-    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row = row, [i] + [k + 1] * len(b)
+        for j in range(max(1, i - k), min(len(b), i + k) + 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != b[j - 1]))
+        if min(row) > k:
+            return False
+    return row[-1] <= k
 
 
-def line_classes(docs):
+def line_classes(docs, k=1):
     """docs: id -> text. Id -> (lines, links, matched lines, class documents, repeats)."""
     at = defaultdict(list)
     for d, text in sorted(docs.items()):
@@ -72,9 +76,9 @@ def line_classes(docs):
         by_length[len(line)].append(line)
     links = set()
     for n, group in by_length.items():
-        rest = by_length.get(n + 1, [])
+        rest = [b for more in range(1, k + 1) for b in by_length.get(n + more, [])]
         for x, a in enumerate(group):
-            links |= {(a, b) for b in group[x + 1 :] + rest if one_edit(a, b)}
+            links |= {(a, b) for b in group[x + 1 :] + rest if within(a, b, k)}
     named = roots(at, links)
     first, degree = {}, defaultdict(int)
     for line, places in at.items():

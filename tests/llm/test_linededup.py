@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import brute  # noqa: E402
+import pytest  # noqa: E402
 from tallymill.llm import linededup  # noqa: E402
 from tallymill.llm.queries import QUERIES  # noqa: E402
 from tallymill.sources.tables import read_table  # noqa: E402
@@ -36,6 +37,38 @@ def test_crowded_halves(spark):
     assert _found(linededup.line_classes(df)) == brute.line_classes(docs)
 
 
+def _edited(rng, line, edits, letters):
+    line = list(line)
+    for _ in range(edits):
+        at = rng.randrange(len(line))
+        line[at : at + rng.randrange(2)] = [rng.choice(letters)] * rng.randrange(2)
+    return "".join(line)
+
+
+@pytest.mark.parametrize("edits,crowd", [(1, 1), (2, 16), (2, 1), (3, 1), (4, 2), (5, 16)])
+def test_every_threshold_like_brute_force(spark, monkeypatch, edits, crowd):
+    """Lines of few letters and templates with a changed word, keys crowded and not."""
+    monkeypatch.setattr(linededup, "CROWD", crowd)
+    rng, docs = random.Random(edits), {}
+    bases = ["".join(rng.choice("ab ") for _ in range(n)) for n in (19, 20, 21, 24, 33, 60, 61, 90)]
+    for i in range(160 if edits < 4 else 40):
+        line = _edited(rng, rng.choice(bases), rng.randrange(edits + 2), "abß😀")
+        words = "all of the lines are alike but for one word of it".split()
+        words[rng.randrange(len(words))] = "".join(rng.choice("xyz") for _ in range(rng.randrange(1, 5)))
+        docs[i] = line + "\n" + " ".join(words)
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    wanted = brute.line_classes(docs, edits)
+    assert _found(linededup.line_classes(df, edits=edits)) == wanted
+    assert sum(n for _, n, *_ in wanted.values()) > 20
+
+
+def test_thresholds_out_of_range(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
+    for edits in (0, 20):
+        with pytest.raises(ValueError):
+            linededup.line_classes(df, edits=edits)
+
+
 def test_distance(spark):
     rng, rows = random.Random(1), []
     for _ in range(3000):
