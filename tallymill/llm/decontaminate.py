@@ -14,6 +14,8 @@ ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 # Rarest words of a window whose postings are stored and intersected.
 ANCHORS = 3
+# Documents with a word for each part that the word's postings are dealt to.
+DEALT = 256
 
 
 def plain_words(text: Column) -> Column:
@@ -34,8 +36,9 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text")
 
 
 def search_plan(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(phrase, length, anchors): the windows that can occur, with their rarest
-    words (df, off, term), rarest first, by the number of documents with the word.
+    """(phrase, pid, length, anchors): the windows that can occur, by text and by a
+    128-bit hash of it, with their rarest words (df, off, term), rarest first, by the
+    number of documents with the word.
 
     ``docs`` has ``t``. A window with a word that no document has is left out.
     """
@@ -50,29 +53,46 @@ def search_plan(docs: DataFrame, windows: DataFrame) -> DataFrame:
     ranked = placed.join(df, "term").groupBy("phrase", "length").agg(
         F.sort_array(F.collect_list(F.struct("df", "off", "term"))).alias("anchors")
     )
-    plan = ranked.where(F.size("anchors") == F.col("length"))
-    return materialize(plan.withColumn("anchors", F.slice("anchors", 1, ANCHORS)), "plan")
+    plan = ranked.where(F.size("anchors") == F.col("length")).select(
+        "phrase", F.unhex(F.md5(F.col("phrase").cast("binary"))).alias("pid"), "length",
+        F.slice("anchors", 1, ANCHORS).alias("anchors"),
+    )
+    return materialize(plan, "plan")
+
+
+def _parts(df: Column) -> Column:
+    return F.ceil(df / DEALT)
 
 
 def postings_of(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """(term, doc_id, fp, pos): the index, written, of the words that are anchors."""
-    anchors = materialize(plan.select(F.explode("anchors.term").alias("term")).distinct(), "anchors")
+    """(term, part, doc_id, fp, pos): the index, written, of the words that are
+    anchors. The postings of a frequent word are dealt to parts, more as more
+    documents have it."""
+    anchors = plan.select(F.explode("anchors").alias("a")).select("a.term", "a.df").distinct()
+    anchors = materialize(anchors, "anchors")
     at = docs.select("doc_id", "fp", F.posexplode(plain_words(F.col("t"))).alias("pos", "term"))
-    return materialize(at.join(anchors, "term").select("term", "doc_id", "fp", "pos"), "postings")
+    part = F.pmod(F.xxhash64("doc_id", "fp", "pos"), _parts(F.col("df")))
+    return materialize(at.join(anchors, "term").select("term", part.alias("part"), "doc_id", "fp", "pos"), "postings")
 
 
 def intersected(plan: DataFrame, postings: DataFrame, slop: int = 0) -> DataFrame:
-    """(phrase, length, doc_id, fp, start, drift): places where the anchors of a
+    """(phrase, length, doc_id, fp, start): places where the anchors of a
     window stand as in the window, each up to ``slop`` words off its place.
 
     Begins with the postings of the rarest anchor, moved by its offset, and keeps
-    those that the next anchors' postings meet. Places are joined by document,
-    word and stretch of positions, so long documents and frequent words spread.
+    those that the next anchors' postings meet. A window meets its first word's
+    postings once in each part of them. Later places are joined by document,
+    word and stretch of positions, so long documents and frequent words spread;
+    until then a window goes by its hash.
     """
     anchor = F.col("anchors")[0]
-    c = plan.withColumn("term", anchor["term"]).join(postings, "term").select(
-        "phrase", "length", "anchors", "doc_id", "fp",
-        (F.col("pos") - anchor["off"]).alias("start"), F.lit(0).alias("drift"),
+    dealt = plan.select(
+        "pid", "anchors", anchor["term"].alias("term"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), _parts(anchor["df"]) - 1)).alias("part"),
+    )
+    c = dealt.join(postings, ["term", "part"]).select(
+        "pid", "anchors", "doc_id", "fp",
+        (F.col("pos") - anchor["off"]).alias("start"),
     )
     if not slop:
         c = c.where("start >= 0")
@@ -91,9 +111,9 @@ def intersected(plan: DataFrame, postings: DataFrame, slop: int = 0) -> DataFram
             F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))
             & (anchor["term"] == F.col("word")) & (F.col("stretch") == F.col("s"))
             & (F.abs(F.col("p") - place) <= slop),
-        ).withColumn("drift", F.greatest("drift", F.abs(F.col("p") - place)))
+        )
         c = c.where(F.size("anchors") <= k).union(met.select(c.columns))
-    return c.drop("anchors")
+    return c.join(plan.select("pid", "phrase", "length"), "pid").drop("pid", "anchors")
 
 
 def _covered(spans: Column) -> Column:
@@ -108,46 +128,50 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, state, add, lambda a: a["n"])
 
 
-def _confirmed(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, fp, n_hit, phrases): places where the whole phrase stands."""
-    per_doc = places.where("drift = 0 and start >= 0").groupBy("doc_id", "fp").agg(
+def _stands(w: Column, x: Column) -> Column:
+    """Whether the phrase of place ``x`` is in the words ``w``, word for word."""
+    there = F.array_join(F.slice(w, F.greatest(x["start"], F.lit(0)) + 1, x["length"]), " ")
+    return (x["start"] >= 0) & (there == x["phrase"])
+
+
+def _stands_near(w: Column, x: Column, slop: int) -> Column:
+    """Whether each word of the phrase stands up to ``slop`` words off its place."""
+
+    def near(terms: Column) -> Column:
+        around = lambda i: F.sequence(x["start"] + i - slop, x["start"] + i + slop)
+        at = lambda i: F.exists(around(i), lambda p: (p >= 0) & (F.get(w, p) == F.get(terms, i)))
+        return F.forall(F.sequence(F.lit(0), F.size(terms) - 1), at)
+
+    return let(F.split(x["phrase"], " "), near)
+
+
+def _confirmed(docs: DataFrame, places: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, fp, n_hit, phrases, near): the phrases that stand at one of the places,
+    the words under them, and the phrases that stand near one; read off the
+    documents' words."""
+    wanted = places if slop else places.where("start >= 0")
+    per_doc = wanted.groupBy("doc_id", "fp").agg(
         F.collect_set(F.struct("start", "length", "phrase")).alias("places")
     )
     per_doc = materialize(per_doc, "places").withColumnsRenamed({"doc_id": "d", "fp": "f"})
     texts = materialize(per_doc.select(F.col("f").alias("fp")).distinct(), "texts")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))
     found = docs.join(texts, "fp", "left_semi").join(per_doc, same)
-    stands = lambda w: F.filter("places", lambda x: (
-        F.array_join(F.slice(w, x["start"] + 1, x["length"]), " ") == x["phrase"]
-    ))
-    found = found.select("doc_id", "fp", let(plain_words(F.col("t")), stands).alias("places"))
-    spans = F.sort_array(F.transform("places", lambda x: F.struct(x["start"], x["length"])))
-    found = found.where("size(places) > 0").select(
+
+    def read(w: Column) -> Column:
+        exact = F.filter("places", lambda x: _stands(w, x))
+        near = F.filter("places", lambda x: _stands_near(w, x, slop)) if slop else exact
+        return F.struct(exact.alias("exact"), F.array_distinct(near["phrase"]).alias("near"))
+
+    found = found.select("doc_id", "fp", let(plain_words(F.col("t")), read).alias("x"))
+    spans = F.sort_array(F.transform("x.exact", lambda x: F.struct(x["start"], x["length"])))
+    found = found.where("size(x.exact) > 0 or size(x.near) > 0").select(
         "doc_id", "fp", _covered(spans).alias("n_hit"),
-        F.array_distinct(F.transform("places", lambda x: x["phrase"])).alias("phrases"),
+        F.array_distinct("x.exact.phrase").alias("phrases"), "x.near",
     )
     return materialize(found.dropDuplicates(["doc_id", "fp"]), "hits")
 
 
-def _near(docs: DataFrame, places: DataFrame, slop: int) -> DataFrame:
-    """(doc_id, fp, phrase): places where each word of the phrase stands up to
-    ``slop`` words off."""
-    per_doc = places.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "phrase")).alias("places"))
-    per_doc = materialize(per_doc, "near_places").withColumnsRenamed({"doc_id": "d", "fp": "f"})
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))
-
-    def stands(w: Column) -> Column:
-        def near(x: Column, terms: Column) -> Column:
-            around = lambda i: F.sequence(x["start"] + i - slop, x["start"] + i + slop)
-            at = lambda i: F.exists(around(i), lambda p: (p >= 0) & (F.get(w, p) == F.get(terms, i)))
-            return F.forall(F.sequence(F.lit(0), F.size(terms) - 1), at)
-
-        return F.filter("places", lambda x: let(F.split(x["phrase"], " "), lambda terms: near(x, terms)))
-
-    found = docs.join(per_doc, same).select("doc_id", "fp", let(plain_words(F.col("t")), stands).alias("places"))
-    return found.select("doc_id", "fp", F.explode("places.phrase").alias("phrase")).distinct()
-
-
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -168,7 +192,7 @@ def contamination(
 
     Four passes over ``docs``: document frequencies of the items' words; postings
     of each window's rarest words, written; the documents in which those meet,
-    where the whole phrase is confirmed; and the word counts. Only small tables
+    where the whole phrase is confirmed, in place or near it; and the word counts. Only small tables
     are joined with the documents' words. They are written first, so Spark knows
     their size and broadcasts them only below its threshold.
 
@@ -180,12 +204,10 @@ def contamination(
     docs = docs.select(column(doc_id).alias("doc_id"), F.xxhash64(t).alias("fp"), t.alias("t"))
     windows = materialize(item_windows(items, item_id, item_text), "windows")
     plan = search_plan(docs, windows)
-    places = intersected(plan, postings_of(docs, plan), slop or 0)
-    if slop:
-        places = materialize(places, "intersected")
-    hits = _confirmed(docs, places)
+    hits = _confirmed(docs, intersected(plan, postings_of(docs, plan), slop or 0), slop or 0)
 
-    def listed(found: DataFrame, name: str) -> DataFrame:
+    def listed(phrases: str, name: str) -> DataFrame:
+        found = hits.select("doc_id", "fp", F.explode(phrases).alias("phrase"))
         named = found.join(windows, "phrase").select("doc_id", "fp", "item").distinct()
         named = named.groupBy("doc_id", "fp").agg(F.sort_array(F.collect_list("item")).alias(name))
         return named.withColumnsRenamed({"doc_id": "d", "fp": "f"})
@@ -194,11 +216,10 @@ def contamination(
         same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))
         return left.join(right, same, "left").drop("d", "f")
 
-    items_hit = listed(hits.select("doc_id", "fp", F.explode("phrases").alias("phrase")), "items")
     n_words = F.coalesce(F.regexp_count("t", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("bigint")
     counted = docs.select("doc_id", "fp", n_words.alias("n_words"))
     n_hit = hits.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), "n_hit")
-    out = beside(beside(counted, n_hit), items_hit)
+    out = beside(beside(counted, n_hit), listed("phrases", "items"))
     n = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     none = F.array().cast("array<string>")
     out = out.withColumns({
@@ -206,7 +227,7 @@ def contamination(
         "contaminated": (n > 0) & (20 * n >= F.col("n_words")),
     })
     if slop:
-        out = beside(out, listed(_near(docs, places, slop), "near_items"))
+        out = beside(out, listed("near", "near_items"))
         out = out.withColumn("near_items", F.coalesce("near_items", none))
     return out
 

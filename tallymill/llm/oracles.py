@@ -33,12 +33,37 @@ hit_words as (
   from (select doc_id, unnest(range(s, s + n)) as pos from hits) group by doc_id),
 hit_items as (
   select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
-  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id),
+phrase_words as (
+  select phrase, n, unnest(string_split(phrase, ' ')) as word, unnest(range(0, n)) as off
+  from (select distinct phrase, n from windows)),
+standing as (
+  select doc_id, word, pos
+  from (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as pos from doc_words)
+  where word in (select word from phrase_words)),
+frequency as (select word, count(distinct doc_id) as df from standing group by word),
+rarest as (
+  select phrase, word, off from phrase_words join frequency using (word)
+  qualify row_number() over (partition by phrase order by df, off) = 1),
+begins as (
+  select distinct r.phrase, s.doc_id, s.pos - r.off as start from rarest r join standing s using (word)),
+near_places as (
+  select b.doc_id, b.phrase, b.start
+  from begins b join phrase_words p using (phrase)
+  join standing s on s.doc_id = b.doc_id and s.word = p.word
+    and s.pos between b.start + p.off - 2 and b.start + p.off + 2
+  group by b.doc_id, b.phrase, b.start, p.n having count(distinct p.off) = p.n),
+near_hits as (
+  select doc_id, string_agg(item, ',' order by item) as near_items
+  from (select distinct doc_id, cast(item_id as varchar) as item from near_places join windows using (phrase))
+  group by doc_id)
 select d.doc_id, cast(len(d.w) as bigint) as n_words,
   cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   sha256(coalesce(items, '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated,
+  coalesce(near_items, '') as near_items
 from doc_words d left join hit_words using (doc_id) left join hit_items using (doc_id)
+  left join near_hits using (doc_id)
 """
 
 ORACLES["op1_quality_rules"] = r"""

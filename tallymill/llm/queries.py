@@ -50,11 +50,12 @@ def op10_minhash_dedup(spark, d):
 @query
 def op2_decontamination(spark, d):
     found = decontaminate.contamination(
-        read_table(spark, d, "documents"), read_table(spark, d, "benchmark")
+        read_table(spark, d, "documents"), read_table(spark, d, "benchmark"), slop=2
     )
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        F.array_join("near_items", ",").alias("near_items"),
     )
 
 

@@ -80,3 +80,51 @@ def test_proximity_of_every_word(spark):
     b = spark.createDataFrame([(7, " ".join(w))], "item_id bigint, text string")
     found = {r.doc_id: (list(r["items"]), list(r.near_items)) for r in dec.contamination(d, b, slop=3).collect()}
     assert found == {1: ([], ["7"]), 2: ([], []), 3: ([], []), 4: ([], [])}
+
+
+def near_items(docs, items, slop):
+    """Id -> items with a window whose words all stand up to ``slop`` off, as seen from
+    the place of its rarest word, the first such word of the window."""
+    said = {d: _words(t) for d, t in docs.items()}
+    df = {}
+    for w in said.values():
+        for term in set(w):
+            df[term] = df.get(term, 0) + 1
+    out = {d: set() for d in docs}
+    for item, text in items.items():
+        w = _words(text)
+        for s in range(max(len(w) - 13, 0) + 1 if w else 0):
+            window = w[s : s + 13]
+            if any(term not in df for term in window):
+                continue
+            off = min(range(len(window)), key=lambda i: (df[window[i]], i))
+            for d, words in said.items():
+                starts = [p - off for p, term in enumerate(words) if term == window[off]]
+                near = lambda b, i: window[i] in words[max(b + i - slop, 0) : max(b + i + slop + 1, 0)]  # noqa: B023, E731
+                if any(all(near(b, i) for i in range(len(window))) for b in starts):
+                    out[d].add(str(item))
+    return {d: sorted(x) for d, x in out.items()}
+
+
+def test_random_near_places_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dec, "DEALT", 7)  # so frequent words' postings lie in many parts
+    rng = random.Random(8)
+    vocabulary = ["the", "of", "Ä"] + [f"w{i}" for i in range(40)]
+    say = lambda n: [rng.choice(vocabulary[: rng.choice([3, 43])]) for _ in range(n)]
+    items = {i: " ".join(say(rng.choice([1, 2, 5, 13, 15]))) for i in range(25)} | {90: None}
+    docs = {}
+    for i in range(150):
+        w = items[rng.randrange(25)].split()
+        for _ in range(rng.randrange(4)):  # words are moved, put in and left out
+            at = rng.randrange(len(w) + 1)
+            w = rng.choice([w[:at] + say(1) + w[at:], w[:at][:-1] + w[at:] + w[:at][-1:], w[:at] + w[at + 1 :]])
+        docs[i] = " ".join(say(rng.randrange(4)) + w + say(rng.randrange(40)))
+    docs |= {500: None, 501: "", 502: "the " * 5000}
+    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id int, text string")
+    for slop in (1, 2):
+        found = dec.contamination(d, b, slop=slop).collect()
+        near = near_items(docs, items, slop)
+        assert {r.doc_id: list(r.near_items) for r in found} == near
+        assert {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in found} == contamination(docs, items)
+        assert sum(len(near[r.doc_id]) > len(r["items"]) for r in found) > 10
