@@ -65,8 +65,10 @@ FIT_BOUND = 2.5
 BATCH_BYTES = 8 << 30
 # How late events may come, by event time, behind the newest of earlier batches.
 EVENT_DELAY = "1 hour"
-# Batches of the restarted search; the fault comes in the last.
+# Batches of the restarted search, at least; the fault comes in the last. Its files
+# hold so much text, about.
 RESTART_BATCHES = 4
+FILE_BYTES = 64 << 20
 
 QUERIES: dict[str, Query] = {}
 
@@ -298,15 +300,22 @@ def grep(spark, d):
 
 @query
 def grep_restart(spark, d):
-    """The documents, cut into files by ``doc_id``, come a file at a time. The first
-    attempt dies at the file that comes last; the second goes on there, and must leave
-    what the batches before have stored as it is."""
+    """The documents, cut into files of bounded size by ``doc_id``, come a quarter of
+    them at a time. The first attempt dies at the file that comes last; the second goes
+    on there, and must leave what the batches before have stored as it is."""
     folder = scratch_path(spark, "grep-in")
     docs = read_table(spark, d, "documents").select("doc_id", "text")
-    docs.repartitionByRange(RESTART_BATCHES, "doc_id").write.parquet(f"{folder}/documents.parquet")
-    files = read_table(spark, folder, "documents").select("_metadata.file_modification_time", "_metadata.file_path")
-    last = files.agg(F.max(F.struct("*")).alias("x")).select("x.file_path").first()[0]
-    stream = stream_table(spark, folder, "documents", docs.schema, 1)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cut = docs.repartitionByRange(max(RESTART_BATCHES, -(-size // FILE_BYTES)), "doc_id", F.xxhash64("text"))
+    cut.write.parquet(f"{folder}/documents.parquet")
+    files = read_table(spark, folder, "documents").select(
+        "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_size"
+    ).distinct()
+    last, stored_bytes = files.agg(F.max(F.struct("*")).alias("x"), F.sum("file_size")).select(
+        "x.file_path", "sum(file_size)"
+    ).first()
+    batch = max(1, min(BATCH_BYTES, (stored_bytes or 0) // RESTART_BATCHES))
+    stream = stream_table(spark, folder, "documents", docs.schema, batch)
     dying = F.when(F.col("_metadata.file_path") == last, F.raise_error("worker lost")).otherwise(F.lit(True))
     sink, checkpoint = scratch_path(spark, "grep-out"), scratch_path(spark, "grep-checkpoint")
     found = spark.read.schema("word string, doc_id bigint, pos int, line string")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tallymill import schemas
 from tallymill.operators.grep import grep
 from tallymill.operators.wordcount import count_windows, time_window_count, word_count
-from tallymill.plans import views
+from tallymill.plans import bindings, views
 from tallymill.sources.tables import read_table
 from tallymill.sources.text import stream_table, stream_text, write_text
 from tallymill.streaming import wordcount as counting
@@ -168,3 +168,22 @@ def test_batches_before_the_failure_are_kept(spark, numbered, path):
         )
     kept = spark.read.parquet(sink).agg(F.count("*"), F.max("pos")).first()
     assert kept[0] == 167 and kept[1] == 498
+
+
+def test_the_restarted_search_is_cut_by_size(spark, path, monkeypatch):
+    """Files hold so much text, however much there is, also without ids; batches stay few."""
+    folder, made = path(), []
+    monkeypatch.setattr(bindings, "FILE_BYTES", 2_000, raising=False)
+    plain = bindings.stream_table
+    monkeypatch.setattr(bindings, "stream_table", lambda s, at, *x: made.append(at) or plain(s, at, *x))
+    docs = spark.range(400).select(
+        F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 50 > 0, F.format_string("%099d\nthese words are", "id")).alias("text"),
+    )
+    docs.write.parquet(f"{folder}/documents.parquet")
+    out = bindings.grep_restart(spark, folder)
+    assert rows(out) == rows(grep(views.lines(spark, folder), "line", bindings.GREP_WORDS))
+    held = spark.read.parquet(f"{made[0]}/documents.parquet").groupBy(F.input_file_name()).agg(
+        F.sum(F.octet_length("text")).alias("n")
+    )
+    assert held.count() > 15 and held.agg(F.max("n")).first()[0] < 3 * 2_000
