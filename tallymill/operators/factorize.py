@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import math
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
 
 from tallymill.sources.scratch import scratch_path
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Ratings that a block a side should have at least to be worth a task, and at most.
 FEW_RATINGS, MANY_RATINGS = 1 << 13, 1 << 21
+# Ratings that a block can hold: about 50 bytes each while it is built.
+MOST_RATINGS = 1 << 26
+# Bytes of a rating with its two ids, and of a number of a factor.
+RATING_BYTES, NUMBER_BYTES = 12, 4
+# Ratings of a cell of the matrix, about, where the error of a fit is computed.
+CELL_RATINGS = 1 << 22
 
 
-def blocks_for(ratings: int, cores: int) -> int:
+def blocks_for(ratings: int, cores: int, numbers: int | None = None) -> int:
     """Blocks a side: one per core while each has enough ratings, more once they would
     have too many. Every user block exchanges factors with every item block, so a
-    needless block costs twice that many messages in every iteration."""
-    return max(1, min(cores, ratings // FEW_RATINGS), -(-ratings // MANY_RATINGS))
+    needless block costs twice that many messages in every iteration.
+
+    With ``numbers``, how many all factors of both sides have, the exchange decides:
+    each factor goes to nearly every block of the other side, so there are as many
+    blocks as keep what an iteration sends about as large as the ratings, whatever
+    their size, and more only where a block could not hold its ratings.
+    """
+    blocks = max(1, min(cores, ratings // FEW_RATINGS), -(-ratings // MANY_RATINGS))
+    if numbers is None:
+        return blocks
+    sent = -(-RATING_BYTES * ratings // max(1, NUMBER_BYTES * numbers))
+    return max(1, min(blocks, sent), -(-ratings // MOST_RATINGS))
 
 
 def factorize(
@@ -32,8 +56,8 @@ def factorize(
 ) -> tuple[DataFrame, DataFrame]:
     """(user factors, item factors), each (id, features).
 
-    The two factor matrices are kept in ``blocks`` blocks a side; by default the
-    ratings are counted first and ``blocks_for`` decides. Every few iterations the
+    The two factor matrices are kept in ``blocks`` blocks a side; by default ratings
+    and ids, about, are counted first and ``blocks_for`` decides. Every few iterations the
     factors are checkpointed, so a lost executor costs those iterations and not the
     whole run. Ids must fit an ``int``; a larger one is an error.
     """
@@ -46,7 +70,9 @@ def factorize(
         F.col(rating).cast("float").alias("rating"),
     )
     if blocks is None:
-        blocks = blocks_for(ratings.count(), spark.sparkContext.defaultParallelism)
+        ids = [F.approx_count_distinct(c) for c in ("user", "item")]
+        n, *sides = ratings.agg(F.count(F.lit(1)), *ids).first()
+        blocks = blocks_for(n, spark.sparkContext.defaultParallelism, rank * sum(sides))
     als = ALS(
         rank=rank,
         regParam=reg,
@@ -71,10 +97,41 @@ def with_sides(users: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def _cell_error(ratings: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
+    """Sum of squares and number of the ratings of a cell whose two ids have factors."""
+    known, places, tables = np.ones(len(ratings), dtype=bool), [], []
+    for side in ("user", "item"):
+        own = factors[factors["side"] == side].sort_values("id")
+        ids, wanted = own["id"].to_numpy(), ratings[side].to_numpy()
+        if not len(ids):
+            return pd.DataFrame({"s": [0.0], "n": [0]})
+        place = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+        known &= ids[place] == wanted
+        places.append(place)
+        tables.append(np.stack(own["features"].to_numpy()).astype(np.float32))
+    total, rows = 0.0, np.flatnonzero(known)
+    for part in np.array_split(rows, -(-len(rows) // 65_536) or 1):
+        u, v = (t[p[part]].astype(np.float64) for t, p in zip(tables, places))
+        off = np.einsum("ij,ij->i", u, v) - ratings["rating"].to_numpy()[part]
+        total += float(off @ off)
+    return pd.DataFrame({"s": [total], "n": [len(rows)]})
+
+
 def fit_error(ratings: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """(rmse): how far the factors' products are from the ratings."""
-    u = users.select(F.col("id").alias("user"), F.col("features").alias("u"))
-    v = items.select(F.col("id").alias("item"), F.col("features").alias("v"))
-    dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    off = ratings.join(u, "user").join(v, "item").select((dot - F.col("rating")).alias("d"))
-    return off.agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"))
+    """(rmse): how far the factors' products are from the ratings.
+
+    The matrix is cut into cells by hashes of both ids, about ``CELL_RATINGS`` ratings
+    each, and a factor goes once to each cell of its row or column of cells. Joined
+    rating by rating, every rating would carry a factor through an exchange.
+    """
+    known = ratings.where("user is not null and item is not null and rating is not null")
+    side = math.isqrt(max(0, known.count() - 1) // CELL_RATINGS) + 1
+    block = lambda c: F.pmod(F.hash(c), F.lit(side))
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    cells = known.select(block("user").alias("a"), block("item").alias("b"), "user", "item", "rating")
+    factors = users.select(block("id").alias("a"), every.alias("b"), F.lit("user").alias("side"), "id", "features")
+    factors = factors.union(
+        items.select(every.alias("a"), block("id").alias("b"), F.lit("item").alias("side"), "id", "features")
+    )
+    errors = cells.groupBy("a", "b").cogroup(factors.groupBy("a", "b")).applyInPandas(_cell_error, "s double, n bigint")
+    return errors.agg(F.sqrt(F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("rmse"))

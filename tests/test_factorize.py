@@ -1,6 +1,9 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from tallymill.operators import factorize as fz
 from tallymill.operators.factorize import MANY_RATINGS, blocks_for, factorize, fit_error, with_sides
 from tallymill.sources.generate import gen_ratings
 
@@ -50,3 +53,31 @@ def test_an_id_beyond_int_is_an_error(spark):
     big = spark.createDataFrame([(2**40, 1, 1.0)], "user bigint, item int, rating double")
     with pytest.raises(Exception, match="CAST_OVERFLOW|overflow"):
         factorize(big, blocks=1, iters=1)
+
+
+def test_an_iteration_sends_no_more_than_the_ratings_weigh():
+    """The blocks stay as the table grows, until one could not hold its ratings."""
+    for times in (1, 10, 60):
+        n, numbers = 3_600_000 * times, 210_000 * 15 * times
+        blocks = blocks_for(n, 12, numbers)
+        assert blocks == 4 and (blocks - 1) * 4 * numbers <= 12 * n
+    assert blocks_for(3_600_000, 2, 210_000 * 15) == 2
+    assert blocks_for(0, 8, 0) == blocks_for(100, 8, 30) == 1
+    assert blocks_for(10**12, 12, 10**12) == -(-(10**12) // fz.MOST_RATINGS)
+
+
+@pytest.mark.parametrize("held", [1 << 22, 7])
+def test_fit_error_cell_by_cell(spark, monkeypatch, held):
+    """Ratings twice, without factors or null; no factor travels with a rating."""
+    monkeypatch.setattr(fz, "CELL_RATINGS", held)
+    u = {i: [float(i), 1.0] for i in range(9)}
+    v = {i: [0.5, float(-i)] for i in range(7)}
+    cells = [(i, j, float(i * j)) for i in range(11) for j in range(8)] + [(1, 2, 5.0)] * 2 + [(1, 1, None), (None, 1, 2.0)]
+    ratings = spark.createDataFrame(cells, "user int, item int, rating float")
+    sides = [spark.createDataFrame(list(x.items()), "id int, features array<float>") for x in (u, v)]
+    got = fit_error(ratings, *sides)
+    off = [sum(a * b for a, b in zip(u[i], v[j])) - r for i, j, r in cells if i in u and j in v and r is not None]
+    assert got.first().rmse == pytest.approx(math.sqrt(sum(x * x for x in off) / len(off)))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert fit_error(ratings.where("user = 10"), *sides).first().rmse is None
+    assert fit_error(ratings.limit(0), *sides).first().rmse is None
