@@ -26,6 +26,12 @@ def _ids(spark: SparkSession, n: int, parts: int | None, row_bytes: float) -> Da
     return spark.range(0, n, 1, parts or max(wanted, spark.sparkContext.defaultParallelism))
 
 
+def _broadcast_bytes(spark: SparkSession) -> int:
+    """Up to which size Spark broadcasts a table."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
+
+
 def gen_word_lines(
     spark: SparkSession,
     vocab: DataFrame,
@@ -41,7 +47,9 @@ def gen_word_lines(
     and Spark cannot tell, as they come of an explode. So the dictionary is stored
     first, which makes its size known, and is the optional side of an outer join, the
     only one that can be broadcast. Then picks stay where their line is, and the
-    grouping by line needs no exchange.
+    grouping by line needs no exchange. A larger dictionary parts picks from their
+    lines; they go back as plain rows, since lists of one word each, which a grouping
+    would make before its exchange, weigh several times as much.
     """
     size, chars = vocab.agg(
         F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))
@@ -51,10 +59,13 @@ def gen_word_lines(
     ids = _ids(spark, num_lines, parts, words * (chars / size + 1))
     picks = [scatter("id", j, seed) % size for j in range(words)]
     numbered = materialize(range_positions(vocab, ["word"], number="idx"), "numbered")
+    stored = numbered.select("_metadata.file_path", "_metadata.file_size").distinct()
+    held = stored.agg(F.sum("file_size")).first()[0]
+    picked = ids.select("id", F.posexplode(F.array(*picks)).alias("j", "idx")).join(numbered, "idx", "left")
+    if held > _broadcast_bytes(spark):
+        picked = picked.select("id", "j", "word").repartition("id")
     return (
-        ids.select("id", F.posexplode(F.array(*picks)).alias("j", "idx"))
-        .join(numbered, "idx", "left")
-        .groupBy("id")
+        picked.groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("j", "word"))).alias("picked"))
         .select("id", F.array_join(F.col("picked.word"), " ").alias("line"))
     )

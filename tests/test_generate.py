@@ -71,6 +71,25 @@ def test_only_the_dictionary_can_be_the_build_side(spark, vocab):
     assert large == {r.id: r.line for r in gen.gen_word_lines(spark, vocab, 300).collect()}
 
 
+def test_words_go_back_to_their_lines_as_plain_rows(spark, vocab, monkeypatch):
+    """With a dictionary beyond broadcasts, lists are made after the exchange by line."""
+    monkeypatch.setattr(gen, "_broadcast_bytes", lambda _: 100, raising=False)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    small = {r.id: r.line for r in gen.gen_word_lines(spark, vocab, 300, parts=3).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = gen.gen_word_lines(spark, vocab, 300, parts=3)
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(id#") == 1 and "REPARTITION_BY_COL" in plan
+        assert plan.rindex("collect_list") < plan.index("hashpartitioning(id#")
+        assert small == {r.id: r.line for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    monkeypatch.undo()
+    assert gen._broadcast_bytes(spark) == 10 << 20
+    assert small == {r.id: r.line for r in gen.gen_word_lines(spark, vocab, 300).collect()}
+
+
 def test_empty_dictionary(spark, vocab):
     with pytest.raises(ValueError):
         gen.gen_word_lines(spark, vocab.where(F.lit(False)), 10)
