@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,39 @@ def test_large_numbers(spark):
     assert found(spark, rows) == brute(rows)
     with pytest.raises(Exception, match="64 bits"):
         found(spark, [(0, [1e15, 1.0], 1), (1, [1e15, 1.0], 1)])
+
+
+def test_an_anchor_goes_once_to_each_tray(spark, monkeypatch):
+    """However many cells anchors visit, few visits are held at once, and a row is made for each tray."""
+    monkeypatch.setattr(hn, "TRAY_BYTES", 400 * 8 * 10)
+    monkeypatch.setattr(hn, "VISIT_BYTES", 20_000)
+    vectors = hn.whole_vectors(spark.createDataFrame([(*r, "x", 1) for r in clustered(4)], SCHEMA), F.col("label"))
+    monkeypatch.setattr(hn, "TRAYS_PER_CORE", 0.25)
+    index, rows = hn.build_index(vectors)
+    slots = {(r.slot, r.tray) for r in rows.collect()}
+    assert slots <= set(enumerate(index.trays.tolist())) and len(index.trays) == index.blocks.sum()
+    anchors = vectors.toPandas()
+    wants = [[{"want": 0, "low": -(1 << 62), "high": 1 << 62}]] * len(anchors)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(anchors["vec_id"]), pa.array(anchors["label"]), pa.array(list(anchors["v"]), pa.list_(pa.int64())),
+         pa.array(wants), pa.array([None] * len(anchors), pa.null())], ["id", "label", "v", "wants", "worst"],
+    )
+    cells = int((index.blocks > 0).sum())
+    for begin, end in ((0, 16), (16, cells), (0, cells)):
+        made = list(hn._visits(index, begin, end, 1)(iter([batch])))
+        assert max(x.nbytes for x in made) < 40_000
+        got = pa.Table.from_batches(made).to_pydict()
+        assert len(set(zip(got["id"], got["tray"]))) == len(got["id"]) <= len(anchors) * (index.trays.max() + 1)
+        assert all(index.trays[s] == t for t, own in zip(got["tray"], got["slots"]) for s in own)
+        seen = sum(map(len, got["slots"]))
+        assert seen == len(anchors) * len(index.trays) if (begin, end) == (0, cells) else seen >= len(anchors) * (end - begin)
+
+
+def test_wide_numbers_and_trays(spark, monkeypatch):
+    """Components that need 16 and 32 bits; more trays than one."""
+    monkeypatch.setattr(hn, "TRAY_BYTES", 60 * 8 * 10)
+    for times, kind in ((1, "smallint"), (100, "int")):
+        rows = [(i, [float(np.float32(x * times)) for x in v], label) for i, v, label in clustered(6, 400)]
+        vectors = hn.whole_vectors(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), F.col("label"))
+        assert hn.build_index(vectors)[0].kind == kind
+        assert found(spark, rows) == brute(rows)
