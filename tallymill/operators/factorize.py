@@ -344,7 +344,7 @@ class _Side:
     """A side's groups, which blocks they are in, and its factors as stored rows."""
 
     def __init__(self, blocks: int, groups: int, keys: list[int]):
-        self.blocks, self.groups, self.keys = blocks, max(blocks, groups), keys
+        self.blocks, self.groups, self.keys = blocks, blocks * max(1, -(-groups // blocks)), keys
         self.paths: list[str] = []
         self.factors: DataFrame | None = None
 
